@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, sharding, simhash
+from . import bpe, decontaminate, exact_dedup, secrets, sharding, simhash, tool_calls
 from .common import table
 
 
@@ -13,6 +13,19 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op2_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents"))[0])
+
+
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return tool_calls.link_tool_calls(tool_calls.calls_of(conversations), tool_calls.results_of(conversations))
+
+
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -25,5 +38,8 @@ def op10_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup)}
-ORACLES = {"op1_extendible_sharding": sharding.ORACLE, "op10_patricia_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_blob_ledger, op3_tool_calls, op7_positional_index, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup)}
+ORACLES = {
+    "op1_extendible_sharding": sharding.ORACLE, "op2_blob_ledger": secrets.ORACLE, "op3_tool_calls": tool_calls.ORACLE, "op7_positional_index": decontaminate.ORACLE,
+    "op10_patricia_dedup": exact_dedup.ORACLE,
+}
