@@ -16,9 +16,10 @@ CHUNK = 1 << 20
 @lru_cache(4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """PRIME**i and its inverse modulo 2**64, for i below n."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate(([1], np.full(n - 1, PRIME, np.uint64))).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate(([1], np.full(n - 1, pow(PRIME, -1, 1 << 64), np.uint64))).astype(np.uint64), dtype=np.uint64)
+    factors = np.full(n, PRIME, np.uint64)
+    inverses = np.full(n, pow(PRIME, -1, 1 << 64), np.uint64)
+    factors[0] = inverses[0] = 1
+    up, down = np.cumprod(factors, dtype=np.uint64), np.cumprod(inverses, dtype=np.uint64)
     return up, down
 
 
