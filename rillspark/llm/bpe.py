@@ -23,8 +23,8 @@ from .common import batches, texts
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-#: Memoised pieces (of two generations each) and token pairs of a worker.
-MEMO = 500_000
+#: Memoised pieces (in each of two generations) and token pairs of a worker.
+MEMO, PAIRS = 1_000_000, 500_000
 #: Longest piece (characters) that is memoised.
 MEMO_CHARS = 40
 
@@ -80,7 +80,7 @@ class Vocabulary:
         """
         found = self.stands.get(key := left * self.size + right)
         if found is None:
-            if len(self.stands) >= MEMO:
+            if len(self.stands) >= PAIRS:
                 self.stands.clear()
             found = self.stands[key] = self._apart(left, right)
         return found
