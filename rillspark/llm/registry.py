@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, mixing, quality, secrets, sharding, simhash, tool_calls
+from . import bpe, decontaminate, exact_dedup, mixing, quality, repeats, secrets, sharding, simhash, tool_calls
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.language_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def op10_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_blob_ledger, op3_tool_calls, op4_quality, op5_context_mixing, op7_positional_index, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup)}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_blob_ledger, op3_tool_calls, op4_quality, op5_context_mixing, op6_maximal_repeats, op7_positional_index, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup)}
 ORACLES = {
     "op1_extendible_sharding": sharding.ORACLE, "op2_blob_ledger": secrets.ORACLE, "op3_tool_calls": tool_calls.ORACLE, "op7_positional_index": decontaminate.ORACLE,
     "op10_patricia_dedup": exact_dedup.ORACLE,
