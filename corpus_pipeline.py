@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import bpe, exact_dedup, simhash
+from rillspark.llm import bpe, decontaminate, exact_dedup, quality, simhash
 from rillspark.llm.common import table, written
 
 
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it is trained on the labelled ones among docs."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
@@ -19,12 +24,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near(docs)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("encode", encode)]
+STAGES = [("quality", filter_quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean), ("encode", encode)]
 #: The classifier's training can't be expressed in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
