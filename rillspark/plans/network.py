@@ -15,9 +15,9 @@ _VALID = "valid AS (SELECT comid AS id FROM net WHERE comid % 3 <> 0)"
 
 def _walk(start: str, valid: str, most: int, name: str = "walk") -> str:
     """id, target, hops of a bounded walk; start and valid are SQL for sets of id."""
-    return f"""{name}0 AS (SELECT s.id, n.tocomid AS at, 0 AS hops FROM ({start}) s LEFT JOIN net n ON n.comid = s.id
-  UNION ALL SELECT w.id, n.tocomid, w.hops + 1 FROM {name}0 w JOIN net n ON n.comid = w.at WHERE w.hops < {most} AND w.at NOT IN ({valid})),
-{name} AS (SELECT id, max(at) FILTER (at IN ({valid})) AS target, min(hops) FILTER (at IN ({valid})) AS hops FROM {name}0 GROUP BY 1)"""
+    return f"""{name}0 AS (SELECT s.id, n.tocomid AS pos, 0 AS hops FROM ({start}) s LEFT JOIN net n ON n.comid = s.id
+  UNION ALL SELECT w.id, n.tocomid, w.hops + 1 FROM {name}0 w JOIN net n ON n.comid = w.pos WHERE w.hops < {most} AND w.pos NOT IN ({valid})),
+{name} AS (SELECT id, max(CASE WHEN ok THEN pos END) AS target, min(CASE WHEN ok THEN hops END) AS hops FROM (SELECT *, pos IN ({valid}) AS ok FROM {name}0) GROUP BY 1)"""
 
 
 @query("nr9_hop_walk", f"WITH RECURSIVE {_NET}, {_VALID}, {_walk('SELECT comid AS id FROM net', 'SELECT id FROM valid', 15)} SELECT id, coalesce(target, -1) AS target, hops::INTEGER AS hops FROM walk")

@@ -187,7 +187,7 @@ query("j16_field", "SELECT s_suppkey, round(m, 6) + 0.0 AS mean_q FROM supplier
 )
 
 _L = "lineitem"
-query("ag1_groups", "SELECT l_returnflag, round(avg(l_quantity), 6) + 0.0 AS mean, median(l_extendedprice) AS median, max(l_tax) AS max, count(*) AS n, min(l_shipdate)::DATE AS first FROM lineitem GROUP BY 1")(
+query("ag1_groups", "SELECT l_returnflag, round(avg(l_quantity), 6) + 0.0 AS mean, round(median(l_extendedprice), 6) + 0.0 AS median, max(l_tax) AS max, count(*) AS n, min(l_shipdate)::DATE AS first FROM lineitem GROUP BY 1")(
     lambda s, d: rounded(px.table(s, d, _L).groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean"), F.median("l_extendedprice").alias("median"), F.max("l_tax").alias("max"), F.count("*").alias("n"), F.to_date(F.min("l_shipdate")).alias("first")))
 )
 query("ag2_several_targets", "SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1 HAVING n > 1")(lambda s, d: px.table(s, d, _O).groupBy("o_custkey").agg(F.count_distinct("o_orderpriority").alias("n")).filter("n > 1"))
