@@ -1,0 +1,160 @@
+"""Operators against NumPy formulas and hand-made cases."""
+
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rillspark.operators import basin, flowstats, graph, impute, normalize, prepare, repair, routing
+
+DAY = dt.date(2000, 10, 1)
+
+
+def series(spark, values, site="s", start=DAY):
+    rows = [(site, start + dt.timedelta(i), None if v is None else float(v)) for i, v in enumerate(values) if v != "absent"]
+    return spark.createDataFrame(rows, "site string, d date, q double")
+
+
+def one(df, scope="all_years"):
+    return df.filter(F.col("scope") == scope).first().asDict()
+
+
+def test_one_missing_day_is_carried_and_two_exclude(spark):
+    q = list(range(1, 366))
+    q[100] = "absent"
+    years = prepare.complete_years(series(spark, q))
+    assert years.count() == 365 and years.filter(F.col("d") == DAY + dt.timedelta(100)).first()["q"] == 100.0
+    q[200] = None
+    assert prepare.complete_years(series(spark, q)).count() == 0
+    assert prepare.missing_ranges(series(spark, q)).count() == 2
+
+
+def test_missing_first_day_stays_null(spark):
+    years = prepare.complete_years(series(spark, ["absent", *range(2, 366)]))
+    assert years.count() == 365 and years.filter("q is null").count() == 1
+
+
+def test_season_is_the_fourier_bin(spark):
+    t = np.arange(365)
+    q = 10 + 3 * np.cos(2 * np.pi * t / 365 - 1.0)
+    got = one(flowstats.gathered(prepare.complete_years(series(spark, q)), flowstats.season()))
+    x = np.fft.fft(q - q.mean())[1]
+    phase = np.angle(x) / (2 * np.pi) * 365
+    assert got["amplitude"] == pytest.approx(2 * abs(x) / 365) and got["phase"] == pytest.approx(phase + 365 * (phase < 0))
+
+
+def test_l_moments_and_ar1(spark):
+    q = np.random.default_rng(1).gamma(2, 3, 365)
+    got = one(flowstats.magnificent_seven(prepare.complete_years(series(spark, q))))
+    x, n = np.sort(q), 365
+    i = np.arange(1, n + 1)
+    b0, b1 = x.mean(), ((i - 1) / (n - 1) * x).mean()
+    b2 = ((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * x).mean()
+    assert got["l_cv"] == pytest.approx((2 * b1 - b0) / b0) and got["l_skew"] == pytest.approx((6 * b2 - 6 * b1 + b0) / (2 * b1 - b0))
+    assert got["ar1_coefficient"] == pytest.approx(np.corrcoef(q[:-1], q[1:])[0, 1])
+
+
+def test_flat_series_has_no_variation(spark):
+    got = one(flowstats.all_stats(prepare.complete_years(series(spark, [5] * 365))))
+    assert got["ar1_coefficient"] is None and got["cv_daily"] == 0 and got["mean_rise_rate"] == 0 and got["reversals"] == 0
+
+
+def test_flat_day_breaks_a_turn(spark):
+    q = [1, 2, 2, 1, 2] + [2] * 360
+    assert one(flowstats.gathered(prepare.complete_years(series(spark, q)), flowstats.rates()))["reversals"] == 1
+
+
+def test_no_complete_year_gives_no_rows(spark):
+    assert flowstats.all_stats(prepare.complete_years(series(spark, [1, 2, 3]))).count() == 0
+
+
+def test_interpolation_scopes(spark):
+    q = [1, None, 3] + [None] * 30 + [34, None]
+    df = series(spark, q)
+    whole = [r["q"] for r in repair.interpolate(df).orderBy("d").collect()]
+    short = [r["q"] for r in repair.interpolate(df, scope="gap").orderBy("d").collect()]
+    assert whole[1] == 2 and whole[10] == pytest.approx(11) and whole[-1] is None
+    assert short[1] == 2 and short[10] is None
+    with pytest.raises(ValueError):
+        repair.interpolate(df, scope="all")
+
+
+def test_gap_inventory_is_strict(spark):
+    df = series(spark, [1, None, 1, "absent", "absent", 1])
+    assert {r["n"] for r in repair.gaps(df).collect()} == {1, 2} and repair.gaps(df, 1).count() == 1 and repair.gaps(df, 2).count() == 0
+
+
+def test_month_without_value_gives_null(spark):
+    rows = [("s", dt.date(2000, m, 28), v) for m, v in ((1, 1.0), (2, None), (3, 3.0))]
+    got = {r["d"].month: r["end_of_last_month"] for r in repair.month_value(spark.createDataFrame(rows, "site string, d date, v double"), "v").collect()}
+    assert got == {1: None, 2: 1.0, 3: None}
+
+
+def test_normalization(spark):
+    df = series(spark, [1, 2, 3, 4])
+    z = [r["q"] for r in normalize.normalized(df, "z_score", log=False).collect()]
+    assert np.mean(z) == pytest.approx(0, abs=1e-12) and np.std(z, ddof=1) == pytest.approx(1)
+    assert all(r["q"] is None for r in normalize.normalized(series(spark, [2, 2]), "min_max").collect())
+    with pytest.raises(ValueError):
+        normalize.normalized(df, "zscore")
+
+
+def test_tests_of_stationarity():
+    rng = np.random.default_rng(0)
+    assert impute.incomplete_beta(5, 0.5, 10 / (10 + 4.9646)) == pytest.approx(0.05, abs=1e-4)
+    assert impute.adf_p(rng.normal(size=300)) < 0.01 < impute.adf_p(np.cumsum(rng.normal(size=300)))
+    assert impute.f_test(np.r_[rng.normal(size=100), 10 * rng.normal(size=100)]) < 0.01
+
+
+def test_linar_fills_between_neighbours(spark):
+    t = np.arange(200)
+    q = list(50 + 10 * np.sin(t / 5) + np.random.default_rng(3).normal(0, 0.1, 200))
+    truth = q[150:153]
+    q[150:153] = [None] * 3
+    got = {r["d"]: (r["q"], r["how"]) for r in impute.linar(series(spark, q)).collect()}
+    for i, v in enumerate(truth):
+        value, how = got[DAY + dt.timedelta(150 + i)]
+        assert how in (1, 2) and value == pytest.approx(v, abs=6)
+
+
+def edges(spark, rows):
+    return spark.createDataFrame(rows, "comid long, tocomid long")
+
+
+def test_circles_end(spark):
+    ring = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (5, None)])
+    ids = ring.select(F.col("comid").alias("id"))
+    up = graph.upstream(ring, ids.filter("id = 1"))
+    assert {r["up"] for r in up.collect()} == {2, 3, 4}
+    walk = graph.hop_walk(ids, ring, ids.filter("id = 5"))
+    assert {r["target"] for r in walk.collect()} == {-1}
+    depth = {r["comid"]: r["depth"] for r in graph.depth_to_outlet(ring).collect()}
+    assert depth == {1: None, 2: None, 3: None, 4: None, 5: 0}
+
+
+def test_hops_count_steps_after_the_direct_target(spark):
+    line = edges(spark, [(1, 2), (2, 3), (3, 4), (4, None)])
+    ids = line.select(F.col("comid").alias("id"))
+    got = {r["id"]: (r["target"], r["hops"]) for r in graph.hop_walk(ids, line, ids.filter("id = 4")).collect()}
+    assert got == {1: (4, 2), 2: (4, 1), 3: (4, 0), 4: (-1, None)}
+    got = {r["id"]: r["target"] for r in graph.hop_walk(ids, line, ids.filter("id = 4"), 1, None).collect()}
+    assert got == {1: None, 2: 4, 3: 4, 4: None}
+
+
+def test_orphan_catchments_take_the_longest_neighbour(spark):
+    net = edges(spark, [(1, 2), (2, None), (3, 1)])
+    cats = spark.createDataFrame([(1,), (2,), (3,), (90,), (91,)], "featureid long")
+    near = spark.createDataFrame([(90, 1, 2), (90, 3, 5)], "a long, b long, shared_len long")
+    got = {r["featureid"]: (r["target"], r["status"]) for r in routing.route_catchments(cats, net, net.filter("comid = 2"), near).collect()}
+    assert got == {1: (2, "routed"), 2: (0, "terminal"), 3: (1, "routed"), 90: (1, "resolved"), 91: (-1, "no_candidates")}
+
+
+def test_mainstem_ties_and_weights(spark):
+    rows = [("a", 2, 9), ("a", 2, 7), ("a", 1, 7), ("b", None, None)]
+    got = basin.mainstem(spark.createDataFrame(rows, "huc12 string, streamorde int, levelpathi long")).collect()
+    assert {(r["levelpathi"], r["ismainstem"]) for r in got} == {(7, 1), (9, 0), (None, 0)}
+    over = spark.createDataFrame([(1, 2.0, 10.0, None), (1, 2.0, None, 4.0), (1, 6.0, 20.0, 8.0)], "zone int, area double, x double, y double")
+    r = basin.area_weighted(over, "x", "y").first()
+    assert r["x"] == pytest.approx(17.5) and r["y"] == pytest.approx(7)
+    assert basin.field_name("2nd slope") == "f_2nd_slope" and basin.fields_to_add(over, ["AREA", "z"]) == ["z"]
