@@ -39,10 +39,10 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.withColumn("s", F.explode(starts)).select("item_id", F.expr(f"slice(w, s, {size})").alias("window")).distinct()
 
 
-def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
-    """df in blocks by key, each of a size that may be broadcast; one block unless df is large."""
+def _blocks(df: DataFrame) -> list[DataFrame]:
+    """df in blocks by the hash of its rows, each of a size that may be broadcast; one block unless df is large."""
     n = math.ceil(df.count() / BROADCAST_ROWS * 1.5) if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else 1
-    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else df for i in range(n)]
+    return [df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == i) if n > 1 else df for i in range(n)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -53,13 +53,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, start, n (words), item_id of every place in a document where a window of an item occurs."""
+    """doc_id, start, n (words), item_id of every place in a document where a window of an item occurs.
+
+    With them, from the same pass, comes one row for each row of docs with its n_words (null for places) and nulls else.
+    """
     wanted = written(windows(benchmark, size).withColumn("wid", F.xxhash64("window")), "decon-windows")
-    tokens = docs.select("doc_id", words("text").alias("w"))
     terms = wanted.select("wid", "window", "item_id", F.posexplode("window").alias("off", "term")).withColumn("term", F.lower("term"))
     vocabulary = written(terms.select("term").distinct(), "decon-terms")
-    found = tokens.select(F.explode("w").alias("word")).select(F.lower("word").alias("term"))
-    often = written(_union([found.join(F.broadcast(b), "term").groupBy("term").count() for b in _blocks(vocabulary, "term")]), "decon-frequency")
+    # the lower case of a text has the same words as the text, each in lower case
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
+    often = written(_union([found.join(F.broadcast(b), "term").groupBy("term").count() for b in _blocks(vocabulary)]), "decon-frequency")
     # a window with a term that no document has can't occur
     rarest = (
         terms.join(often, "term", "left")
@@ -69,14 +72,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         .select("item_id", F.array_join("window", " ").alias("line"), "r.term", "r.off", F.size("window").alias("n"))
     )
     seeds = written(rarest, "decon-seeds")
+    # before the words stands an empty one, at 0, for the document itself; slices count from 1, which is then the first word
+    tokens = docs.select("doc_id", F.concat(F.array(F.lit("")), words("text")).alias("w"))
     postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", F.lower("word"))
-    start = F.col("pos") - F.col("off")
+    start = F.col("pos") - F.col("off") - 1
+    # words have no spaces; all of this stays in generated code, so a document's words aren't copied for each posting
+    same = plain(F.array_join(F.slice("w", start + 2, F.col("n")), " ")) == F.col("line")
+    inside = (start >= 0) & (start + F.col("n") < F.size("w"))
     parts = []
-    for block in _blocks(seeds, "term"):
-        there = postings.join(F.broadcast(block), "term").filter((start >= 0) & (start + F.col("n") <= F.size("w")))
-        # words have no spaces; all of this stays in generated code, so a document's words aren't copied for each posting
-        same = plain(F.array_join(F.slice("w", start + 1, F.col("n")), " ")) == F.col("line")
-        parts.append(there.filter(same).select("doc_id", start.alias("start"), "n", "item_id"))
+    for k, block in enumerate(_blocks(seeds)):
+        block = block.withColumnRenamed("term", "seed")
+        there = postings.join(F.broadcast(block), (F.col("term") == F.col("seed")) & inside & same, "left")
+        there = there.filter(F.col("item_id").isNotNull() | (F.col("pos") == 0) if k == 0 else F.col("item_id").isNotNull())
+        parts.append(there.select("doc_id", start.alias("start"), "n", "item_id", F.when(F.col("pos") == 0, F.size("w") - 1).cast("long").alias("n_words")))
     return _union(parts)
 
 
@@ -86,14 +94,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     Null and empty texts have no words, null and wordless items no windows; a document without hits has the digest of the
     empty text. Rows that repeat a doc_id are taken as the same document. Empty tables give no rows or no hits.
     """
-    found = written(hits(docs, benchmark, size), "decon-hits")
+    both = written(hits(docs, benchmark, size), "decon-hits")
+    found, counted = both.filter("n_words is null"), both.filter("n_words is not null").select("doc_id", "n_words")
     w = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     runs = found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
     covered = runs.withColumn("to", F.coalesce(F.max("stop").over(w), F.lit(0))).select("doc_id", F.greatest(F.col("stop") - F.greatest("start", "to"), F.lit(0)).alias("k"))
     covered = covered.groupBy("doc_id").agg(F.sum("k").cast("long").alias("n_hit"))
     items = found.select("doc_id", F.col("item_id").cast("string").alias("i")).groupBy("doc_id").agg(F.array_sort(F.collect_set("i")).alias("i"))
     sums = written(covered.join(items, covered["doc_id"].eqNullSafe(items["doc_id"])).select(covered["doc_id"].alias("_id"), "n_hit", F.size("i").cast("long").alias("n_items"), F.array_join("i", ",").alias("items")), "decon-sums")
-    counted = docs.select("doc_id", F.size(words("text")).cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     hit = F.coalesce("n_hit", zero)
     return counted.join(sums, counted["doc_id"].eqNullSafe(sums["_id"]), "left").select(
