@@ -9,8 +9,8 @@ prefix, and within an interval a second scan over the reversed left contexts fin
 the left because their members' next bytes differ. Such a group, if no deeper interval holds all of it, is a maximal repeat
 with all its occurrences.
 
-Pieces that are a 4096th of all, and groups with very many different contexts, are not gathered: their strings are
-compared by a 128-bit hash in an aggregate that combines before the shuffle.
+Pieces that are a 4096th of all, and groups with very many different contexts, are not gathered: contexts are grouped by
+their hash, and the strings of one of each by a 128-bit hash, in aggregates that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -92,12 +92,12 @@ def _heavy(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None, *held[0].view(np.int64).tolist()], pa.int64()), pa.array([total, *held[1].tolist()], pa.int64())], names=["piece", "n"])
 
 
-def _anchors(shared) -> Callable:
+def _anchors(shared, of_hot: bool) -> Callable:
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for part in parts:
             for data, ids, offset, piece, place, low, high in _each(part):
-                keep = ~np.isin(piece, hot)
+                keep = np.isin(piece, hot) == of_hot
                 ids, offset, piece, place, low, high = (x[keep] for x in (ids, offset, piece, place, low, high))
                 shape = (place - low) << 8 | (high - low)
                 context = mix(span_hashes(data, low, high + LENGTH) + shape.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -118,21 +118,6 @@ def _hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _SHUFFLED = np.argsort(mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
 
 
-def _hot_strings(shared) -> Callable:
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for part in parts:
-            for data, ids, offset, piece, _, low, high in _each(part):
-                keep = np.flatnonzero(np.isin(piece, hot))
-                n = high[keep] - low[keep] + 1
-                at = np.repeat(keep, n)
-                start = low[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                a, b = _hashes(data, start)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ids[at]), pa.array(start - offset[at])], names=["a", "b", "doc_id", "start"])
-
-    return run
-
-
 _GROUPED = pa.schema([("kind", pa.int32()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("first", pa.bool_()), ("shape", pa.int32())])
 WHOLE, SUFFIX, WIDE = 0, 1, 2
 
@@ -212,7 +197,7 @@ def _same(a: bytes, b: bytes) -> int:
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
     """Length, first and last of each common-prefix interval, deepest first; common[i] is what i shares with i - 1."""
-    stack = [(0, 0)]  # length, first
+    stack: list[tuple[int, int]] = []  # length, first
     for i in range(1, len(common) + 1):
         now, first = common[i] if i < len(common) else -1, i - 1
         while stack and stack[-1][0] > now:
@@ -284,10 +269,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
     total = (counts.filter("piece is null").first() or [None, 0])[1]
     hot = counts.filter(F.col("piece").isNotNull() & (F.col("n") * HOT >= total)).filter(F.col("n") > 64).orderBy("piece").toPandas()["piece"].to_numpy(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(hot)
-    rows = docs.mapInArrow(_anchors(shared), "piece long, context long, doc_id long, low long, shape int")
+    anchor = "piece long, context long, doc_id long, low long, shape int"
+    rows = docs.mapInArrow(_anchors(shared, False), anchor)
     grouped = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_grouped(GROUP), "kind int, repeat_id long, length long, doc_id long, start long, first boolean, shape int")
     grouped = written(grouped, "repeats-grouped")
     fields = ["repeat_id", "length", "doc_id", "start", "first"]
+    whole = grouped.filter(F.col("kind") == WHOLE).select(fields)
+    if len(hot):
+        # of each context of a hot piece, the first occurrence alone goes on to the comparison of strings
+        rows = written(docs.mapInArrow(_anchors(shared, True), anchor), "repeats-hot")
+        first = written(rows.groupBy("piece", "context").agg(F.min(F.struct("doc_id", "low", "shape")).alias("f"), F.count("*").alias("n")), "repeats-contexts")
+        length = (F.col("shape").bitwiseAND(255) + LENGTH).cast("long").alias("length")
+        again = rows.join(first.filter("n > 1").select("piece", "context", "f"), ["piece", "context"])
+        is_first = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("low") == F.col("f.low"))
+        whole = whole.unionByName(again.select(F.col("context").alias("repeat_id"), length, "doc_id", F.col("low").alias("start"), is_first.alias("first")))
+        more = first.select(F.lit(WIDE).alias("kind"), F.col("piece").alias("repeat_id"), F.lit(0).cast("long").alias("length"), "f.doc_id", F.col("f.low").alias("start"), F.lit(True).alias("first"), "f.shape")
+        grouped = grouped.unionByName(more)
     wanted = grouped.filter(F.col("kind") != WHOLE).groupBy(F.col("doc_id").alias("_id")).agg(
         *[F.collect_list(F.when(F.col("kind") == k, F.struct("repeat_id", "start", "shape"))).alias(n) for k, n in ((SUFFIX, "suffix"), (WIDE, "wide"))]
     )
@@ -297,15 +294,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     met = near.join(wanted.hint("shuffle_hash"), near["doc_id"] == wanted["_id"]).select("doc_id", "text", "suffix", "wide")
     contexts = met.select("doc_id", "text", "suffix").mapInArrow(_contexts, "piece long, doc_id long, place long, left binary, right binary")
     compared = contexts.repartition("piece").sortWithinPartitions("piece").mapInArrow(_compared, "repeat_id long, length long, doc_id long, start long, first boolean")
-    out = grouped.filter(F.col("kind") == WHOLE).select(fields).unionByName(written(compared, "repeats-compared"))
-    strings = None
-    if len(hot):
-        strings = docs.mapInArrow(_hot_strings(shared), "a long, b long, doc_id long, start long")
+    out = whole.unionByName(written(compared, "repeats-compared"))
     if not grouped.filter(F.col("kind") == WIDE).isEmpty():
-        more = met.filter(F.size("wide") > 0).select("doc_id", "text", "wide").mapInArrow(_wide_strings, "a long, b long, doc_id long, start long")
-        strings = more if strings is None else strings.unionByName(more)
-    if strings is not None:
-        strings = written(strings, "repeats-strings")
+        strings = written(met.filter(F.size("wide") > 0).select("doc_id", "text", "wide").mapInArrow(_wide_strings, "a long, b long, doc_id long, start long"), "repeats-strings")
         first = strings.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "f")
         again = strings.join(written(first, "repeats-first"), ["a", "b"])
         place = F.struct("doc_id", "start")
@@ -349,6 +340,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base = texts(docs)
     thin = written(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "repeats-thin")
     owners = thin.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("_sha"), "owner")
+    owners = written(owners, "repeats-owners")  # then the join's both sides are dealt out for it, and a large group of copies can be split
     copies = written(thin.join(owners, thin["sha"] == F.col("_sha")).filter("doc_id <> owner").select(F.col("doc_id").alias("_copy")), "repeats-copies")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = base.filter("doc_id is not null")
