@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, depth_to_outlet
 
 METHODS = ("kmeans", "agglomerative", "spectral")
 
@@ -48,31 +48,28 @@ def agglomerative(features: DataFrame, k: int) -> DataFrame:
     tree as joining the nearest pair each time. The tree is then cut after its n - k lowest joins.
     """
     nodes = cut(features.select("site", F.col("site").alias("c"), "v"))
-    state = cut(nodes.select("c", "v", F.lit(1.0).alias("n")))
+    n = left = nodes.count()
+    state = nodes.select("c", "v", F.lit(1.0).alias("n"))
     joins = None
-    while state.count() > 1:
+    while left > 1:
         a = state.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
         b = state.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
         apart = a.join(b, F.col("a") != F.col("b")).select("a", "b", (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * squared(F.col("va"), F.col("vb"))).alias("h"))
         order = F.struct("h", F.least("a", "b"), F.greatest("a", "b"))
         near = cut(apart.groupBy("a").agg(F.min_by(F.struct("b", "h"), order).alias("m")).select("a", "m.b", "m.h"))
         both = near.filter("a < b").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).select("a", "b", "h")
-        both = cut(both)
+        left -= both.count()
         joins = both if joins is None else joins.unionByName(both)
         renamed = state.join(both.select(F.col("b").alias("c"), "a"), "c", "left").select(F.coalesce("a", "c").alias("c"), "v", "n")
         items = renamed.select("c", "n", F.posexplode("v").alias("i", "x"))
         means = items.groupBy("c", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
         state = cut(means.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n")))
     label = nodes.select("site", "c")
-    n = nodes.count()
     if joins is not None and n > k:
         # a join's lower name is its cluster's; following the lowest n - k joins leads to each cluster's name
-        low = cut(joins.orderBy("h", "a", "b").limit(n - k).select(F.col("b").alias("c"), "a"))
-        while True:
-            moved = cut(label.join(low, "c", "left").select("site", F.coalesce("a", "c").alias("c"), F.col("a").isNotNull().alias("m")))
-            label = moved.select("site", "c")
-            if moved.filter("m").isEmpty():
-                break
+        low = joins.orderBy("h", "a", "b").limit(n - k).select(F.col("b").alias("comid"), F.col("a").alias("tocomid"))
+        ends = depth_to_outlet(cut(label.select(F.col("c").alias("comid")).join(low, "comid", "left")))
+        label = label.join(ends, F.col("c") == F.col("comid")).select("site", F.col("outlet").alias("c"))
     names = label.groupBy("c").agg(F.min("site").alias("first"))
     ranks = names.join(names.select(F.col("first").alias("other")), F.col("other") < F.col("first"), "left").groupBy("c").agg(F.count("other").cast("int").alias("cluster"))
     return label.join(ranks, "c").select("site", "cluster")

@@ -27,7 +27,6 @@ _SQL = """f AS (SELECT s.site, m, coalesce(x, 0) AS x, s.site % 4 AS c FROM (SEL
 mid AS (SELECT c, m, avg(x) AS g, count(*) AS n FROM f GROUP BY 1, 2)"""
 
 query("cl1_kmeans")(lambda s, d: cluster.fit(features(s, d), "kmeans", 4))
-query("cl2_agglomerative")(lambda s, d: cluster.fit(features(s, d), "agglomerative", 4))
 query("cl3_spectral")(lambda s, d: cluster.fit(features(s, d), "spectral", 3))
 query("cl5_pca")(lambda s, d: rounded(cluster.pca(features(s, d))[0], 4))
 query("cl6_gap_statistic")(lambda s, d: cluster.gap_statistic(features(s, d), [2, 3], 2))

@@ -158,3 +158,13 @@ def test_mainstem_ties_and_weights(spark):
     r = basin.area_weighted(over, "x", "y").first()
     assert r["x"] == pytest.approx(17.5) and r["y"] == pytest.approx(7)
     assert basin.field_name("2nd slope") == "f_2nd_slope" and basin.fields_to_add(over, ["AREA", "z"]) == ["z"]
+
+
+def test_agglomeration_cuts_the_tree(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [5.0, 5.0]), (4, [5.0, 5.2]), (5, [20.0, 0.0])]
+    from rillspark.operators import cluster
+
+    got = {r["site"]: r["cluster"] for r in cluster.agglomerative(spark.createDataFrame(rows, "site long, v array<double>"), 3).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2}
+    with pytest.raises(NotImplementedError):
+        cluster.fit(spark.createDataFrame(rows, "site long, v array<double>"), "other")
