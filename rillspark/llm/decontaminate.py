@@ -2,8 +2,8 @@
 
 Every window of a benchmark item is looked up by its rarest term in the documents. Only postings (document, position) of
 these terms are made; a term's offset in the window gives the place where the window would start, and the window's other
-words are compared there. Terms are matched in Spark's lower case, which joins more words than the rule's A-Z to a-z; the
-comparison of whole windows then holds to the rule.
+words are compared there. Terms, windows and texts have A-Z as a-z and all else as it is: unlike Spark's lower case, this
+gives a word the same letters wherever it stands (a capital sigma's small form depends on what follows).
 """
 
 from __future__ import annotations
@@ -23,18 +23,19 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARE = 20
 
 
-def words(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
+def plain(text: Column) -> Column:
+    """A-Z as a-z, other letters as they are."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def plain(word: Column) -> Column:
-    """A-Z as a-z, other letters as they are."""
-    return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
+def words(text: str) -> Column:
+    """The words of a text with A-Z as a-z; lower-casing the whole text is cheaper than each word."""
+    return F.regexp_extract_all(plain(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, window (words) of each item: all runs of size words, or all words of a shorter item that has any."""
-    items = benchmark.select("item_id", F.transform(words("text"), plain).alias("w")).filter(F.size("w") > 0)
+    items = benchmark.select("item_id", words("text").alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     return items.withColumn("s", F.explode(starts)).select("item_id", F.expr(f"slice(w, s, {size})").alias("window")).distinct()
 
@@ -58,10 +59,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     With them, from the same pass, comes one row for each row of docs with its n_words (null for places) and nulls else.
     """
     wanted = written(windows(benchmark, size).withColumn("wid", F.xxhash64("window")), "decon-windows")
-    terms = wanted.select("wid", "window", "item_id", F.posexplode("window").alias("off", "term")).withColumn("term", F.lower("term"))
+    terms = wanted.select("wid", "window", "item_id", F.posexplode("window").alias("off", "term"))
     vocabulary = written(terms.select("term").distinct(), "decon-terms")
-    # the lower case of a text has the same words as the text, each in lower case
-    found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
+    found = docs.select(F.explode(words("text")).alias("term"))
     often = written(_union([found.join(F.broadcast(b), "term").groupBy("term").count() for b in _blocks(vocabulary)]), "decon-frequency")
     # a window with a term that no document has can't occur
     rarest = (
@@ -74,10 +74,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     seeds = written(rarest, "decon-seeds")
     # before the words stands an empty one, at 0, for the document itself; slices count from 1, which is then the first word
     tokens = docs.select("doc_id", F.concat(F.array(F.lit("")), words("text")).alias("w"))
-    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).withColumn("term", F.lower("word"))
+    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
     start = F.col("pos") - F.col("off") - 1
     # words have no spaces; all of this stays in generated code, so a document's words aren't copied for each posting
-    same = plain(F.array_join(F.slice("w", start + 2, F.col("n")), " ")) == F.col("line")
+    same = F.array_join(F.slice("w", start + 2, F.col("n")), " ") == F.col("line")
     inside = (start >= 0) & (start + F.col("n") < F.size("w"))
     parts = []
     for k, block in enumerate(_blocks(seeds)):

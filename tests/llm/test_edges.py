@@ -114,6 +114,15 @@ def test_contamination(docs, empty, spark):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_contamination_in_greek_capitals(spark):
+    """Spark's lower case writes a capital sigma by what follows it, so a text's words differ from the same words alone."""
+    passage = " ".join(f"ΟΔΟΣ.ΑΘΗΝΑ{k}Σ:ΤΕΛΟΣ" for k in range(8))
+    texts, items = [(1, passage), (2, "ΑΡΧΗ " + passage + " x"), (3, passage.lower()), (4, "x")], [(7, passage), (8, "ΤΕΛΟΣ'ΑΡΧΗ")]
+    docs, bench = (spark.createDataFrame(r, f"{i} long, text string") for r, i in ((texts, "doc_id"), (items, "item_id")))
+    got = rows(decontaminate.decontaminate(docs, bench))
+    assert got == brute.contaminated(texts, items) and {r[0] for r in got if r[-1]} == {1, 2}
+
+
 def test_secrets_and_ledger(docs, empty, spark):
     findings, added = secrets.find_secrets(docs)
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.report(findings).collect()}
