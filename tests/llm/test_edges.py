@@ -1,7 +1,10 @@
 """Every operator on a table of hard cases, on an empty table, and against its plain version."""
 
 import random
+import zlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -214,3 +217,34 @@ def test_tool_calls(spark):
     assert got["a"]["json"] == '{"arguments":{"limit":3,"query":"é\\"x"},"depth":0,"id":"a","name":"search","result":"r","status":"linked"}'
     assert got["a"]["n_results"] == 2
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0)).count() == 0
+
+
+def test_scores_know_the_words_before(spark, monkeypatch):
+    """Phrases of training documents earn more than the same words shuffled, and scores follow a plain version."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    phrases = [rng.sample(vocabulary, 8) for _ in range(12)]
+    texts = [(i, " ".join(w for _ in range(6) for w in rng.choice(phrases))) for i in range(120)]
+    held = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    plain = [w for p in phrases for w in p]
+    texts += [(held[0], " ".join(plain)), (held[1], " ".join(rng.sample(plain, len(plain)))), (None, None), (5000, "")]
+    made = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in mixing.language_scores(made).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"]) and got[held[0]]["score"] > got[held[1]]["score"] + 40
+    counts, starts = [Counter(), Counter(), Counter()], 0
+    for i, t in texts:
+        if not got[i]["held_out"]:
+            w, starts = ["<", "<", *(t or "").split(), ""], starts + 1
+            for n in range(3):
+                counts[n].update(tuple(w[k - n : k + 1]) for k in range(2, len(w)))
+    counts[0]["<",] = counts[1]["<", "<"] = starts
+    w = ["<", "<", *plain, ""]
+    c = np.array([[counts[n][tuple(w[k - n : k + 1])] for k in range(2, len(w))] for n in range(3)], float)
+    _, seen, _ = mixing.chances(c, np.full(len(w) - 2, -2.0), starts, 0, 0.0)
+    for k in range(2, len(w)):
+        for n in (1, 2):
+            below = counts[n - 1][tuple(w[k - n : k])]
+            assert seen[n - 1, k - 2] == pytest.approx(counts[n][tuple(w[k - n : k + 1])] / below if below else 0)
+    monkeypatch.setattr(mixing, "FREQUENT", 20)  # most keys are then joined and not broadcast
+    twice = {r["doc_id"]: r for r in mixing.language_scores(made.coalesce(1)).collect()}
+    assert all(twice[i]["score"] == pytest.approx(got[i]["score"], rel=0.02) for i in got)
