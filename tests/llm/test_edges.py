@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -248,3 +249,23 @@ def test_scores_know_the_words_before(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FREQUENT", 20)  # most keys are then joined and not broadcast
     twice = {r["doc_id"]: r for r in mixing.language_scores(made.coalesce(1)).collect()}
     assert all(twice[i]["score"] == pytest.approx(got[i]["score"], rel=0.02) for i in got)
+
+
+def test_word_beginnings_share_no_slots():
+    """Every beginning of three bytes or more has counts of its own, however many there are."""
+    words = sorted({"".join(random.Random(k).choices("abcdefghijklmnop", k=9)).encode() for k in range(20_000)})
+    coder = mixing.Coder(mixing.byte_code(np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256)))
+    table = pa.table({"token": pa.array(words, pa.binary()), "train": np.ones(len(words), np.int64)})
+    keys, counts = mixing.beginnings(coder, [table.slice(0, 7000), table.slice(7000)])
+    start, size, path = coder.start, coder.size, coder.path
+    want = Counter()
+    for w in words:
+        for k, b in enumerate(w + b" "):
+            if k >= mixing.HEAD:
+                want.update((w[:k], *path[i]) for i in range(start[b], start[b] + size[b]))
+    assert len(keys) == len({x[:2] for x in want}) and counts.sum() == sum(want.values())
+    assert sorted(counts[:, 1]) == sorted(want.get((*x, 1), 0) for x in {x[:2] for x in want})
+    coder.keys = keys
+    slots = coder.slots(words[:300])[0]
+    assert slots[3].max() < coder.first[-1] + len(keys)
+    assert coder.slots([b"zzzzzz"])[0][3].max() == coder.first[-1] + len(keys)
