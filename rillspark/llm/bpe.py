@@ -16,6 +16,8 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,11 +36,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(1)
-def piece_pattern() -> re.Pattern:
-    """The pattern of the public rank files for the standard library's re: letters, numbers and white space as classes from unicodedata."""
+@lru_cache
+def piece_pattern(top: int = sys.maxunicode) -> re.Pattern:
+    """The pattern of the public rank files for the standard library's re, for texts of code points up to top.
+
+    Letters, numbers and white space are classes from unicodedata. A class without ranges beyond 0xFFFF is one table
+    look-up for each character; with them the ranges are tried in turn.
+    """
     kinds: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(sys.maxunicode + 1):
+    for c in range(top + 1):
         runs = kinds.get(unicodedata.category(chr(c))[0])
         if runs is not None:
             if runs and runs[-1][1] == c - 1:
@@ -46,8 +52,16 @@ def piece_pattern() -> re.Pattern:
             else:
                 runs.append([c, c])
     letter, number = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in "LN")
-    space = r"\t-\r \x85\xa0  -     　"
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?(?:[{letter}]+|[{number}]+|[^{space}{letter}{number}]+)|[{space}]+(?![^{space}])|[{space}]+")
+
+
+def pattern_for(text: str) -> re.Pattern:
+    """The narrowest piece pattern that holds for a text."""
+    if text.isascii():
+        return piece_pattern(0x7F)
+    wide = len(text.encode("utf-16-le", "surrogatepass")) > 2 * len(text)
+    return piece_pattern(sys.maxunicode if wide else 0xFFFF)
 
 
 class Vocabulary:
@@ -59,6 +73,15 @@ class Vocabulary:
         for k, v in ranks.items():
             self.bytes[v] = k
         self.longest = max(map(len, ranks))
+        self.length = list(map(len, self.bytes))
+        self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.sizes = np.array(self.length, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: All tokens that end at each byte of a string, in one pass over it.
+        self.ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, v in ranks.items():
+            self.ends.add_word(k.decode("latin-1"), v)
+        self.ends.make_automaton()
         self.halves = [self._halves(b, i) for i, b in enumerate(self.bytes)]
         self.stands: dict[int, bool] = {}
 
@@ -104,26 +127,26 @@ class PrefixEncoder:
     """The last token of every byte prefix of one piece; last[0] stands for the empty prefix."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.v, self.data, self.last = vocabulary, b"", [-1]
+        self.v, self.data = vocabulary, b""
+        self.last: list[int | None] = [-1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Adds bytes at the end; earlier entries hold as they are."""
         start = len(self.data)
         self.data += more
-        data, last, rank, longest = self.data, self.last, self.v.ranks.get, self.v.longest
-        size, known, can_follow = self.v.size, self.v.stands.get, self.v.can_follow
-        for end in range(start + 1, len(data) + 1):
-            for begin in range(end - longest if end > longest else 0, end):
-                token = rank(data[begin:end])
-                if token is None:
-                    continue
+        last, length, size, known, can_follow = self.last, self.v.length, self.v.size, self.v.stands.get, self.v.can_follow
+        last.extend([None] * len(more))
+        back = max(0, start - self.v.longest)  # no token over the new bytes begins before
+        for end, token in self.v.ends.iter(self.data[back:].decode("latin-1")):
+            end += back + 1
+            if last[end] is None:
+                begin = end - length[token]
                 if begin:
                     stands = known(last[begin] * size + token)
                     if not (can_follow(last[begin], token) if stands is None else stands):
                         continue
-                last.append(token)
-                break
+                last[end] = token
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Replaces data[start:end]; only the entries beyond start are made anew."""
@@ -161,7 +184,7 @@ class EditableText:
         starts, encoded = self.starts[:first], self.encoded[:first]
         rest = len(self.starts)
         made = 0
-        for m in piece_pattern().finditer(text, at):
+        for m in pattern_for(text).finditer(text, at):
             if m.start() >= start + len(new) and m.start() in old:
                 rest = old[m.start()]
                 break
@@ -200,11 +223,21 @@ class _Pieces(dict):
 
 def encode_packed(text: str, pieces: _Pieces) -> bytes:
     """ids of a text as little-endian unsigned 32-bit integers."""
-    return b"".join(map(pieces.__getitem__, piece_pattern().findall(text)))
+    return b"".join(map(pieces.__getitem__, pattern_for(text).findall(text)))
+
+
+def decoded(vocabulary: Vocabulary, packed: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of packed ids, so many ids at a time: each token's bytes are copied from the vocabulary's, laid end to end."""
+    ids = np.frombuffer(packed, "<u4")
+    for at in range(0, len(ids), step):
+        block = ids[at : at + step]
+        size = vocabulary.sizes[block]
+        to = np.cumsum(size)
+        yield vocabulary.blob[np.arange(to[-1]) + np.repeat(vocabulary.starts[block] - (to - size), size)].tobytes()
 
 
 def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> bytes:
-    return b"".join(map(vocabulary.bytes.__getitem__, ids))
+    return b"".join(decoded(vocabulary, np.array(list(ids), "<u4").tobytes()))
 
 
 #: What a Python worker keeps from task to task, by rank file.
@@ -222,8 +255,10 @@ def _encoder(shared, name: str) -> Callable:
             for part in parts:
                 for doc_id, text in zip(part[0].to_pylist(), part[1], strict=True):
                     ids = encode_packed(text.as_py() or "", pieces)
-                    back = decode(v, memoryview(ids).cast("I") if sys.byteorder == "little" else struct.unpack(f"<{len(ids) // 4}I", ids))
-                    yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+                    back = hashlib.sha256()
+                    for x in decoded(v, ids):
+                        back.update(x)
+                    yield doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()
 
         return batches(rows(), _OUT)
 
