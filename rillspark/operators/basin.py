@@ -40,9 +40,13 @@ def mainstem(reaches: DataFrame) -> DataFrame:
     return reaches.join(main, "huc12", "left").withColumn("ismainstem", F.coalesce(F.col("levelpathi") == F.col("_main"), F.lit(False)).cast("int")).drop("_main")
 
 
-def transferred(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """rows with column from values where it has the key, the old value else; updated tells which. First key wins."""
-    first = values.groupBy(key).agg(F.first(column, ignorenulls=True).alias("_new")) if values.count() != values.select(key).distinct().count() else values.select(key, F.col(column).alias("_new"))
+def transferred(rows: DataFrame, values: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """rows with column from values where it has the key, the old value else; updated tells which.
+
+    Of several values of a key the one that is first by order counts, without order the smallest.
+    """
+    known = values.filter(F.col(column).isNotNull())
+    first = known.groupBy(key).agg(F.min_by(column, F.struct(order or column, column)).alias("_new"))
     return rows.join(first, key, "left").withColumn("updated", F.col("_new").isNotNull()).withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 

@@ -6,7 +6,9 @@ distances are made of; the pairs are rows dealt out by Spark, and the number of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -31,10 +33,20 @@ def pairs(features: DataFrame) -> DataFrame:
     return left.join(right, F.col("a") < F.col("b"))
 
 
+#: Fits that are run side by side.
+AT_ONCE = 8
+
+
 def kmeans(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """site, cluster."""
+    return fitted(features, k, seed)[0]
+
+
+def fitted(features: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float]:
+    """site, cluster of k-means, and its inertia."""
     data = features.select("site", array_to_vector("v").alias("features"))
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data).select("site", "cluster")
+    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(data)
+    return model.transform(data).select("site", "cluster"), model.summary.trainingCost
 
 
 def inertia(features: DataFrame, k: int, seed: int = 42) -> float:
@@ -101,60 +113,80 @@ def pca(features: DataFrame, components: int | float | None = 0.95) -> tuple[Dat
     return model.transform(data).select("site", *[p[i].alias(f"PC{i + 1}") for i in range(k)]), share[:k]
 
 
-def gap_statistic(features: DataFrame, ks: list[int], references: int = 3, seed: int = 42) -> DataFrame:
+def gap_statistic(features: DataFrame, ks: range = range(2, 13), references: int = 10, seed: int = 42) -> DataFrame:
     """k, gap: mean log inertia of uniform references in the features' box, less the log inertia of the features."""
+    features = cut(features)
     width = len(features.first()["v"])
     box = features.agg(*[f(F.col("v")[i]) for i in range(width) for f in (F.min, F.max)]).first()
-    rows = []
-    for k in ks:
-        logs = []
-        for r in range(references):
-            uniform = features.select(F.array(*[F.lit(box[2 * i]) + F.rand(seed + 1000 * r + i) * (box[2 * i + 1] - box[2 * i]) for i in range(width)]).alias("v"))
-            logs.append(np.log(max(inertia(uniform, k, seed), 1e-300)))
-        rows.append((k, float(np.mean(logs) - np.log(max(inertia(features, k, seed), 1e-300)))))
+    tables = [features]
+    for r in range(references):
+        tables.append(cut(features.select(F.array(*[F.lit(box[2 * i]) + F.rand(seed + 1000 * r + i) * (box[2 * i + 1] - box[2 * i]) for i in range(width)]).alias("v"))))
+    jobs = [(k, t) for k in ks for t in tables]
+    with ThreadPool(AT_ONCE) as pool:
+        logs = np.log(np.maximum(pool.starmap(lambda k, t: inertia(t, k, seed), jobs), 1e-300)).reshape(len(ks), -1)
+    rows = [(k, float(x[1:].mean() - x[0])) for k, x in zip(ks, logs, strict=True)]
     return features.sparkSession.createDataFrame(rows, "k int, gap double")
 
 
-def centroids(labelled: DataFrame) -> DataFrame:
-    """cluster, n, m (mean array) of site, cluster, v."""
-    items = labelled.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return items.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+def centroids(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, cluster, n, m (mean array) of site, cluster, v; by names columns that tell clusterings apart."""
+    items = labelled.select(*by, "cluster", F.posexplode("v").alias("i", "x")).groupBy(*by, "cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    return items.groupBy(*by, "cluster").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+
+
+def davies_bouldin(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    mid, keys = centroids(labelled, by), [*by, "cluster"]
+    spread = labelled.join(mid, keys).groupBy(*keys).agg(F.avg(F.sqrt(squared(F.col("v"), F.col("m")))).alias("s")).join(mid, keys)
+    a, b = (spread.select(*[F.col(c).alias(f"{c}_{x}") for c in by], F.col("cluster").alias(f"c{x}"), F.col("s").alias(f"s{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+    other = F.col("ca") != F.col("cb")
+    for c in by:
+        other &= F.col(f"{c}_a") == F.col(f"{c}_b")
+    worst = a.join(b, other).groupBy(*[F.col(f"{c}_a").alias(c) for c in by], "ca").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(squared(F.col("ma"), F.col("mb"))))).alias("r"))
+    return worst.groupBy(*by).agg(F.avg("r").alias("davies_bouldin"))
+
 
+def calinski_harabasz(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    one = labelled if by else labelled.withColumn("_one", F.lit(1))
+    by_ = by or ("_one",)
+    mid = centroids(one, by_)
+    whole = centroids(one.withColumn("cluster", F.lit(0)), by_).select(*by_, F.col("m").alias("g"), F.col("n").alias("total"))
+    between = mid.join(whole, [*by_]).groupBy(*by_).agg(F.sum(F.col("n") * squared(F.col("m"), F.col("g"))).alias("b"), F.count("*").alias("k_"), F.max("total").alias("n"))
+    within = one.join(mid.select(*by_, "cluster", "m"), [*by_, "cluster"]).groupBy(*by_).agg(F.sum(squared(F.col("v"), F.col("m"))).alias("w"))
+    return between.join(within, [*by_]).select(*by, F.try_divide(F.col("b") * (F.col("n") - F.col("k_")), F.col("w") * (F.col("k_") - 1)).alias("calinski_harabasz"))
 
-def davies_bouldin(labelled: DataFrame) -> DataFrame:
-    mid = centroids(labelled)
-    spread = labelled.join(mid, "cluster").groupBy("cluster").agg(F.avg(F.sqrt(squared(F.col("v"), F.col("m")))).alias("s")).join(mid, "cluster")
-    a, b = (spread.select(F.col("cluster").alias(f"c{x}"), F.col("s").alias(f"s{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
-    worst = a.join(b, F.col("ca") != F.col("cb")).groupBy("ca").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(squared(F.col("ma"), F.col("mb"))))).alias("r"))
-    return worst.agg(F.avg("r").alias("davies_bouldin"))
 
+def distances(features: DataFrame) -> DataFrame:
+    """a, b, distance for all pairs of sites a < b."""
+    return pairs(features).select("a", "b", F.sqrt(squared(F.col("va"), F.col("vb"))).alias("distance"))
 
-def calinski_harabasz(labelled: DataFrame) -> DataFrame:
-    mid = centroids(labelled)
-    whole = centroids(labelled.withColumn("cluster", F.lit(0))).select(F.col("m").alias("g"), F.col("n").alias("total"))
-    between = mid.join(F.broadcast(whole)).agg(F.sum(F.col("n") * squared(F.col("m"), F.col("g"))).alias("b"), F.count("*").alias("k"), F.max("total").alias("n"))
-    within = labelled.join(mid.select("cluster", "m"), "cluster").agg(F.sum(squared(F.col("v"), F.col("m"))).alias("w"))
-    return between.join(F.broadcast(within)).select(F.try_divide(F.col("b") * (F.col("n") - F.col("k")), F.col("w") * (F.col("k") - 1)).alias("calinski_harabasz"))
 
+def silhouette(labels: DataFrame, apart: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The mean silhouette of site, cluster by given distances of pairs (a, b, distance); a site alone in its cluster counts 0.
 
-def silhouette(labelled: DataFrame) -> DataFrame:
-    """The mean silhouette over exact pairwise distances; a site alone in its cluster counts 0."""
-    a = labelled.select(F.col("site").alias("a"), F.col("cluster").alias("ca"), F.col("v").alias("va"))
-    b = labelled.select(F.col("site").alias("b"), F.col("cluster").alias("cb"), F.col("v").alias("vb"))
-    means = a.join(b, F.col("a") != F.col("b")).groupBy("a", "ca", "cb").agg(F.avg(F.sqrt(squared(F.col("va"), F.col("vb")))).alias("d"))
-    per = means.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
+    Distances don't depend on the clustering: they're computed once, whatever the number of clusterings.
+    """
+    both = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    own = labels.select(*by, F.col("site").alias("a"), F.col("cluster").alias("ca"))
+    other = labels.select(*by, F.col("site").alias("b"), F.col("cluster").alias("cb"))
+    means = both.join(own, "a").join(other, [*by, "b"]).groupBy(*by, "a", "ca", "cb").agg(F.avg("distance").alias("d"))
+    per = means.groupBy(*by, "a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))
-    return per.agg(F.avg(s).alias("silhouette"))
+    return per.groupBy(*by).agg(F.avg(s).alias("silhouette"))
 
 
-def sweep(features: DataFrame, ks: range = range(2, 6)) -> DataFrame:
+def sweep(features: DataFrame, ks: range = range(2, 13), seed: int = 42) -> DataFrame:
     """k, inertia, silhouette, davies_bouldin of k-means for each k, scored on the features."""
-    out = None
-    for k in ks:
-        labelled = cut(kmeans(features, k).join(features, "site"))
-        row = silhouette(labelled).join(davies_bouldin(labelled)).select(F.lit(k).alias("k"), F.lit(inertia(features, k)).alias("inertia"), "silhouette", "davies_bouldin")
-        out = row if out is None else out.unionByName(row)
-    return out
+    features = cut(features)
+    with ThreadPool(AT_ONCE) as pool:
+        fits = pool.map(lambda k: fitted(features, k, seed), ks)
+    labels, costs = None, []
+    for k, (label, cost) in zip(ks, fits, strict=True):
+        label = label.withColumn("k", F.lit(k))
+        labels = label if labels is None else labels.unionByName(label)
+        costs.append((k, float(cost)))
+    labels = cut(labels)
+    costs = features.sparkSession.createDataFrame(costs, "k int, inertia double")
+    return costs.join(silhouette(labels, cut(distances(features)), ("k",)), "k").join(davies_bouldin(labels.join(features, "site"), ("k",)), "k")
 
 
 def warp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,39 +210,113 @@ def dtw_matrix(features: DataFrame) -> DataFrame:
     return pairs(features).select("a", "b", distance("va", "vb").alias("distance"))
 
 
-def _paths(centres: np.ndarray):
+def _aligned(series: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the series, points of the centre and of the series that the best path of each pair joins, and the path's cost."""
+    cost = warp(series, centres)
+    n = len(series)
+    i, j = np.full(n, series.shape[1]), np.full(n, centres.shape[1])
+    row, out = np.arange(n), []
+    while len(row):
+        out.append((row, j - 1, i - 1))
+        steps = np.stack([cost[row, i - 1, j - 1], cost[row, i - 1, j], cost[row, i, j - 1]])
+        way = steps.argmin(0)
+        i, j = i - (way < 2), j - (way != 1)
+        going = (i > 0) & (j > 0)
+        row, i, j = row[going], i[going], j[going]
+    return (*(np.concatenate(x) for x in zip(*out, strict=True)), cost[:, -1, -1])
+
+
+def _assign(series: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """For each run its nearest centre of every series."""
+    return [np.stack([warp(series, np.repeat(x[None], len(series), 0))[:, -1, -1] for x in c], 1).argmin(1) for c in centres]
+
+
+def _round(centres: list[np.ndarray]):
+    """Sums over a batch of what aligns with each point of each run's centres, and the runs' costs (at point -1)."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            if not len(part):
+                continue
             series = np.stack(part["v"].to_list())
-            costs = np.stack([warp(series, np.repeat(c[None], len(series), 0))[:, -1, -1] for c in centres], 1)
-            best = costs.argmin(1)
-            rows = []
-            for x, c, site in zip(series, best, part["site"], strict=True):
-                cost = warp(x[None], centres[c][None])[0]
-                i, j = len(x), len(x)
-                while i and j:
-                    rows.append((site, int(c), j - 1, x[i - 1]))
-                    i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda s: cost[s])
-            yield pd.DataFrame(rows, columns=["site", "cluster", "i", "x"])
+            for r, best in enumerate(_assign(series, centres)):
+                width = centres[r].shape[1]
+                row, point, at, cost = _aligned(series, centres[r][best])
+                key = best[row] * width + point
+                total, n = np.bincount(key, series[row, at], centres[r].size), np.bincount(key, minlength=centres[r].size)
+                some = np.flatnonzero(n)
+                yield pd.DataFrame({"run": r, "cluster": np.append(some // width, 0), "i": np.append(some % width, -1), "x": np.append(total[some], cost.sum()), "n": np.append(n[some], len(series))})
 
     return run
 
 
-def dtw_kmeans(features: DataFrame, k: int, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """site, cluster by warping distance; centres are barycentres of what aligns with each of their points.
+def _labels(centres: list[np.ndarray], ks: list[int]):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                for k, best in zip(ks, _assign(np.stack(part["v"].to_list()), centres), strict=True):
+                    yield pd.DataFrame({"k": k, "site": part["site"], "cluster": best})
+
+    return run
+
+
+def dtw_clusterings(features: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42) -> DataFrame:
+    """k, site, cluster by warping distance, for each k the best of several starts; centres are barycentres of what aligns.
 
-    A round aligns every series with every centre, in parallel over sites, and averages per centre and point. The centres
-    (k series) are all that the driver holds.
+    A round aligns every series with the centres of all runs in one pass, summed before the shuffle; the driver holds the
+    centres alone. A cluster that loses all its series keeps its centre.
     """
-    start = [r["v"] for r in features.orderBy(F.xxhash64(F.lit(seed), "site")).limit(k).collect()]
-    centres = np.array(start, float)
-    aligned = None
-    for _ in range(rounds):
-        aligned = cut(features.mapInPandas(_paths(centres), "site long, cluster int, i int, x double"))
-        new = centres.copy()
-        for r in aligned.groupBy("cluster", "i").agg(F.avg("x").alias("x")).toLocalIterator():
-            new[r["cluster"], r["i"]] = r["x"]
-        if np.allclose(new, centres):
-            break
+    features = cut(features.select("site", "v"))
+    runs = [(k, s) for k in ks for s in range(starts)]
+    centres = []
+    for s in range(starts):
+        first = [r["v"] for r in features.orderBy(F.xxhash64(F.lit(seed + s), "site"), "site").limit(max(ks)).collect()]
+        centres += [(k, s, np.array(first[:k], float)) for k in ks]
+    centres = [next(c for k_, s_, c in centres if (k_, s_) == run) for run in runs]
+    costs = [math.inf] * len(runs)
+    for left in range(rounds, -1, -1):
+        made = features.mapInPandas(_round(centres), "run int, cluster int, i int, x double, n long").groupBy("run", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        new = [c.copy() for c in centres]
+        for r in made:
+            if r["i"] < 0:
+                costs[r["run"]] = r["x"]
+            else:
+                new[r["run"]][r["cluster"], r["i"]] = r["x"] / r["n"]
+        if left == 0 or all(np.allclose(a, b) for a, b in zip(new, centres, strict=True)):
+            break  # costs are those of the centres
         centres = new
-    return aligned.select("site", "cluster").distinct()
+    best = [min((i for i, (k_, _) in enumerate(runs) if k_ == k), key=lambda i: (costs[i], i)) for k in ks]
+    return features.mapInPandas(_labels([centres[i] for i in best], [*ks]), "k int, site long, cluster int")
+
+
+def dtw_kmeans(features: DataFrame, k: int, rounds: int = 10, starts: int = 2, seed: int = 42) -> DataFrame:
+    """site, cluster of dtw_clusterings() for one k."""
+    return dtw_clusterings(features, range(k, k + 1), rounds, starts, seed).select("site", "cluster")
+
+
+def time_warp(variants: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Warping clusterings of several normalizations (variant, site, v) of the same series for each k.
+
+    Scores: variant, k, silhouette (on warping distances), davies_bouldin, calinski_harabasz. Assignments: variant, k,
+    site, cluster. Means: variant, k, cluster, n, m (mean series). Each variant is a run of its own; an empty table has none.
+    """
+    variants = cut(variants.select("variant", "site", "v"))
+    labels = apart = None
+    for name in sorted(r[0] for r in variants.select("variant").distinct().collect()):
+        own = variants.filter(F.col("variant") == name)
+        label = dtw_clusterings(own, ks, rounds, starts, seed).withColumn("variant", F.lit(name))
+        far = dtw_matrix(own).withColumn("variant", F.lit(name))
+        labels = label if labels is None else labels.unionByName(label)
+        apart = far if apart is None else apart.unionByName(far)
+    if labels is None:
+        spark = variants.sparkSession
+        kind = dict(variants.dtypes)["variant"]
+        shapes = ("silhouette double, davies_bouldin double, calinski_harabasz double", "site long, cluster int", "cluster int, n long, m array<double>")
+        return tuple(spark.createDataFrame([], f"variant {kind}, k int, {x}") for x in shapes)
+    by = ("variant", "k")
+    labels = cut(labels.select(*by, "site", "cluster"))
+    far = cut(apart.select("variant", "a", "b", "distance"))
+    keyed = F.struct("variant", F.col("a").alias("s")), F.struct("variant", F.col("b").alias("s"))
+    sil = silhouette(labels.select(*by, F.struct("variant", F.col("site").alias("s")).alias("site"), "cluster"), far.select(keyed[0].alias("a"), keyed[1].alias("b"), "distance"), by)
+    labelled = labels.join(variants, ["variant", "site"])
+    return sil.join(davies_bouldin(labelled, by), [*by]).join(calinski_harabasz(labelled, by), [*by]), labels, centroids(labelled, by)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import TAU, cv, log_share, not_leap_day, pearson, ratio
+from .graph import cut
 from .prepare import scoped
 
 KEYS = ["site", "scope"]
@@ -182,10 +183,12 @@ def cv_julian(stats: DataFrame) -> DataFrame:
 
 def all_stats(years: DataFrame) -> DataFrame:
     """Every index per water year and, under all_years, of the whole record; there counts of pulses and turns are per year."""
+    years = cut(years)  # all families start from the same days
     days = scoped(years)
     stats = gathered(years, ar1(), season(), monthly(), extremes(), pulses(), pulse_rates(), rates(), timing(), variability(), baseflow())
     for more in (l_moments(days), cv_annual(days), fh5(days), colwell(days), ta3(days)):
         stats = stats.join(more, KEYS, "left")
+    stats = cut(stats)
     stats = stats.join(cv_julian(stats), "site", "left")
     whole = F.col("scope") == "all_years"
     for c in ("cv_julian_max", "cv_julian_min"):
@@ -197,6 +200,7 @@ def all_stats(years: DataFrame) -> DataFrame:
 
 def hiap(years: DataFrame, use_median: bool = False) -> DataFrame:
     """Twelve indices per water year and, under all_years, their mean or median over years or their own whole-record rule."""
+    years = cut(years)
     year = Window.partitionBy("site", "wy").orderBy("d")
     site = Window.partitionBy("site")
     df = years.withColumn("t", F.row_number().over(year))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,42 +26,96 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def hop_walk(starts: DataFrame, edges: DataFrame, valid: DataFrame, max_hops: int = 15, unresolved: int | None = UNRESOLVED) -> DataFrame:
-    """id, target, hops: from each id along tocomid to the first id in valid, at most so many steps.
+    """id, target, hops: from each id along tocomid to the first id in valid, hops 0 to max_hops - 1.
 
     starts: id. edges: comid, tocomid (one per comid). valid: id, without repeats. hops counts the steps after the direct
-    target, so 0 says that this was valid. Walks that leave the graph, run in a circle or are too long are unresolved.
+    target, so 0 says that this was valid. A walk that isn't resolved tells in hops where it left the graph (-1: it has no
+    direct target), or max_hops if it is too long or runs in a circle.
     """
     edges = edges.select(F.col("comid").alias("_from"), F.col("tocomid").alias("_to"))
     valid = valid.select(F.col("id").alias("_valid"))
     step = lambda df: df.join(edges, df["at"] == F.col("_from"), "left").select("id", F.col("_to").alias("at"))
     front, done = step(starts.select("id", F.col("id").alias("at"))), None
-    for hops in range(max_hops + 1):
-        front = cut(front.filter("at is not null").join(valid, F.col("at") == F.col("_valid"), "left"))
-        found = front.filter("_valid is not null").select("id", F.col("at").alias("target"), F.lit(hops).alias("hops"))
+    for hops in range(max_hops):
+        front = cut(front.join(valid, F.col("at") == F.col("_valid"), "left"))
+        over = F.col("_valid").isNotNull() | F.col("at").isNull()
+        number = F.when(F.col("at").isNull() & F.lit(hops == 0), -1).otherwise(hops).alias("hops")
+        found = front.filter(over).select("id", F.col("_valid").alias("target"), number)
         done = found if done is None else done.unionByName(found)
-        front = front.filter("_valid is null").select("id", "at")
-        if hops == max_hops or front.isEmpty():
+        front = front.filter(~over).select("id", "at")
+        if hops == max_hops - 1 or front.isEmpty():
             break
         front = step(front)
-    return starts.select("id").join(done, "id", "left").select("id", F.coalesce("target", F.lit(unresolved).cast("long")).alias("target"), "hops")
+    target = F.coalesce("target", F.lit(unresolved).cast("long")).alias("target")
+    return starts.select("id").join(done, "id", "left").select("id", target, F.coalesce("hops", F.lit(max_hops)).alias("hops"))
+
+
+def _folder(df: DataFrame) -> str:
+    """A new folder that driver and executors share."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillspark-")
+    return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
 
 def upstream(edges: DataFrame, targets: DataFrame, include_self: bool = False) -> DataFrame:
     """target, up: every id from which target is reached, each once, circles included; target itself if asked for.
 
-    edges: comid, tocomid. targets: id. The loop ends when a round reaches nothing new.
+    edges: comid, tocomid. targets: id. Where each id has one way down and there are no circles, jumps double: about log2
+    of the longest chain in rounds, each joining the pairs found so far once. Else a round is a step up from what the round
+    before found new, until nothing is; each round's pairs are one more part of a table.
     """
+    edges = cut(edges.select("comid", "tocomid").distinct())
+    targets = cut(targets.select("id").distinct())
+    if edges.groupBy("comid").agg(F.count("tocomid").alias("n")).filter("n > 1").isEmpty():
+        ways = edges.groupBy("comid").agg(F.max("tocomid").alias("tocomid"))
+        ends = edges.select("tocomid").filter("tocomid is not null").union(targets).toDF("comid").distinct().join(ways, "comid", "left_anti")
+        ways = cut(ways.unionByName(ends.withColumn("tocomid", F.lit(None).cast("long"))))
+        deepest = depth_to_outlet(ways).agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("circling")).first()
+        if not deepest["circling"]:
+            pairs = _doubled(ways, targets, deepest["d"] or 0)
+            return pairs if include_self else pairs.filter("target <> up")
     back = edges.filter("tocomid is not null").select(F.col("tocomid").alias("_at"), F.col("comid").alias("_up"))
-    seen = front = cut(targets.select(F.col("id").alias("target"), F.col("id").alias("up")).distinct())
+    spark, folder, rounds = edges.sparkSession, _folder(edges), 0
+    front, shape = targets.select(F.col("id").alias("target"), F.col("id").alias("up")), "target long, up long"
     while True:
-        more = front.join(back, F.col("up") == F.col("_at")).select("target", F.col("_up").alias("up")).distinct()
-        front = cut(more.join(seen, ["target", "up"], "left_anti"))
+        front.write.parquet(f"{folder}/{rounds}")
+        front = spark.read.schema(shape).parquet(f"{folder}/{rounds}")
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(folder)
+        front = front.join(back, F.col("up") == F.col("_at")).select("target", F.col("_up").alias("up")).distinct().join(seen, ["target", "up"], "left_anti")
+        rounds += 1
+    seen = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(folder)
     return seen if include_self else seen.filter("target <> up")
 
 
+def _doubled(ways: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
+    """target, up of a forest with chains of at most so many steps, whose ids hold all targets.
+
+    First each id's nearest target at or below it is found, which leaves a forest of targets alone; then pairs of targets.
+    """
+    goal = targets.select(F.col("id").alias("_goal"))
+    reach = ways.join(goal, F.col("comid") == F.col("_goal"), "left").select("comid", F.col("_goal").alias("near"), F.when(F.col("_goal").isNull(), F.col("tocomid")).alias("at"))
+    for _ in range(longest.bit_length()):
+        reach = cut(reach)
+        if reach.filter("at is not null").isEmpty():
+            break
+        over = reach.select(F.col("comid").alias("_c"), F.col("near").alias("_n"), F.col("at").alias("_a"))
+        reach = reach.join(over, F.col("at") == F.col("_c"), "left").select("comid", F.coalesce("near", "_n").alias("near"), F.col("_a").alias("at"))
+    reach = cut(reach.filter("near is not null").select("comid", "near"))
+    below = reach.select(F.col("comid").alias("_c"), F.col("near").alias("to"))
+    jump = ways.join(goal, F.col("comid") == F.col("_goal")).join(below, F.col("tocomid") == F.col("_c")).select(F.col("comid").alias("_from"), "to")
+    pairs = goal.select(F.col("_goal").alias("up"), F.col("_goal").alias("target"))
+    while True:  # pairs less than 2**k targets apart, and jumps over 2**k
+        jump, pairs = cut(jump), cut(pairs)
+        if jump.isEmpty():
+            break
+        pairs = pairs.unionByName(pairs.join(jump, F.col("target") == F.col("_from")).select("up", F.col("to").alias("target")))
+        over = jump.select(F.col("_from").alias("_mid"), F.col("to").alias("_to"))
+        jump = jump.join(over, F.col("to") == F.col("_mid")).select("_from", F.col("_to").alias("to"))
+    inner = pairs.select(F.col("up").alias("_up"), "target")
+    return reach.join(inner, F.col("near") == F.col("_up")).select("target", F.col("comid").alias("up"))
+
+
 def depth_to_outlet(edges: DataFrame) -> DataFrame:
     """comid, outlet, depth for a forest, by pointer doubling: a chain of n reaches takes about log2(n) rounds.
 

@@ -51,16 +51,19 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 
 
 def f_test(x: np.ndarray) -> float:
-    """p of equal variances in both halves (the first shortened if longer); 1 where neither varies."""
-    half = len(x) // 2
-    a, b = x[len(x) - 2 * half : len(x) - half], x[len(x) - half :]
-    if half < 2:
+    """p of equal variances in both parts of a series; 1 where neither varies.
+
+    The first part has half the values, a half rounded to even; if it is the longer one it loses its first value.
+    """
+    split = round(len(x) / 2)
+    a, b = x[max(0, 2 * split - len(x)) : split], x[split:]
+    if min(len(a), len(b)) < 2:
         return 1.0
     va, vb = np.var(a, ddof=1), np.var(b, ddof=1)
     if min(va, vb) == 0:
         return float(va == vb)
-    f = max(va, vb) / min(va, vb)
-    return 1 - incomplete_beta((half - 1) / 2, (half - 1) / 2, (half - 1) * f / ((half - 1) * f + half - 1))
+    f, da, db = max(va, vb) / min(va, vb), len(a) - 1, len(b) - 1
+    return 1 - incomplete_beta(da / 2, db / 2, da * f / (da * f + db))
 
 
 def _least_squares(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
@@ -124,6 +127,13 @@ def ar_forecast(x: np.ndarray, steps: int, max_lags: int) -> np.ndarray:
     return np.array(path[len(x) :])
 
 
+def adjusted(forecast: np.ndarray, before: float, after: float) -> np.ndarray:
+    """The forecast with its own line, from the value before to its last one, replaced by the line from before to after."""
+    n = len(forecast)
+    day = np.arange(1, n + 1)
+    return forecast + day * ((after - before) / (n + 1) - (forecast[-1] - before) / n)
+
+
 def linar_fill(q: np.ndarray, o: LinarOptions) -> tuple[np.ndarray, np.ndarray]:
     """Filled values and, for each, how (0 not, 1 linear, 2 autoregressive); gaps from left to right."""
     q, how = q.astype(float).copy(), np.zeros(len(q), np.int64)
@@ -133,15 +143,13 @@ def linar_fill(q: np.ndarray, o: LinarOptions) -> tuple[np.ndarray, np.ndarray]:
         n = b - a
         if a == 0 or b == len(q) or n > o.max_linear:
             continue
-        line = q[a - 1] + (q[b] - q[a - 1]) * np.arange(1, n + 1) / (n + 1)
-        value, kind = line, 1
+        value, kind = q[a - 1] + (q[b] - q[a - 1]) * np.arange(1, n + 1) / (n + 1), 1
         known = q[max(0, a - o.learn) : a]
         if n <= o.max_linar and len(known) == o.learn and not np.isnan(known).any() and (found := stationary(known, o)):
-            steps = ar_forecast(found[0], n + 1, o.max_lags)
+            steps = ar_forecast(found[0], n, o.max_lags)
             for k in range(found[1] - 1, -1, -1):
                 steps = np.diff(known, k)[-1] + np.cumsum(steps)
-            # the forecast runs one step over the gap; its drift from the observation there is taken out evenly
-            value, kind = steps[:n] + (q[b] - steps[n]) * np.arange(1, n + 1) / (n + 1), 2
+            value, kind = adjusted(steps, q[a - 1], q[b]), 2
         q[a:b], how[a:b] = value, kind
     return q, how
 

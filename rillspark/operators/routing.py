@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import hop_walk
+from .graph import UNRESOLVED, cut, hop_walk
 
 
 def unique_filler(df: DataFrame, column: str, key: str) -> DataFrame:
     """Nulls of an ordering column become values beyond its maximum, one each, in the order of key.
 
-    Only the rows with nulls are numbered; the maximum is one aggregate.
+    Only the rows with nulls are numbered: dealt out in ranges of key, each range from the number of rows in those before.
     """
-    top = df.agg(F.max(column).alias("_top"))
-    empty = df.filter(F.col(column).isNull()).withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
-    filled = empty.join(F.broadcast(top)).withColumn(column, (F.coalesce("_top", F.lit(0)) + F.col("_k")).cast(dict(df.dtypes)[column])).drop("_k", "_top")
+    top = df.agg(F.max(column)).first()[0] or 0
+    ranged = cut(df.filter(F.col(column).isNull()).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    part, start = F.shiftright("_at", 33), F.lit(0)
+    total = 0
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each range
+        start = F.when(part == r["part"], total).otherwise(start)
+        total += r["count"]
+    number = F.lit(top) + start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    filled = ranged.withColumn(column, number.cast(dict(df.dtypes)[column])).drop("_at")
     return df.filter(F.col(column).isNotNull()).unionByName(filled)
 
 
@@ -78,18 +84,18 @@ def route_catchments(catchments: DataFrame, network: DataFrame, terminal: DataFr
     Catchments (featureid) are routed to the first reach downstream that has a catchment; those of terminal reaches, or of
     reaches without target, have target 0. The rest takes the target of the neighbour (a, b, shared_len) with the longest
     shared boundary that has one (the smallest id of several); -1 without any. Status: routed, terminal, resolved,
-    no_candidates, no_shared_boundary, unresolved.
+    no_candidates, no_shared_boundary, unresolved. Catchments that aren't in the network have null hops.
     """
     ids = catchments.select(F.col("featureid").alias("id"))
     reach = network.select(F.col("comid").alias("id"), "tocomid", F.lit(True).alias("known"))
     ends = terminal.select(F.col("comid").alias("id")).distinct().withColumn("end", F.lit(True))
-    base = ids.join(reach, "id", "left").join(ends, "id", "left").join(hop_walk(ids, network, ids, max_hops), "id")
+    base = ids.join(reach, "id", "left").join(ends, "id", "left").join(hop_walk(ids, network, ids, max_hops, None), "id")
     ended = F.coalesce("end", F.lit(False))
     no_target = F.col("known") & F.col("tocomid").isNull()
-    status = F.when(ended | F.coalesce(no_target, F.lit(False)), "terminal").when(F.col("hops").isNotNull(), "routed").when(F.col("known"), "unresolved")
+    status = F.when(ended | F.coalesce(no_target, F.lit(False)), "terminal").when(F.col("target").isNotNull(), "routed").when(F.col("known"), "unresolved")
     base = base.select(
-        F.col("id").alias("featureid"), F.when(status == "terminal", F.lit(0)).otherwise(F.col("target")).cast("long").alias("target"),
-        F.when(ended, -1).when(status == "terminal", 0).otherwise(F.col("hops")).alias("hops"), status.alias("status"),
+        F.col("id").alias("featureid"), F.when(status == "terminal", F.lit(0)).otherwise(F.coalesce("target", F.lit(UNRESOLVED))).cast("long").alias("target"),
+        F.when(ended, -1).when(status == "terminal", 0).when(F.col("known"), F.col("hops")).alias("hops"), status.alias("status"),
     )
     if adjacency is None:
         return base.withColumn("status", F.coalesce("status", F.lit("unresolved")))

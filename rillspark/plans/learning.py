@@ -29,18 +29,33 @@ mid AS (SELECT c, m, avg(x) AS g, count(*) AS n FROM f GROUP BY 1, 2)"""
 query("cl1_kmeans")(lambda s, d: cluster.fit(features(s, d), "kmeans", 4))
 query("cl3_spectral")(lambda s, d: cluster.fit(features(s, d), "spectral", 3))
 query("cl5_pca")(lambda s, d: rounded(cluster.pca(features(s, d))[0], 4))
-query("cl6_gap_statistic")(lambda s, d: cluster.gap_statistic(features(s, d), [2, 3], 2))
-query("cl7_sweep")(lambda s, d: rounded(cluster.sweep(features(s, d), range(2, 4))))
+query("cl6_gap_statistic")(lambda s, d: cluster.gap_statistic(features(s, d)))
+query("cl7_sweep")(lambda s, d: rounded(cluster.sweep(features(s, d))))
 query("cl8_silhouette", f"""WITH {_SQL}, dd AS (SELECT a.site AS a, b.site AS b, a.c AS ca, b.c AS cb, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM f a JOIN f b ON a.m = b.m AND a.site <> b.site GROUP BY ALL),
 mm AS (SELECT a, ca, cb, avg(d) AS d FROM dd GROUP BY ALL), pp AS (SELECT a, max(d) FILTER (ca = cb) AS own, min(d) FILTER (ca <> cb) AS other FROM mm GROUP BY 1)
-SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END), 6) + 0.0 AS silhouette FROM pp""")(lambda s, d: rounded(cluster.silhouette(labelled(s, d))))
+SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END), 6) + 0.0 AS silhouette FROM pp""")(lambda s, d: rounded(cluster.silhouette(labelled(s, d), cluster.distances(features(s, d)))))
 query("cl8_davies_bouldin", f"""WITH {_SQL}, sp AS (SELECT c, avg(e) AS s FROM (SELECT f.c, site, sqrt(sum((x - g) * (x - g))) AS e FROM f JOIN mid ON f.c = mid.c AND f.m = mid.m GROUP BY 1, 2) GROUP BY 1),
 cd AS (SELECT a.c AS ca, b.c AS cb, sqrt(sum((a.g - b.g) * (a.g - b.g))) AS d FROM mid a JOIN mid b ON a.m = b.m AND a.c <> b.c GROUP BY 1, 2)
 SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT ca, max((x.s + y.s) / d) AS r FROM cd JOIN sp x ON x.c = ca JOIN sp y ON y.c = cb GROUP BY 1)""")(lambda s, d: rounded(cluster.davies_bouldin(labelled(s, d))))
 query("cl8_calinski_harabasz", f"""WITH {_SQL}, g AS (SELECT m, avg(x) AS z FROM f GROUP BY 1), b AS (SELECT sum(n * (mid.g - z) * (mid.g - z)) AS b, count(DISTINCT c) AS k FROM mid JOIN g USING (m)),
 w AS (SELECT sum((x - g) * (x - g)) AS w, count(DISTINCT site) AS n FROM f JOIN mid ON f.c = mid.c AND f.m = mid.m) SELECT round(b * (n - k) / (w * (k - 1)), 6) AS calinski_harabasz FROM b, w""")(lambda s, d: rounded(cluster.calinski_harabasz(labelled(s, d))))
 query("cl9_dtw_matrix")(lambda s, d: rounded(cluster.dtw_matrix(features(s, d))))
-query("cl10_dtw_kmeans")(lambda s, d: cluster.dtw_kmeans(features(s, d), 3))
+query("cl10_dtw_kmeans")(lambda s, d: cluster.dtw_clusterings(features(s, d)))
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """variant, site, v: each supplier's months as they are, as z-scores, and as shares of their sum."""
+    f = features(spark, sf_dir)
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    mean = total / F.size("v")
+    wide = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (F.size("v") - 1))
+    z = F.transform("v", lambda x: F.coalesce(F.try_divide(x - mean, wide), F.lit(0.0)))
+    share = F.transform("v", lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0)))
+    return f.select(F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), "site", v.alias("v")) for n, v in (("raw", F.col("v")), ("z_score", z), ("share", share))])).alias("x")).select("x.*")
+
+
+query("cl11_time_warp")(lambda s, d: rounded(cluster.time_warp(variants(s, d).filter("variant = 'raw'"))[0]))
+query("cl12_time_warp_variants")(lambda s, d: rounded(cluster.time_warp(variants(s, d))[0]))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> cart.Tree:

@@ -14,10 +14,11 @@ _VALID = "valid AS (SELECT comid AS id FROM net WHERE comid % 3 <> 0)"
 
 
 def _walk(start: str, valid: str, most: int, name: str = "walk") -> str:
-    """id, target, hops of a bounded walk; start and valid are SQL for sets of id."""
+    """id, target, hops of a bounded walk; start and valid are SQL for sets of id. pos is tested at hops 0 to most - 1."""
     return f"""{name}0 AS (SELECT s.id, n.tocomid AS pos, 0 AS hops FROM ({start}) s LEFT JOIN net n ON n.comid = s.id
-  UNION ALL SELECT w.id, n.tocomid, w.hops + 1 FROM {name}0 w JOIN net n ON n.comid = w.pos WHERE w.hops < {most} AND w.pos NOT IN ({valid})),
-{name} AS (SELECT id, max(CASE WHEN ok THEN pos END) AS target, min(CASE WHEN ok THEN hops END) AS hops FROM (SELECT *, pos IN ({valid}) AS ok FROM {name}0) GROUP BY 1)"""
+  UNION ALL SELECT w.id, n.tocomid, w.hops + 1 FROM {name}0 w LEFT JOIN net n ON n.comid = w.pos WHERE w.pos IS NOT NULL AND w.hops < {most} - 1 AND w.pos NOT IN ({valid})),
+{name}1 AS (SELECT id, max(CASE WHEN pos IN ({valid}) THEN pos END) AS target, max(CASE WHEN pos IN ({valid}) THEN hops END) AS found, max(CASE WHEN pos IS NULL THEN CASE WHEN hops = 0 THEN -1 ELSE hops END END) AS left_at FROM {name}0 GROUP BY 1),
+{name} AS (SELECT id, target, coalesce(found, left_at, {most}) AS hops FROM {name}1)"""
 
 
 @query("nr9_hop_walk", f"WITH RECURSIVE {_NET}, {_VALID}, {_walk('SELECT comid AS id FROM net', 'SELECT id FROM valid', 15)} SELECT id, coalesce(target, -1) AS target, hops::INTEGER AS hops FROM walk")
@@ -84,8 +85,8 @@ query("nr8_terminal_list", f"{_DENDRITIC} SELECT comid FROM de WHERE tocomid IS
 _CATCH = f"""WITH RECURSIVE {_NET}, {px.SQL_ADJACENCY}, cat AS (SELECT comid AS id FROM net WHERE comid % 3 <> 0 UNION ALL SELECT -comid FROM net WHERE comid % 11 = 0),
 en AS (SELECT comid AS id FROM net WHERE comid % 97 = 0), {_walk("SELECT id FROM cat", "SELECT id FROM cat", 15)},
 b0 AS (SELECT c.id, n.comid IS NOT NULL AS known, n.tocomid, en.id IS NOT NULL AS ended, w.target, w.hops FROM cat c LEFT JOIN net n ON n.comid = c.id LEFT JOIN en ON en.id = c.id JOIN walk w ON w.id = c.id),
-b1 AS (SELECT *, CASE WHEN ended OR (known AND tocomid IS NULL) THEN 'terminal' WHEN hops IS NOT NULL THEN 'routed' WHEN known THEN 'unresolved' END AS status FROM b0),
-b2 AS (SELECT id, CASE WHEN status = 'terminal' THEN 0 ELSE coalesce(target, -1) END AS target, CASE WHEN ended THEN -1 WHEN status = 'terminal' THEN 0 ELSE hops END AS hops, status FROM b1),
+b1 AS (SELECT *, CASE WHEN ended OR (known AND tocomid IS NULL) THEN 'terminal' WHEN target IS NOT NULL THEN 'routed' WHEN known THEN 'unresolved' END AS status FROM b0),
+b2 AS (SELECT id, CASE WHEN status = 'terminal' THEN 0 ELSE coalesce(target, -1) END AS target, CASE WHEN ended THEN -1 WHEN status = 'terminal' THEN 0 WHEN known THEN hops END AS hops, status FROM b1),
 a0 AS (SELECT -a AS a, b, shared_len FROM adj WHERE a % 11 = 0 AND a % 2 = 0), a2 AS (SELECT * FROM a0 UNION ALL SELECT b, a, shared_len FROM a0),
 nr AS (SELECT a.a AS id, max(shared_len) AS longest, arg_max(d.target, {{'a': shared_len, 'b': -a.b}}) AS given FROM a2 a JOIN b2 d ON d.id = a.b AND d.status IN ('routed', 'terminal') GROUP BY 1),
 rt AS (SELECT b2.id AS featureid, CASE WHEN status IS NULL AND longest > 0 THEN given ELSE target END AS target, hops, coalesce(status, CASE WHEN longest IS NULL THEN 'no_candidates' WHEN longest <= 0 THEN 'no_shared_boundary' ELSE 'resolved' END) AS status FROM b2 LEFT JOIN nr USING (id))"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below the checkpoint folder where there is one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/rillspark-io/{next(tempfile._get_candidate_names())}"
+        return f"{shared.rstrip('/')}/rillspark-io/{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="rillspark-io-")
 
 
@@ -65,11 +66,20 @@ query("io5_parquet", "SELECT * FROM nation")(lambda s, d: sources.read_table(s,
 query("io8_large_scan", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 45")(lambda s, d: px.table(s, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_partkey"))
 
 
-@query("io9_catalog")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("io9_catalog", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in ("nation", "region"):
+    """Every table that the catalog lists under the given names, with its rows counted."""
+    for name in _TABLES:
         px.table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.createDataFrame([(t,) for t in sources.tables(spark) if t in ("nation", "region")], "name string").join(spark.table("region").limit(1).select(F.lit(1)), how="cross").select("name")
+    out = None
+    for name in sources.tables(spark):
+        if name in _TABLES:
+            one = spark.table(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("io11_csv_sink", _CUST)
@@ -260,12 +270,15 @@ query("w9_forward_fill", f"WITH {px.SQL_DAILY}, x AS (SELECT site, d, CASE WHEN
 query("w10_index_in_year", f"WITH {px.SQL_DAILY} SELECT site, d, (row_number() OVER (PARTITION BY site, year(d) ORDER BY d))::INTEGER AS k FROM daily")(lambda s, d: px.daily(s, d).select("site", "d", F.row_number().over(Window.partitionBy("site", F.year("d")).orderBy("d")).alias("k")))
 query("w11_partition_mean", f"WITH {px.SQL_DAILY} SELECT site, d, round(q / avg(q) OVER (PARTITION BY site, year(d)), 6) + 0.0 AS x FROM daily")(lambda s, d: rounded(px.daily(s, d).select("site", "d", (F.col("q") / F.avg("q").over(Window.partitionBy("site", F.year("d")))).alias("x"))))
 query("w12_ranks", f"WITH {px.SQL_DAILY} SELECT site, d, (row_number() OVER (PARTITION BY site ORDER BY q, d))::INTEGER AS k FROM daily")(lambda s, d: px.daily(s, d).select("site", "d", F.row_number().over(Window.partitionBy("site").orderBy("q", "d")).alias("k")))
-query("s1_sort", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50")(lambda s, d: px.table(s, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "p_retailprice"))
+query("s1_sort", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey")(lambda s, d: px.table(s, d, "part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey"))
 query("s2_total_first", f"WITH {px.SQL_SCOPED} SELECT site, scope, count(*) AS n FROM sc GROUP BY 1, 2 ORDER BY site, scope = 'all_years' DESC, scope")(
     lambda s, d: fs.gathered(px.years(s, d), [F.count("*").alias("n")]).orderBy("site", F.desc(F.col("scope") == "all_years"), "scope")
 )
-query("s3_pinned_first", "SELECT n_regionkey, arg_min(n_name, {'a': (n_nationkey % 4 <> 3)::INT, 'b': n_nationkey}) AS name FROM nation GROUP BY 1")(
-    lambda s, d: px.table(s, d, "nation").groupBy("n_regionkey").agg(F.min_by("n_name", F.struct((F.col("n_nationkey") % 4 != 3).cast("int"), "n_nationkey")).alias("name"))
+_PINNED = "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 <> 3, c_custkey)"
+query("s3_pinned_first", f"SELECT c_nationkey, c_custkey, ({_PINNED})::INTEGER AS place, first_value(c_name) OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 7 <> 3, c_custkey) AS name FROM customer ORDER BY c_nationkey, place")(
+    lambda s, d: (lambda w: px.table(s, d, _C).select("c_nationkey", "c_custkey", F.row_number().over(w).alias("place"), F.first("c_name").over(w).alias("name")).orderBy("c_nationkey", "place"))(
+        Window.partitionBy("c_nationkey").orderBy(F.col("c_custkey") % 7 != 3, "c_custkey")
+    )
 )
 query("u1_union_all", "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")(
     lambda s, d: px.table(s, d, _C).select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal")).unionByName(px.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")), allowMissingColumns=True)
