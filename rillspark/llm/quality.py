@@ -108,21 +108,22 @@ def _rows(part: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def _train(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    """The weights of each learner whose rows are here, and a row that counts it."""
+    rows: dict[int, list] = {}
     for part in parts:
-        labels = part[1].to_pylist()
+        labels, learners = part[1].to_pylist(), part[2].to_pylist()
         for i, f, v in _rows(part, 0):
             at, first = np.unique(f, return_index=True)
             x = np.add.reduceat(v, first) if len(f) else v
-            rows.append((np.append(at, 1 << BITS), np.append(x, 1.0), labels[i]))
-    model = Ftrl()
-    for _ in range(EPOCHS):
-        for at, x, label in rows:
-            model.learn(at, x, label)
-    w = model.weights()
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at]), pa.array(np.ones(len(at)))], names=["at", "w", "one"])
-    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([float(bool(rows))])], names=["at", "w", "one"])
+            rows.setdefault(learners[i], []).append((np.append(at, 1 << BITS), np.append(x, 1.0), labels[i]))
+    for own in rows.values():
+        model = Ftrl()
+        for _ in range(EPOCHS):
+            for at, x, label in own:
+                model.learn(at, x, label)
+        w = model.weights()
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], 0.0)), pa.array(np.ones(len(at) + 1))], names=["at", "w", "one"])
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     share = min(1.0, sample / max(1, known.count()))
     known = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter(F.col("h") < int(share * (1 << 30)))
     rows = texts(docs).join(F.broadcast(known), "doc_id").withColumn("learner", F.col("h") % LEARNERS)
-    rows = rows.repartition(LEARNERS, "learner").sortWithinPartitions("h", "doc_id").select("text", "label")
+    rows = rows.repartition(LEARNERS, "learner").sortWithinPartitions("h", "doc_id").select("text", "label", "learner")
     found = rows.mapInArrow(_train, "at long, w double, one double").groupBy("at").agg(F.sum("w").alias("w"), F.sum("one").alias("one")).toPandas()
     out, used = np.zeros((1 << BITS) + 1), max(1.0, found.loc[found["at"] == -1, "one"].sum())
     found = found[found["at"] >= 0]
