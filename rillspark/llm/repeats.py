@@ -9,8 +9,14 @@ prefix, and within an interval a second scan over the reversed left contexts fin
 the left because their members' next bytes differ. Such a group, if no deeper interval holds all of it, is a maximal repeat
 with all its occurrences.
 
-Pieces that are a 4096th of all, and groups with very many different contexts, are not gathered: contexts are grouped by
-their hash, and the strings of one of each by a 128-bit hash, in aggregates that combine before the shuffle.
+A group of anchors is bounded: pieces with about HOT anchors in all (by a sample of all bytes, which decides on nothing
+but the way they take), and groups with over GROUP different contexts, go by descent. There, contexts that are equal as a
+whole are settled by aggregates that combine before the shuffle; one of each different context is cut into blocks of 32
+strings, dealt out by the bytes that all strings of a block have in common (69 of them), and again equal blocks are settled
+as a whole and different ones compared by suffix arrays. Blocks of which over GROUP differ around the same bytes are cut
+into blocks of eight strings (93 bytes), and those into single strings, which are equal as a whole or not at all.
+
+"Equal as a whole" is told by 64 bits of hash of the piece, or common bytes, and 64 more of all bytes and the shape.
 """
 
 from __future__ import annotations
@@ -23,17 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, raw, texts, written
+from .common import batches, numbered, raw, texts, written
 from .ngrams import CHUNK, chunks, mix, span_hashes
 
 LENGTH = 100
 GRAM = 32
-#: A piece with at least this share of the anchors of a task, and then of all, is hot.
-HOT = 4096
-#: Different contexts of one piece that are compared by a suffix array.
+#: A piece with about so many anchors in all is hot.
+HOT = 1 << 15
+#: Every so many'th slice of SLICE bytes is looked at for hot pieces.
+SAMPLE, SLICE = 16, 1 << 16
+#: Different contexts of one piece, or blocks with the same common bytes, that are compared by a suffix array.
 GROUP = 4096
+#: Strings of a block, by level of the descent.
+WIDTHS = (32, 8, 1)
 #: doc_ids that may be broadcast (16 bytes each).
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -77,19 +87,20 @@ def _each(part: pa.RecordBatch) -> Iterator[tuple]:
         yield data, ids[first + row], offsets[row], piece, place, low, high
 
 
-def _heavy(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of anchors of a task, as piece null, and its frequent pieces."""
-    total, held = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for part in parts:
-        found = [x[3] for x in _each(part)]
-        if found:
-            piece, n = np.unique(np.concatenate(found), return_counts=True)
-            total += int(n.sum())
-            piece, at = np.unique(np.concatenate((held[0], piece)), return_inverse=True)
-            n = np.bincount(at, np.concatenate((held[1], n))).astype(np.int64)
-            keep = n * HOT * 4 >= total
-            held = piece[keep], n[keep]
-    yield pa.RecordBatch.from_arrays([pa.array([None, *held[0].view(np.int64).tolist()], pa.int64()), pa.array([total, *held[1].tolist()], pa.int64())], names=["piece", "n"])
+def _heavy(sample: int) -> Callable:
+    """Pieces of anchors in every so many'th slice, and how many."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = part[0].to_numpy(zero_copy_only=False)
+            for first, data, offsets in chunks(part[1]):
+                phase = int(mix(np.array([ids[first]], np.int64).view(np.uint64))[0] % np.uint64(sample))
+                found = [anchors(data[at : at + SLICE], np.clip(offsets - at, 0, min(SLICE, len(data) - at)))[0] for at in range(phase * SLICE, len(data), sample * SLICE)]
+                if found:
+                    piece, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(piece.view(np.int64)), pa.array(n.astype(np.int64))], names=["piece", "n"])
+
+    return run
 
 
 def _anchors(shared, of_hot: bool) -> Callable:
@@ -108,16 +119,6 @@ def _anchors(shared, of_hot: bool) -> Callable:
     return run
 
 
-def _hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the string at each place."""
-    a, b = (span_hashes(x, begin, begin + LENGTH) for x in (data, _SHUFFLED[data]))
-    return mix(a).view(np.int64), mix(b ^ np.uint64(0x5BD1E995)).view(np.int64)
-
-
-#: Another value for each byte, so that the second hash is of other data.
-_SHUFFLED = np.argsort(mix(np.arange(256, dtype=np.uint64))).astype(np.uint8)
-
-
 _GROUPED = pa.schema([("kind", pa.int32()), ("repeat_id", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("first", pa.bool_()), ("shape", pa.int32())])
 WHOLE, SUFFIX, WIDE = 0, 1, 2
 
@@ -174,13 +175,27 @@ def _contexts(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches(rows(), schema)
 
 
-def _wide_strings(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        for doc_id, text, wanted in zip(part[0].to_pylist(), raw(part[1]), part[2].to_pylist(), strict=True):
-            data = np.frombuffer(text, np.uint8)
-            start = np.unique(np.concatenate([np.arange(x["start"], x["start"] + (x["shape"] & 255) + 1) for x in wanted]))
-            a, b = _hashes(data, start)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), doc_id, np.int64)), pa.array(start)], names=["a", "b", "doc_id", "start"])
+def _cut(width: int) -> Callable:
+    """Contexts to blocks of width strings, as anchors: their place is the context's, their piece is told by the context's and the bytes that all strings of the block share."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for doc_id, text, wanted in zip(part[0].to_pylist(), raw(part[1]), part[2].to_pylist(), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                low, shape, piece = (np.array([x[k] for x in wanted], np.int64) for k in ("start", "shape", "repeat_id"))
+                place, high = low + (shape >> 8), low + (shape & 255)
+                least, most = (place - high) // width, (place - low) // width
+                n = most - least + 1
+                low, high, place, piece = (np.repeat(x, n) for x in (low, high, place, piece.view(np.uint64)))
+                block = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(least, n)
+                a, b = np.maximum(low, place - block * width - width + 1), np.minimum(high, place - block * width)
+                shape = (place - a) << 8 | (b - a)
+                salt = np.uint64(0xD6E8FEB86659FD93)
+                core = mix(span_hashes(data, place - block * width, place - block * width - width + 1 + LENGTH) + mix(piece + (block * 256 + width).astype(np.uint64)))
+                context = mix(span_hashes(data, a, b + LENGTH) + shape.astype(np.uint64) * salt)
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.full(len(a), doc_id)), pa.array(a), pa.array(shape.astype(np.int32))], names=["piece", "context", "doc_id", "low", "shape"])
+
+    return run
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -215,16 +230,19 @@ def maximal_repeats(members: list[tuple], length: int) -> Iterator[tuple[int, in
     """
     members = sorted(members, key=lambda m: m[1])
     common = [0, *(_same(a[1], b[1]) for a, b in zip(members, members[1:], strict=False))]
+    lefts = [m[0][::-1] for m in members]
+    rank = {i: k for k, i in enumerate(sorted(range(len(lefts)), key=lefts.__getitem__))}
     for right, low, high in intervals(common):
         least = length - right
-        reversed_ = sorted(((members[i][0][::-1], i) for i in range(low, high + 1)), key=lambda x: x[0])
-        if least > len(reversed_[0][0]) and least > max(len(x[0]) for x in reversed_):
+        inside = range(low, high + 1)
+        if least > max(len(lefts[i]) for i in inside):
             continue
-        shared = [0, *(_same(a[0], b[0]) for a, b in zip(reversed_, reversed_[1:], strict=False))]
+        order = sorted(inside, key=rank.__getitem__)
+        shared = [0, *(_same(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False))]
         for left, a, b in intervals(shared):
             if left < least:
                 continue
-            places = [i for _, i in reversed_[a : b + 1]]
+            places = order[a : b + 1]
             if any(common[i] == right for i in range(min(places) + 1, max(places) + 1)):  # not all in a deeper interval
                 yield left, right, [members[i] for i in places]
 
@@ -232,8 +250,21 @@ def maximal_repeats(members: list[tuple], length: int) -> Iterator[tuple[int, in
 _FOUND = pa.schema([("repeat_id", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("first", pa.bool_())])
 
 
-def _compared(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def groups() -> Iterator[tuple[int, list[tuple]]]:
+def _runs(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order, those that overlap or touch as one."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _compared(merged: bool) -> Callable:
+    """Maximal repeats of each piece's contexts, with all occurrences; merged: only the runs of later occurrences."""
+
+    def groups(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         now, held = None, []
         for part in parts:
             for piece, doc_id, place, left, right in zip(*(part[i].to_pylist() for i in range(5)), strict=True):
@@ -245,62 +276,93 @@ def _compared(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             yield now, held
 
-    def rows() -> Iterator[tuple]:
-        for piece, members in groups():
+    def rows(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for piece, members in groups(parts):
+            later: dict[tuple, set] = {}
             for left, right, found in maximal_repeats(members, LENGTH):
                 first = min(m[2] for m in found)
+                if merged:
+                    for m in found:
+                        if m[2] != first:
+                            later.setdefault(m[2], set()).add((-left, right))
+                    continue
                 word = found[0][0][len(found[0][0]) - left :] + found[0][1][:right]
                 name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
                 for _, _, (doc_id, place) in found:
                     yield name, left + right, doc_id, place - left, (doc_id, place) == first
+            for (doc_id, place), spans in later.items():
+                for a, b in _runs([*spans]):
+                    yield piece, b - a, doc_id, place + a, False
+
+    return lambda parts: batches(rows(parts), _FOUND)
+
+
+_ANCHOR = "piece long, context long, doc_id long, low long, shape int"
+
 
-    return batches(rows(), _FOUND)
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of contexts that repeat as a whole, and one of each context that differs from others of its piece (of _GROUPED).
+
+    Both counts combine before the shuffle, and the join's large keys can be split, so a hot key meets in no task.
+    """
+    first = written(rows.groupBy("piece", "context").agg(F.min(F.struct("doc_id", "low", "shape")).alias("f"), F.count("*").alias("n")), "repeats-contexts")
+    again = rows.join(first.filter("n > 1").select("piece", "context", "f"), ["piece", "context"])
+    is_first = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("low") == F.col("f.low"))
+    length = (F.col("shape").bitwiseAND(255) + LENGTH).cast("long").alias("length")
+    whole = again.select(F.col("context").alias("repeat_id"), length, "doc_id", F.col("low").alias("start"), is_first.alias("first"))
+    different = written(first.groupBy("piece").count().filter("count > 1").withColumnRenamed("piece", "_piece"), "repeats-different")
+    kind = F.when(F.col("count") > GROUP, WIDE).otherwise(SUFFIX).alias("kind")
+    compared = first.join(different, first["piece"] == F.col("_piece")).select(
+        kind, F.col("piece").alias("repeat_id"), F.lit(0).cast("long").alias("length"), "f.doc_id", F.col("f.low").alias("start"), F.lit(True).alias("first"), "f.shape"
+    )
+    return whole, compared
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and, as x, the contexts wanted of each document that has any; ids, not texts, are built into hash tables."""
+    wanted = written(wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("repeat_id", "start", "shape")).alias("x")), "repeats-wanted")
+    few = wanted.limit(1 + BROADCAST_IDS).count() <= BROADCAST_IDS
+    near = docs.join(F.broadcast(wanted.select("_id")), docs["doc_id"] == F.col("_id"), "left_semi") if few else docs
+    return near.join(wanted.hint("shuffle_hash"), near["doc_id"] == wanted["_id"]).select("doc_id", "text", "x")
+
+
+def occurrences(docs: DataFrame, merged: bool = False) -> DataFrame:
     """repeat_id, length, doc_id, start, first: occurrences of repeats of at least LENGTH bytes, for docs with different texts.
 
     Each string of LENGTH bytes that occurs twice lies in a repeat listed here for both, up to the context of its anchor.
-    first marks the occurrence with the smallest doc_id, then start.
+    first marks the occurrence with the smallest doc_id, then start. merged: of contexts that differ, not every repeat is
+    listed but the runs of bytes that repeats with an earlier occurrence cover.
     """
     spark = docs.sparkSession
-    counts = docs.mapInArrow(_heavy, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    counts = written(counts, "repeats-heavy")
-    total = (counts.filter("piece is null").first() or [None, 0])[1]
-    hot = counts.filter(F.col("piece").isNotNull() & (F.col("n") * HOT >= total)).filter(F.col("n") > 64).orderBy("piece").toPandas()["piece"].to_numpy(np.int64).view(np.uint64)
+    counts = docs.mapInArrow(_heavy(SAMPLE), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    hot = np.sort(counts.filter(F.col("n") * SAMPLE >= HOT).select("piece").toPandas()["piece"].to_numpy(np.int64)).view(np.uint64)
     shared = spark.sparkContext.broadcast(hot)
-    anchor = "piece long, context long, doc_id long, low long, shape int"
-    rows = docs.mapInArrow(_anchors(shared, False), anchor)
+    rows = docs.mapInArrow(_anchors(shared, False), _ANCHOR)
     grouped = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_grouped(GROUP), "kind int, repeat_id long, length long, doc_id long, start long, first boolean, shape int")
     grouped = written(grouped, "repeats-grouped")
     fields = ["repeat_id", "length", "doc_id", "start", "first"]
-    whole = grouped.filter(F.col("kind") == WHOLE).select(fields)
+    found = [grouped.filter(F.col("kind") == WHOLE).select(fields)]
+    compared = [grouped.filter(F.col("kind") != WHOLE)]
     if len(hot):
-        # of each context of a hot piece, the first occurrence alone goes on to the comparison of strings
-        rows = written(docs.mapInArrow(_anchors(shared, True), anchor), "repeats-hot")
-        first = written(rows.groupBy("piece", "context").agg(F.min(F.struct("doc_id", "low", "shape")).alias("f"), F.count("*").alias("n")), "repeats-contexts")
-        length = (F.col("shape").bitwiseAND(255) + LENGTH).cast("long").alias("length")
-        again = rows.join(first.filter("n > 1").select("piece", "context", "f"), ["piece", "context"])
-        is_first = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("low") == F.col("f.low"))
-        whole = whole.unionByName(again.select(F.col("context").alias("repeat_id"), length, "doc_id", F.col("low").alias("start"), is_first.alias("first")))
-        more = first.select(F.lit(WIDE).alias("kind"), F.col("piece").alias("repeat_id"), F.lit(0).cast("long").alias("length"), "f.doc_id", F.col("f.low").alias("start"), F.lit(True).alias("first"), "f.shape")
-        grouped = grouped.unionByName(more)
-    wanted = grouped.filter(F.col("kind") != WHOLE).groupBy(F.col("doc_id").alias("_id")).agg(
-        *[F.collect_list(F.when(F.col("kind") == k, F.struct("repeat_id", "start", "shape"))).alias(n) for k, n in ((SUFFIX, "suffix"), (WIDE, "wide"))]
-    )
-    wanted = written(wanted, "repeats-wanted")
-    few = wanted.limit(1 + BROADCAST_IDS).count() <= BROADCAST_IDS
-    near = docs.join(F.broadcast(wanted.select("_id")), docs["doc_id"] == F.col("_id"), "left_semi") if few else docs
-    met = near.join(wanted.hint("shuffle_hash"), near["doc_id"] == wanted["_id"]).select("doc_id", "text", "suffix", "wide")
-    contexts = met.select("doc_id", "text", "suffix").mapInArrow(_contexts, "piece long, doc_id long, place long, left binary, right binary")
-    compared = contexts.repartition("piece").sortWithinPartitions("piece").mapInArrow(_compared, "repeat_id long, length long, doc_id long, start long, first boolean")
-    out = whole.unionByName(written(compared, "repeats-compared"))
-    if not grouped.filter(F.col("kind") == WIDE).isEmpty():
-        strings = written(met.filter(F.size("wide") > 0).select("doc_id", "text", "wide").mapInArrow(_wide_strings, "a long, b long, doc_id long, start long"), "repeats-strings")
-        first = strings.groupBy("a", "b").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "f")
-        again = strings.join(written(first, "repeats-first"), ["a", "b"])
-        place = F.struct("doc_id", "start")
-        out = out.unionByName(again.select(F.col("a").alias("repeat_id"), F.lit(LENGTH).cast("long").alias("length"), "doc_id", "start", (place == F.col("f")).alias("first")))
+        whole, more = _settled(written(docs.mapInArrow(_anchors(shared, True), _ANCHOR), "repeats-hot"))
+        found.append(whole)
+        compared.append(more)
+    for width in WIDTHS:
+        wide = compared[-1].filter(F.col("kind") == WIDE)
+        if width == WIDTHS[0] and len(compared) > 1:
+            wide = wide.unionByName(compared[0].filter(F.col("kind") == WIDE))
+        if wide.isEmpty():
+            break
+        whole, more = _settled(written(_with_texts(docs, wide).mapInArrow(_cut(width), _ANCHOR), f"repeats-blocks-{width}"))
+        found.append(whole)
+        compared.append(more)
+    suffix = compared[0]
+    for more in compared[1:]:
+        suffix = suffix.unionByName(more)
+    contexts = _with_texts(docs, suffix.filter(F.col("kind") == SUFFIX)).mapInArrow(_contexts, "piece long, doc_id long, place long, left binary, right binary")
+    out = written(contexts.repartition("piece").sortWithinPartitions("piece").mapInArrow(_compared(merged), "repeat_id long, length long, doc_id long, start long, first boolean"), "repeats-compared")
+    for whole in found:
+        out = out.unionByName(whole)
     return out
 
 
@@ -313,12 +375,7 @@ def _removed(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         for part in parts:
             for doc_id, text, spans in zip(part[0].to_pylist(), raw(part[1]), part[2].to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for span in sorted((x["start"], x["stop"]) for x in spans):
-                    if runs and span[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], span[1])
-                    else:
-                        runs.append([*span])
+                runs = _runs([(x["start"], x["stop"]) for x in spans])
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(text[at:a])
@@ -334,11 +391,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes over it also starts earlier (in a smaller doc_id, or before in its text). A
     null text is the empty text; a text under LENGTH bytes keeps all. Copies of a whole text are settled by its SHA-256
-    before: all but the smallest doc_id lose all bytes. doc_ids are taken to be unique and not null; a row with a null
-    doc_id keeps its text and is no one's earlier string. An empty table gives no rows.
+    before: all but the smallest doc_id lose all bytes. Rows that repeat a doc_id and its text are one document, reported
+    for each row; rows that repeat a doc_id with another text are documents of their own, in the order of their texts'
+    SHA-256. A row with a null doc_id keeps its text and is no one's earlier string. An empty table gives no rows.
     """
     base = texts(docs)
     thin = written(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "repeats-thin")
+    named = thin.filter("doc_id is not null")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _removals(base, thin)
+    # other ids, in the same order, so that each stands for one text
+    names = written(numbered(named.select("doc_id", "sha").distinct(), "doc_id", "sha").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("number").alias("_rid")), "repeats-names")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    own = base.join(names.hint("shuffle_hash"), (base["doc_id"] == F.col("_id")) & (sha == F.col("_sha"))).select(F.col("_rid").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    own = written(own, "repeats-own")
+    made = _removals(own, thin.join(names, (thin["doc_id"] == F.col("_id")) & (thin["sha"] == F.col("_sha"))).select(F.col("_rid").alias("doc_id"), "n_bytes", "sha").distinct())
+    made = written(made.select(F.col("doc_id").alias("_made"), "n_removed", "n_spans", "kept_sha256"), "repeats-made")
+    zero = F.lit(0).cast("long")
+    rows = thin.join(names, (thin["doc_id"] == F.col("_id")) & (thin["sha"] == F.col("_sha")), "left").join(made, F.col("_rid") == F.col("_made"), "left")
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def _removals(base: DataFrame, thin: DataFrame) -> DataFrame:
+    """remove_repeats for doc_ids that don't repeat."""
     owners = thin.filter("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select(F.col("sha").alias("_sha"), "owner")
     owners = written(owners, "repeats-owners")  # then the join's both sides are dealt out for it, and a large group of copies can be split
     copies = written(thin.join(owners, thin["sha"] == F.col("_sha")).filter("doc_id <> owner").select(F.col("doc_id").alias("_copy")), "repeats-copies")
@@ -346,7 +421,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = base.filter("doc_id is not null")
     own = own.join(F.broadcast(copies) if few else copies.hint("shuffle_hash"), own["doc_id"] == copies["_copy"], "left_anti")
     own = own.filter(F.octet_length("text") >= LENGTH)
-    spans = occurrences(own).filter("not first").select("doc_id", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
+    spans = occurrences(own, merged=True).filter("not first").select("doc_id", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
     spans = written(spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "repeats-spans")
     few = spans.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     near = own.join(F.broadcast(spans.select("_id")), own["doc_id"] == F.col("_id"), "left_semi") if few else own
