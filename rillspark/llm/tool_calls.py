@@ -1,8 +1,10 @@
 """Chat formatting: tool calls linked to their results, in DataFrame operations only.
 
-Calls and results meet in a hash join on the call's identifier. A call may name the call that it follows; its place in
-the topological order is its depth below a call that follows none, found by pointer doubling, so a chain of n calls takes
-about log2(n) joins. Arguments are checked against the tool's schema, and calls are written as canonical JSON.
+Calls and results meet in a shuffled hash join on the call's identifier. A call may name the calls that it follows; its
+place in the topological order is the length of the longest way to it from a call that follows none. Where each call
+follows one at most this takes pointer doubling, so a chain of n calls takes about log2(n) joins; else a round takes away
+the calls that nothing left precedes. Arguments are checked against the tool's schema, nested objects too, and calls are
+written as canonical JSON.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: For each tool its fields: JSON type (string, integer, number, boolean, array, object) and whether it is required.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: For each tool its fields: JSON type (string, integer, number, boolean, array, object) and whether it is required. Fields
+#: of an object may stand in the type's place, and so may a list of the texts or numbers allowed.
+Fields = dict[str, tuple["str | list | Fields", bool]]
+Schemas = dict[str, Fields]
 SCHEMAS: Schemas = {
     "search": {"query": ("string", True), "limit": ("integer", True)},
     "summarize": {"text": ("string", True), "max_words": ("integer", True), "style": ("string", False)},
@@ -25,7 +29,18 @@ _TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """id and depth (0: follows no known call; null: on or behind a cycle) for calls with unique id, and parent."""
+    """id and depth (0: follows no known call; null: on or behind a cycle) for calls with unique id, and parent.
+
+    parent: the id of the call before, or an array of several ids; those that aren't known, and nulls, count for nothing.
+    """
+    if dict(calls.dtypes)["parent"].startswith("array"):
+        known = calls.select(F.col("id").alias("_id"))
+        ways = calls.select("id", F.explode("parent").alias("parent")).distinct().join(known, F.col("parent") == F.col("_id"), "left_semi")
+        ways = written(ways, "calls-ways")
+        if ways.groupBy("id").count().filter("count > 1").isEmpty():
+            calls = calls.select("id").join(ways.withColumnRenamed("id", "_child"), F.col("id") == F.col("_child"), "left").select("id", "parent")
+        else:
+            return _levels(calls.select("id"), ways)
     n = calls.count()
     known = calls.select(F.col("id").alias("_id"))
     state = calls.join(known, calls["parent"] == known["_id"], "left").select("id", F.col("_id").alias("up"), F.when(F.col("_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
@@ -38,20 +53,53 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
+def _levels(left: DataFrame, ways: DataFrame) -> DataFrame:
+    """id, depth of a graph (ways: id, parent): in round k the ids with no way left to them have depth k; null if never."""
+    done, k = None, 0
+    while True:
+        ready = written(left.join(ways.select(F.col("id").alias("_id")).distinct(), F.col("id") == F.col("_id"), "left_anti"), "calls-ready")
+        if ready.isEmpty():
+            break
+        level = ready.withColumn("depth", F.lit(k).cast("long"))
+        done = level if done is None else done.unionByName(level)
+        gone = ready.select(F.col("id").alias("_id"))
+        left = written(left.join(gone, F.col("id") == F.col("_id"), "left_anti"), "calls-left")
+        ways = written(ways.join(gone, F.col("parent") == F.col("_id"), "left_anti"), "calls-ways")
+        k += 1
+    circling = left.select("id", F.lit(None).cast("long").alias("depth"))
+    return circling if done is None else done.unionByName(circling)
+
+
+def _wrong(text: Column, fields: Fields, path: str = "") -> Column:
+    """Array of what is wrong with an object, given as JSON text, in what isn't an array of texts null."""
+    keys = F.json_object_keys(text)
+    checks, deeper = [], []
+    for field, (kind, required) in fields.items():
+        there, name = F.array_contains(keys, field), path + field
+        value = F.try_variant_get(F.try_parse_json(text), f"$['{field}']", "variant")
+        type_ = F.schema_of_variant(value)
+        if isinstance(kind, dict):
+            fits = type_.rlike(_TYPES["object"])
+            deeper.append(F.when(there & F.coalesce(fits, F.lit(False)), _wrong(F.to_json(value), kind, name + ".")).otherwise(F.array().cast("array<string>")))
+        elif isinstance(kind, list):
+            fits = F.try_variant_get(value, "$", "string").isin([str(x) for x in kind]) & type_.rlike(_TYPES["string" if isinstance(kind[0], str) else "number"])
+        else:
+            fits = type_.rlike(_TYPES[kind])
+        checks.append(F.when(~there, F.lit(f"missing:{name}") if required else F.lit(None)).when(~F.coalesce(fits, F.lit(False)), f"type:{name}"))
+    more = F.transform(F.array_except(keys, F.array(*[F.lit(f) for f in fields]).cast("array<string>")), lambda k: F.concat(F.lit(f"unknown:{path}"), k))
+    return F.concat(F.array_compact(F.array(*checks)).cast("array<string>"), more, *deeper)
+
+
 def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Sorted array of what is wrong: unknown_tool, invalid_json, missing:field, type:field, unknown:field."""
+    """Sorted array of what is wrong: unknown_tool, invalid_json, missing:field, type:field, unknown:field (a.b if nested).
+
+    A value that isn't among those allowed counts as one of another type.
+    """
     json = F.try_parse_json(arguments)
-    keys = F.json_object_keys(arguments)
     out = F.when(name.isNull() | ~name.isin(list(schemas)), F.array(F.lit("unknown_tool")))
-    out = out.when(json.isNull() | keys.isNull(), F.array(F.lit("invalid_json")))
+    out = out.when(json.isNull() | F.json_object_keys(arguments).isNull(), F.array(F.lit("invalid_json")))
     for tool, fields in schemas.items():
-        checks = []
-        for field, (kind, required) in fields.items():
-            there = F.array_contains(keys, field)
-            fits = F.schema_of_variant(F.try_variant_get(json, f"$.{field}", "variant")).rlike(_TYPES[kind])
-            checks.append(F.when(~there, F.lit(f"missing:{field}") if required else F.lit(None)).when(~F.coalesce(fits, F.lit(False)), f"type:{field}"))
-        more = F.transform(F.array_except(keys, F.array(*[F.lit(f) for f in fields])), lambda k: F.concat(F.lit("unknown:"), k))
-        out = out.when(name == tool, F.array_sort(F.concat(F.array_compact(F.array(*checks)), more)))
+        out = out.when(name == tool, F.array_sort(_wrong(arguments, fields)))
     return out
 
 
@@ -61,15 +109,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas = SCH
     calls: id, parent, conv_id, turn, name, arguments (JSON text). results: id, turn, content. Of calls with one id the
     first by (conv_id, turn, name, arguments, parent) counts, of results the first by (turn, content). A result without
     its call has status orphan, a call on or behind a cycle cycle, else invalid, unanswered or linked; only what isn't an
-    orphan has JSON. Sorting by (depth, turn, id) gives a topological order. Rows with a null id are left out, as nothing
+    orphan has JSON. parent may be an array of ids. Sorting by (depth, turn, id) gives a topological order. Rows with a null id are left out, as nothing
     can refer to them. Empty tables give no rows.
     """
     fields = ["conv_id", "turn", "name", "arguments", "parent"]
     first = calls.filter("id is not null").groupBy("id").agg(F.min(F.struct(*fields)).alias("c")).select("id", *[F.col(f"c.{f}").alias(f) for f in fields])
     first = written(first, "calls-first")
     answers = results.filter("id is not null").groupBy(F.col("id").alias("rid")).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    placed = first.join(depths(first.select("id", "parent")).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
-    both = placed.join(answers, F.col("id") == F.col("rid"), "full_outer")
+    placed = first.join(depths(first.select("id", "parent")).withColumnRenamed("id", "_id").hint("shuffle_hash"), F.col("id") == F.col("_id"))
+    both = placed.join(answers.hint("shuffle_hash"), F.col("id") == F.col("rid"), "full_outer")
     wrong = errors(F.col("name"), F.col("arguments"), schemas)
     both = both.withColumn("errors", F.when(F.col("id").isNotNull(), wrong))
     status = (
