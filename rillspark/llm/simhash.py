@@ -131,19 +131,32 @@ def spanning(n: int, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _bucket_links(most: int) -> Callable:
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [p for p in parts if p.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
+def _bucket_links(most: int, together: int = 200_000) -> Callable:
+    """Links of rows sorted by bucket; whole buckets are worked on together until they have so many rows."""
+
+    def linked(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, fp = t.column(0).to_numpy(), t.column(1).to_numpy()
         label = spanning(len(fp), GrayIndex(np.unique(key, return_inverse=True)[1], fp.view(np.uint64)).links(most))
-        linked = np.flatnonzero(label != np.arange(len(fp)))
-        for at in range(0, len(linked), 50_000):
-            i = linked[at : at + 50_000]
+        there = np.flatnonzero(label != np.arange(len(fp)))
+        for at in range(0, len(there), 50_000):
+            i = there[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(fp[label[i]]), pa.array(fp[i])], names=["a", "b"])
 
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for part in parts:
+            held.append(part)
+            rows += part.num_rows
+            if rows >= together:
+                t = pa.Table.from_batches(held)
+                key = t.column(0).to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                if cut:
+                    yield from linked(t.slice(0, cut))
+                    held, rows = t.slice(cut).to_batches(), rows - cut
+        if rows:
+            yield from linked(pa.Table.from_batches(held))
+
     return run
 
 
@@ -173,7 +186,7 @@ def links(codes: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> Data
         rows = dealt
         if not large.isEmpty():
             rows = dealt.join(large, ["path", "key"], "left_anti")
-        made = written(rows.repartition("key").select("key", "fp").mapInArrow(_bucket_links(most), "a long, b long"), "simhash-links")
+        made = written(rows.repartition("key").select("key", "fp").sortWithinPartitions("key").mapInArrow(_bucket_links(most), "a long, b long"), "simhash-links")
         found = made if found is None else found.unionByName(made)
         if large.isEmpty():
             break
@@ -227,6 +240,9 @@ def near_dedup(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """docs with the smallest doc_id of each component only, all columns as they are; a null doc_id stays."""
+    """docs with the smallest doc_id of each component only, all columns as they are; a null doc_id stays.
+
+    Rows that repeat a doc_id stand or fall together: all stay if it is the smallest of the component of each of their texts.
+    """
     gone = written(near_dedup(docs, most).filter(F.col("doc_id") != F.col("component_id")).select("doc_id"), "simhash-gone")
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
