@@ -15,9 +15,12 @@ BROADCAST_ROWS = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir; a new temporary one is set where none is (tests)."""
+    """The shared folder of the session's spark.checkpoint.dir; a new temporary one is set in local mode where none is (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +49,21 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]
     return (F.broadcast(df) if small else df), small
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with number, 0 for the first row by order; rows are dealt out by range, and each range starts at the rows before it."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = sorted(ranged.groupBy(part.alias("part")).count().collect())  # a row for each partition
+    before = F.lit(0).cast("long")
+    if sizes:
+        starts, total = [], 0
+        for r in sizes:
+            starts += [F.lit(r["part"]), F.lit(total)]
+            total += r["count"]
+        before = F.create_map(*starts)[part]
+    return ranged.withColumn("number", before + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A batch's strings as UTF-8 bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
