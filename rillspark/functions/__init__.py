@@ -74,3 +74,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 TAU = 2 * math.pi
+
+
+def in_clause(field: str, values: list | None) -> str | None:
+    """SQL that holds where field is one of values: texts quoted, numbers as they are; None without values."""
+    if not values:
+        return None
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in values]
+    return f"{field} IN ({', '.join(quoted)})"

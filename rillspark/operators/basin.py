@@ -92,3 +92,35 @@ def pushed(master: DataFrame, up: DataFrame, local: DataFrame, column: str) -> D
 def dry_run(changes: DataFrame) -> DataFrame:
     """huc12, n: the changes that pushed() would write."""
     return changes.groupBy("huc12").agg(F.count("*").alias("n"))
+
+
+def discovered(tables: dict[str, DataFrame], needed: dict[str, list[str]]) -> DataFrame:
+    """source, field, n: how many values each needed field has. A table or a field that isn't there is an error, all named."""
+    missing = [t for t in needed if t not in tables] + [f"{t}.{f}" for t, fields in needed.items() if t in tables for f in fields if f.lower() not in map(str.lower, tables[t].columns)]
+    if missing:
+        raise RuntimeError(f"missing: {', '.join(missing)}")
+    out = None
+    for t, fields in needed.items():
+        counts = tables[t].agg(*[F.count(f).alias(f"n{i}") for i, f in enumerate(fields)])
+        rows = counts.select(F.explode(F.array(*[F.struct(F.lit(t).alias("source"), F.lit(f).alias("field"), F.col(f"n{i}").alias("n")) for i, f in enumerate(fields)])).alias("x")).select("x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def field_names(column: Column) -> Column:
+    """field_name() of a column of texts, for letters and digits of ASCII."""
+    name = F.regexp_replace(column, "[^A-Za-z0-9]", "_")
+    return F.when(name.rlike("^[A-Za-z]"), name).otherwise(F.concat(F.lit("f_"), name))
+
+
+def same_geometry(zones: DataFrame, sources: DataFrame) -> bool:
+    """Whether two tables of geometries count as the same: as many rows, of the same types (kind) and reference systems (crs)."""
+    told = [df.groupBy("kind", "crs").count().orderBy("kind", "crs").collect() for df in (zones, sources)]
+    return told[0] == told[1]
+
+
+def direct_transfer(zones: DataFrame, sources: DataFrame, key: str, column: str) -> DataFrame | None:
+    """zones with column of sources by key where both count as the same geometry; None where an overlay is needed."""
+    if not same_geometry(zones, sources):
+        return None
+    return zones.drop(column).join(sources.select(key, column), key, "left")

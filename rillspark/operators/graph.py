@@ -11,17 +11,28 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNRESOLVED = -1
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a new temporary one in local mode, where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="rillspark-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage ended by a checkpoint."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rillspark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -50,12 +61,6 @@ def hop_walk(starts: DataFrame, edges: DataFrame, valid: DataFrame, max_hops: in
     return starts.select("id").join(done, "id", "left").select("id", target, F.coalesce("hops", F.lit(max_hops)).alias("hops"))
 
 
-def _folder(df: DataFrame) -> str:
-    """A new folder that driver and executors share."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rillspark-")
-    return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
-
-
 def upstream(edges: DataFrame, targets: DataFrame, include_self: bool = False) -> DataFrame:
     """target, up: every id from which target is reached, each once, circles included; target itself if asked for.
 
@@ -74,7 +79,8 @@ def upstream(edges: DataFrame, targets: DataFrame, include_self: bool = False) -
             pairs = _doubled(ways, targets, deepest["d"] or 0)
             return pairs if include_self else pairs.filter("target <> up")
     back = edges.filter("tocomid is not null").select(F.col("tocomid").alias("_at"), F.col("comid").alias("_up"))
-    spark, folder, rounds = edges.sparkSession, _folder(edges), 0
+    spark, rounds = edges.sparkSession, 0
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     front, shape = targets.select(F.col("id").alias("target"), F.col("id").alias("up")), "target long, up long"
     while True:
         front.write.parquet(f"{folder}/{rounds}")
@@ -168,3 +174,19 @@ def route_catchments(comid: int, catchments: DataFrame, hucs: DataFrame) -> Data
     found = route(comid, catchments, hucs)
     in_hucs = catchments.join(found.filter("kind = 'huc12'").select(F.col("id").alias("huc12")), "huc12", "left_semi").select("comid")
     return in_hucs.union(found.filter("kind = 'catchment'").select("id")).distinct()
+
+
+def export_route(found: DataFrame, catchments: DataFrame, hucs: DataFrame, path: str) -> list[str]:
+    """Writes what route() found with its geometries, one table for catchments and one for HUCs; the folders written.
+
+    Tables without a geometry column are an error. A kind with no rows has no folder.
+    """
+    written = []
+    for kind, table, key in (("catchment", catchments, "comid"), ("huc12", hucs, "huc12")):
+        if "geometry" not in table.columns:
+            raise ValueError(f"no geometry to export: {kind}")
+        part = table.join(found.filter(F.col("kind") == kind).select(F.col("id").alias(key)), key, "left_semi")
+        if not part.isEmpty():
+            part.write.mode("overwrite").parquet(f"{path}/{kind}")
+            written.append(f"{path}/{kind}")
+    return written

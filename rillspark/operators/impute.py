@@ -110,8 +110,8 @@ def stationary(x: np.ndarray, o: LinarOptions) -> tuple[np.ndarray, int] | None:
     return None
 
 
-def ar_forecast(x: np.ndarray, steps: int, max_lags: int) -> np.ndarray:
-    """Forecast by an autoregression with a constant, its order by AIC on common rows."""
+def ar_order(x: np.ndarray, max_lags: int) -> int:
+    """The order of an autoregression with a constant, by AIC on common rows."""
     most = min(max_lags, max(0, (len(x) - 2) // 2))
 
     def aic(k: int) -> float:
@@ -119,7 +119,12 @@ def ar_forecast(x: np.ndarray, steps: int, max_lags: int) -> np.ndarray:
         rss = _least_squares(y, cols)[1]
         return len(y) * math.log(max(rss, 1e-300) / len(y)) + 2 * (k + 1)
 
-    lags = min(range(most + 1), key=aic)
+    return min(range(most + 1), key=aic)
+
+
+def ar_forecast(x: np.ndarray, steps: int, max_lags: int) -> np.ndarray:
+    """Forecast by an autoregression of the order that ar_order() gives."""
+    lags = ar_order(x, max_lags)
     beta, _ = _least_squares(x[lags:], _lags(x, lags, lags))
     path = list(x)
     for _ in range(steps):
@@ -166,6 +171,25 @@ def linar(df: DataFrame, options: LinarOptions = LinarOptions()) -> DataFrame:
     return out.withColumn("q", F.when(~F.isnan("q"), F.col("q")))
 
 
+def stationarity(df: DataFrame, options: LinarOptions = LinarOptions()) -> DataFrame:
+    """site, n, f_p, adf_p, differences, lags: tests and orders of each site's last learn values; null where they don't apply.
+
+    f_p and adf_p are those of the first differences, differences how many it takes, lags the order chosen for them.
+    """
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("d")["q"].dropna().to_numpy(float)[-options.learn :]
+        found = stationary(x, options) if len(x) > 3 else None
+        row = {"site": pdf["site"].iloc[0], "n": len(x), "f_p": None, "adf_p": None, "differences": None, "lags": None}
+        if len(x) > 3:
+            row |= {"f_p": f_test(np.diff(x)), "adf_p": adf_p(np.diff(x))}
+        if found:
+            row |= {"differences": found[1], "lags": ar_order(found[0], options.max_lags)}
+        return pd.DataFrame([row])
+
+    return df.groupBy("site").applyInPandas(told, "site string, n long, f_p double, adf_p double, differences long, lags long")
+
+
 FEATURES = ("doy", "month", "lag1", "lag2", "lead1", "lead2", "code")
 
 

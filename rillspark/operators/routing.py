@@ -34,6 +34,22 @@ def merge_regions(flowlines: list[DataFrame], attributes: list[DataFrame], key:
     return out
 
 
+def clip(lines: DataFrame, bounds: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Rows of lines (comid, minx, miny, maxx, maxy) whose envelope meets an envelope of bounds (minx to maxy), each once.
+
+    Envelopes meet in the cells of a grid that both touch, so the join is an equality; cell should be about their size.
+    """
+    def cells(df: DataFrame) -> DataFrame:
+        span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
+        return df.withColumn("_x", F.explode(span("minx", "maxx"))).withColumn("_y", F.explode(span("miny", "maxy")))
+
+    a, b = cells(lines).alias("a"), cells(bounds.select("minx", "miny", "maxx", "maxy").distinct()).alias("b")
+    meet = (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y"))
+    for k in "xy":
+        meet &= (F.col(f"a.min{k}") <= F.col(f"b.max{k}")) & (F.col(f"b.min{k}") <= F.col(f"a.max{k}"))
+    return lines.join(a.join(b, meet, "left_semi").select("comid").distinct(), "comid", "left_semi")
+
+
 def split_divergent(network: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Backbone candidates and divergent reaches (divergence 2)."""
     return network.filter("divergence <> 2 or divergence is null"), network.filter("divergence = 2")

@@ -68,8 +68,23 @@ query("ba11_recalculate", "SELECT p_brand AS zone, round(avg(p_retailprice), 6)
     lambda s, d: rounded(basin.zonal(px.pixels(s, d).filter(F.col("zone").isin("Brand#11", "Brand#22", "Brand#33"))).select("zone", "value"))
 )
 query("ba13_area_weighted", f"WITH {px.SQL_OVERLAY} SELECT zone, round(sum(value * area) / sum(area) FILTER (value IS NOT NULL), 4) + 0.0 AS value FROM overlay GROUP BY 1")(lambda s, d: rounded(basin.area_weighted(px.overlay(s, d), "value"), 4))
-query("j11_overlay", f"WITH {px.SQL_OVERLAY} SELECT zone, src, sum(area) AS area, round(max(value), 6) AS value FROM overlay GROUP BY 1, 2")(lambda s, d: rounded(px.overlay(s, d).groupBy("zone", "src").agg(F.sum("area").alias("area"), F.max("value").alias("value"))))
-query("ba14_same_geometry", "SELECT s_suppkey AS zone, s_acctbal AS v FROM supplier")(lambda s, d: (lambda t: t.select("zone").join(t, "zone"))(px.table(s, d, "supplier").select(F.col("s_suppkey").alias("zone"), F.col("s_acctbal").alias("v"))))
+query("j11_overlay", f"WITH {px.SQL_OVERLAY} SELECT zone, p_brand AS class, sum(area) AS area, round(sum(area * p_retailprice) / sum(area), 4) + 0.0 AS price FROM overlay JOIN part ON p_partkey = src GROUP BY 1, 2")(
+    lambda s, d: rounded(px.overlay(s, d).join(px.table(s, d, "part"), F.col("src") == F.col("p_partkey")).groupBy("zone", F.col("p_brand").alias("class")).agg(F.sum("area").alias("area"), (F.sum(F.col("area") * F.col("p_retailprice")) / F.sum("area")).alias("price")), 4)
+)
+
+
+@query("ba14_same_geometry", "SELECT s_suppkey AS zone, s_acctbal AS v FROM supplier")
+def same_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = px.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone"), F.col("s_acctbal").alias("v"), F.when(F.col("s_suppkey") % 3 == 0, 3).otherwise(6).alias("kind"), F.lit(5070).alias("crs"))
+    return basin.direct_transfer(shapes.drop("v"), shapes, "zone", "v").select("zone", "v")
+
+
+_NEEDED = {"customer": ["c_custkey", "C_ACCTBAL"], "part": ["p_size"], "lineitem": ["l_shipdate", "l_quantity"]}
+query("ba10_discovery", " UNION ALL ".join(f"SELECT '{t}' AS source, '{f}' AS field, count({f}) AS n FROM {t}" for t, fields in _NEEDED.items() for f in fields))(lambda s, d: basin.discovered({t: px.table(s, d, t) for t in _NEEDED}, _NEEDED))
+_SAFE = "regexp_replace(o_orderpriority || o_orderkey, '[^A-Za-z0-9]', '_', 'g')"
+query("ba16_field_names", f"SELECT o_orderkey, CASE WHEN regexp_matches({_SAFE}, '^[A-Za-z]') THEN {_SAFE} ELSE 'f_' || {_SAFE} END AS name FROM orders")(
+    lambda s, d: px.table(s, d, "orders").select("o_orderkey", basin.field_names(F.concat("o_orderpriority", "o_orderkey")).alias("name"))
+)
 _PUSH = f"WITH {_VALUES}, pu AS (SELECT ma.comid, ma.huc12, ma.v AS old, CASE WHEN ismainstem = 1 THEN ups.v ELSE lo.v END AS new FROM ma LEFT JOIN ups USING (comid) LEFT JOIN lo ON lo.huc12 = ma.huc12)"
 query("ba15_push", f"{_PUSH} SELECT comid, huc12, old, new + 0.0 AS new FROM pu WHERE old IS DISTINCT FROM new")(lambda s, d: rounded(basin.pushed(*_values(s, d), "v")))
 query("ba15_dry_run", f"{_PUSH} SELECT huc12, count(*) AS n FROM pu WHERE old IS DISTINCT FROM new GROUP BY 1")(lambda s, d: basin.dry_run(basin.pushed(*_values(s, d), "v")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,3 +173,25 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s4_depth", f"WITH RECURSIVE {_NET}, dp AS (SELECT comid, comid AS outlet, 0::BIGINT AS depth FROM net WHERE tocomid IS NULL UNION ALL SELECT n.comid, dp.outlet, dp.depth + 1 FROM dp JOIN net n ON n.tocomid = dp.comid) SELECT comid, outlet, depth FROM dp")
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depth_to_outlet(px.network(spark, sf_dir))
+
+_BOXES = """l AS (SELECT comid, comid * 37 % 1000 AS minx, comid * 91 % 1000 AS miny, comid * 37 % 1000 + comid % 5 AS maxx, comid * 91 % 1000 + comid % 3 AS maxy FROM net),
+b AS (SELECT s_suppkey * 53 % 1000 AS minx, s_suppkey * 17 % 1000 AS miny, s_suppkey * 53 % 1000 + 20 AS maxx, s_suppkey * 17 % 1000 + 20 AS maxy FROM supplier)"""
+
+
+@query("nr2_clip", f"WITH {_NET}, {_BOXES} SELECT comid, minx, miny FROM l WHERE EXISTS (SELECT 1 FROM b WHERE l.minx <= b.maxx AND b.minx <= l.maxx AND l.miny <= b.maxy AND b.miny <= l.maxy)")
+def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = F.col("comid"), F.col("s_suppkey")
+    lines = px.network(spark, sf_dir).select("comid", (c * 37 % 1000).alias("minx"), (c * 91 % 1000).alias("miny"), (c * 37 % 1000 + c % 5).alias("maxx"), (c * 91 % 1000 + c % 3).alias("maxy"))
+    bounds = px.table(spark, sf_dir, "supplier").select((k * 53 % 1000).alias("minx"), (k * 17 % 1000).alias("miny"), (k * 53 % 1000 + 20).alias("maxx"), (k * 17 % 1000 + 20).alias("maxy"))
+    return routing.clip(lines, bounds, 20).select("comid", "minx", "miny")
+
+
+@query("up6_route_exports", f"WITH RECURSIVE {_NET}, {px.SQL_HUCS}, {_CLOSURE}, {_HCLOSURE}, {_ROUTE_MAIN} SELECT kind, id, CASE WHEN kind = 'huc12' THEN 'H' ELSE 'C' END || id AS geometry FROM r")
+def route_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, h = px.network(spark, sf_dir).withColumn("geometry", F.concat(F.lit("C"), "comid")), px.hucs(spark, sf_dir).withColumn("geometry", F.concat(F.lit("H"), "huc12"))
+    out = None
+    for path in graph.export_route(graph.route(36, n, h), n, h, f"{graph.shared_folder(spark)}/rillspark-io/{uuid.uuid4().hex}"):
+        kind = path.rsplit("/", 1)[1]
+        part = spark.read.parquet(path).select(F.lit(kind).alias("kind"), F.col("comid" if kind == "catchment" else "huc12").alias("id"), "geometry")
+        out = part if out is None else out.unionByName(part)
+    return out

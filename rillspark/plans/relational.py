@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import not_leap_day, ratio, rounded, to_id, to_number, water_year
+from ..functions import in_clause, not_leap_day, ratio, rounded, to_id, to_number, water_year
 from ..operators import flowstats as fs
+from ..operators.graph import shared_folder
 from ..operators.prepare import runs
 from ..operators.routing import unique_filler
 from . import proxies as px
@@ -18,11 +18,8 @@ from .registry import query
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below the checkpoint folder where there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/rillspark-io/{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="rillspark-io-")
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/rillspark-io/{uuid.uuid4().hex}"
 
 
 def _written(spark: SparkSession, df: DataFrame, fmt: str, **options: object) -> str:
@@ -146,7 +143,9 @@ query("pf8_floor", "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN greatest
 query("pf9_filters", f"WITH {px.SQL_NETWORK} SELECT comid FROM net WHERE ismainstem = 1 AND divergence <> 2 AND streamorde IN (2, 3) AND tocomid IS NOT NULL")(
     lambda s, d: px.network(s, d).filter((F.col("ismainstem") == 1) & (F.col("divergence") != 2) & F.col("streamorde").isin(2, 3) & F.col("tocomid").isNotNull()).select("comid")
 )
-query("pf10_in_list", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 5, 9)")(lambda s, d: px.table(s, d, "nation").filter(F.col("n_nationkey").isin(1, 5, 9)).select("n_nationkey", "n_name"))
+query("pf10_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'O''NEILL', 'MACHINERY') AND c_nationkey IN (1, 5, 9)")(
+    lambda s, d: px.table(s, d, _C).filter(in_clause("c_mktsegment", ["BUILDING", "O'NEILL", "MACHINERY"])).filter(in_clause("c_nationkey", [1, 5, 9])).select("c_custkey", "c_mktsegment")
+)
 query("pf11_sentinels", f"WITH {px.SQL_NETWORK} SELECT a.comid, b.comid AS tocomid FROM net a LEFT JOIN (SELECT comid FROM net WHERE comid % 10 <> 0) b ON a.tocomid = b.comid")(
     lambda s, d: (lambda n: n.select("comid", "tocomid").join(n.filter("comid % 10 <> 0").select(F.col("comid").alias("in")), F.col("tocomid") == F.col("in"), "left").select("comid", F.col("in").alias("tocomid")))(px.network(s, d))
 )

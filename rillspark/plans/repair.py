@@ -150,3 +150,4 @@ def hydrograph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("nm10_cluster_hydrograph", f"WITH {_SUPP} SELECT cluster, day, round(q, 6) + 0.0 AS q, n_sites, DATE '1999-10-01' + (day - 1) AS label FROM hy")(lambda s, d: rounded(hydrograph(s, d)))
 query("nm10_cluster_monthly", f"WITH {_SUPP} SELECT cluster, month(DATE '1999-10-01' + (day - 1))::INTEGER AS month, round(avg(q), 6) + 0.0 AS q FROM hy GROUP BY 1, 2")(lambda s, d: rounded(normalize.cluster_monthly(hydrograph(s, d))))
+query("ts8_stationarity")(lambda s, d: rounded(impute.stationarity(px.gappy(s, d))))
