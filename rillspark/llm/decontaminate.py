@@ -1,20 +1,23 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-Every window of a benchmark item is looked up by its rarest term in the documents. Only postings (document, position) of
-these terms are made; a term's offset in the window gives the place where the window would start, and the window's other
-words are compared there. Terms, windows and texts have A-Z as a-z and all else as it is: unlike Spark's lower case, this
-gives a word the same letters wherever it stands (a capital sigma's small form depends on what follows).
+The index is a stored table of postings (term, document, position) of those terms that the windows of benchmark items are
+found by: each window's rarest ones, by their frequency in all documents. A phrase is found by intersecting lists from the
+rarest term on: a posting less its term's offset in the window is where the window would start, and starts that the next
+term's list has as well go on; what is left is compared word by word in its place. Proximity matches come from the same
+lists: a window's rarest terms within a stretch of words, in any order and with others between them.
+
+Terms, windows and texts have A-Z as a-z and all else as it is: unlike Spark's lower case, this gives a word the same
+letters wherever it stands (a capital sigma's small form depends on what follows).
 """
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import bounded, written
 
 WINDOW = 13
 #: Words before A-Z are lower-cased: ASCII letters and digits, and all that isn't ASCII.
@@ -40,52 +43,93 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.withColumn("s", F.explode(starts)).select("item_id", F.expr(f"slice(w, s, {size})").alias("window")).distinct()
 
 
-def _blocks(df: DataFrame) -> list[DataFrame]:
-    """df in blocks by the hash of its rows, each of a size that may be broadcast; one block unless df is large."""
-    n = math.ceil(df.count() / BROADCAST_ROWS * 1.5) if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else 1
-    return [df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == i) if n > 1 else df for i in range(n)]
+def _seeds(docs: DataFrame, benchmark: DataFrame, size: int, lists: int) -> DataFrame:
+    """wid, item_id, line (the window's words), n, seeds: its so many rarest terms with an offset each, rarest first.
 
+    Windows with a term that no document has can't occur whole; they have n_found terms with postings, of n different ones.
+    """
+    wanted = written(windows(benchmark, size).withColumn("wid", F.monotonically_increasing_id()), "decon-windows")
+    terms = wanted.select("wid", F.posexplode("window").alias("off", "term")).groupBy("wid", "term").agg(F.min("off").alias("off"))
+    vocabulary, small = bounded(written(terms.select("term").distinct(), "decon-terms"))
+    found = docs.select(F.explode(words("text")).alias("term"))
+    # a large vocabulary meets the words only after they're counted; either way the documents are read once
+    often = found.join(vocabulary, "term").groupBy("term").count() if small else found.groupBy("term").count().join(vocabulary, "term")
+    rarest = terms.join(written(often, "decon-frequency"), "term", "left").groupBy("wid").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "term"))).alias("all")
+    )
+    rarest = rarest.select(F.col("wid").alias("_wid"), F.slice("all", 1, lists).alias("seeds"), F.size(F.filter("all", lambda x: x["count"] > 0)).alias("n_found"), F.size("all").alias("n_terms"))
+    made = wanted.join(rarest, F.col("wid") == F.col("_wid"))
+    return written(made.select("wid", "item_id", F.array_join("window", " ").alias("line"), F.size("window").alias("n"), "seeds", "n_found", "n_terms"), "decon-seeds")
+
+
+def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored index: term, doc_id, pos (from 0) and n_words of the document, for the given terms.
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Each row of docs also has a posting of the empty term, at -1, which tells its n_words; no word is empty.
+    """
+    tokens = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(F.array(F.lit("")), "w").alias("w"))
+    each = tokens.select("doc_id", "n_words", F.posexplode("w").alias("pos", "term"))
+    wanted, _ = bounded(terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct().withColumnRenamed("term", "_term"))
+    postings = each.join(wanted, F.col("term") == F.col("_term")).select("term", "doc_id", (F.col("pos") - 1).alias("pos"), "n_words")
+    return written(postings.sortWithinPartitions("term"), "decon-index")
+
+
+def _starts(postings: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """wid, doc_id, start: where windows would start by the postings of their k-th rarest term."""
+    one = seeds.filter(F.size("seeds") > k).select("wid", "n", F.col("seeds")[k]["term"].alias("_term"), F.col("seeds")[k]["off"].alias("off"))
+    start = F.col("pos") - F.col("off")
+    found = postings.join(bounded(one)[0], F.col("term") == F.col("_term")).filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    return found.select("wid", "doc_id", start.alias("start"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, start, n (words), item_id of every place in a document where a window of an item occurs.
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lists: int = 2) -> tuple[DataFrame, DataFrame]:
+    """doc_id, start, n (words), item_id of every place in a document where a window of an item occurs, and doc_id, n_words.
 
-    With them, from the same pass, comes one row for each row of docs with its n_words (null for places) and nulls else.
+    lists: how many of a window's postings lists are intersected before its words are compared.
     """
-    wanted = written(windows(benchmark, size).withColumn("wid", F.xxhash64("window")), "decon-windows")
-    terms = wanted.select("wid", "window", "item_id", F.posexplode("window").alias("off", "term"))
-    vocabulary = written(terms.select("term").distinct(), "decon-terms")
-    found = docs.select(F.explode(words("text")).alias("term"))
-    often = written(_union([found.join(F.broadcast(b), "term").groupBy("term").count() for b in _blocks(vocabulary)]), "decon-frequency")
-    # a window with a term that no document has can't occur
-    rarest = (
-        terms.join(often, "term", "left")
-        .groupBy("item_id", "window")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "term")).alias("r"))
-        .filter("r.count > 0")
-        .select("item_id", F.array_join("window", " ").alias("line"), "r.term", "r.off", F.size("window").alias("n"))
-    )
-    seeds = written(rarest, "decon-seeds")
-    # before the words stands an empty one, at 0, for the document itself; slices count from 1, which is then the first word
-    tokens = docs.select("doc_id", F.concat(F.array(F.lit("")), words("text")).alias("w"))
-    postings = tokens.select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
-    start = F.col("pos") - F.col("off") - 1
-    # words have no spaces; all of this stays in generated code, so a document's words aren't copied for each posting
-    same = F.array_join(F.slice("w", start + 2, F.col("n")), " ") == F.col("line")
-    inside = (start >= 0) & (start + F.col("n") < F.size("w"))
-    parts = []
-    for k, block in enumerate(_blocks(seeds)):
-        block = block.withColumnRenamed("term", "seed")
-        there = postings.join(F.broadcast(block), (F.col("term") == F.col("seed")) & inside & same, "left")
-        there = there.filter(F.col("item_id").isNotNull() | (F.col("pos") == 0) if k == 0 else F.col("item_id").isNotNull())
-        parts.append(there.select("doc_id", start.alias("start"), "n", "item_id", F.when(F.col("pos") == 0, F.size("w") - 1).cast("long").alias("n_words")))
-    return _union(parts)
+    seeds = _seeds(docs, benchmark, size, lists).filter("n_found = n_terms")
+    postings = index(docs, seeds.select(F.explode("seeds").alias("x")).select("x.term"))
+    starts = _starts(postings, seeds, 0)
+    for k in range(1, lists):
+        # windows of fewer different terms have nothing more to intersect
+        single = seeds.filter(F.size("seeds") <= k).select(F.col("wid").alias("_wid"))
+        more = _starts(postings, seeds, k).select(F.col("wid").alias("_wid"), F.col("doc_id").alias("_id"), F.col("start").alias("_start"))
+        both = starts.join(more, (F.col("wid") == F.col("_wid")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start")), "left_semi")
+        starts = both.unionByName(starts.join(bounded(single)[0], F.col("wid") == F.col("_wid"), "left_semi"))
+    starts = written(starts.distinct(), "decon-starts")
+    lines = seeds.select(F.col("wid").alias("_wid"), "item_id", "line", "n")
+    candidates = written(starts.join(bounded(lines)[0], F.col("wid") == F.col("_wid")).select(F.col("doc_id").alias("_id"), "start", "n", "item_id", "line"), "decon-candidates")
+    few, _ = bounded(candidates.select(F.col("_id").alias("_some")).distinct())
+    near = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_some")), "left_semi").select("doc_id", words("text").alias("w"))
+    # the candidates, not the words, are built into a hash table; words have no spaces
+    met = near.join(candidates.hint("shuffle_hash"), near["doc_id"].eqNullSafe(candidates["_id"]))
+    same = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("line")
+    return met.filter((F.col("start") + F.col("n") <= F.size("w")) & same).select("doc_id", "start", "n", "item_id"), postings.filter("pos = -1").select("doc_id", "n_words")
+
+
+def near_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lists: int = 4, slop: int = 5) -> DataFrame:
+    """doc_id, item_id, first, last: stretches of at most size + slop words that hold a window's rarest terms, in any order.
+
+    A window's terms are its so many rarest that documents have (all, if it has fewer). For each place of the rarest one
+    the stretch begins at most that many words before it; the closest posting of each other term counts. So passages are
+    found in which words were put in, left out or exchanged. Rows are distinct; null ids match null ids.
+    """
+    seeds = _seeds(docs, benchmark, size, size).filter("n_found > 0")
+    seeds = seeds.select("wid", "item_id", F.slice(F.filter("seeds", lambda x: x["count"] > 0), 1, lists).alias("seeds"))
+    each = seeds.select("wid", "item_id", F.size("seeds").alias("k"), F.posexplode("seeds").alias("j", "x")).select("wid", "item_id", "k", "j", F.col("x.term").alias("_term"))
+    each = written(each, "decon-near-terms")
+    postings = index(docs, each.select(F.col("_term").alias("term"))).filter("pos >= 0")
+    placed = postings.join(bounded(each)[0], F.col("term") == F.col("_term")).select("wid", "item_id", "k", "j", "doc_id", "pos")
+    placed = written(placed, "decon-near-places")
+    wide = size + slop
+    # places are met in buckets of a stretch's length and the two beside it
+    seed = placed.filter("j = 0").select(F.col("wid").alias("_wid"), F.col("doc_id").alias("_id"), "item_id", "k", F.col("pos").alias("at"))
+    seed = seed.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("at") / wide) + d for d in (-1, 0, 1)])))
+    others = placed.select("wid", "doc_id", "j", "pos", F.floor(F.col("pos") / wide).alias("bucket"))
+    met = others.join(seed, (F.col("wid") == F.col("_wid")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("bucket") == F.col("_bucket")) & (F.abs(F.col("pos") - F.col("at")) < wide))
+    closest = met.groupBy("wid", "doc_id", "item_id", "k", "at", "j").agg(F.min(F.struct(F.abs(F.col("pos") - F.col("at")), "pos"))["pos"].alias("pos"))
+    found = closest.groupBy("wid", "doc_id", "item_id", "k", "at").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return found.filter((F.col("n") == F.col("k")) & (F.col("last") - F.col("first") < wide)).select("doc_id", "item_id", "first", "last").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -94,8 +138,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     Null and empty texts have no words, null and wordless items no windows; a document without hits has the digest of the
     empty text. Rows that repeat a doc_id are taken as the same document. Empty tables give no rows or no hits.
     """
-    both = written(hits(docs, benchmark, size), "decon-hits")
-    found, counted = both.filter("n_words is null"), both.filter("n_words is not null").select("doc_id", "n_words")
+    found, counted = hits(docs, benchmark, size)
+    found = written(found, "decon-hits")
     w = Window.partitionBy("doc_id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     runs = found.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
     covered = runs.withColumn("to", F.coalesce(F.max("stop").over(w), F.lit(0))).select("doc_id", F.greatest(F.col("stop") - F.greatest("start", "to"), F.lit(0)).alias("k"))
