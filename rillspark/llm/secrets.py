@@ -61,20 +61,23 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         )
         made.append(F.when(there, F.struct(F.lit(k).alias("k"), F.lit(r.version).alias("rule"), F.lit(r.least).alias("least"), zipped.alias("m"))))
     rows = blobs.select("blob", F.explode(F.array(*made)).alias("r")).filter("r is not null").select("blob", "r.k", "r.rule", "r.least", F.posexplode("r.m").alias("i", "x"))
-    w = Window.partitionBy("blob", "k").orderBy("i")
+    w = Window.partitionBy("blob", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("blob", "k", "rule", "least", "x.n", "x.v", (F.sum(F.col("x.gap") + F.coalesce("x.n", F.lit(0))).over(w)).alias("stop"))
     return rows.filter("n is not null and v >= least").select("blob", "rule", "k", (F.col("stop") - F.col("n")).cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger rows to add for versions (doc_id, text, blob): one for each pair of blob and rule version not in ledger."""
-    first = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    versions = versions.withColumn("row", F.xxhash64("doc_id", "blob"))
+    first = versions.groupBy("blob").agg(F.min("row").alias("row"))
     pairs = first.withColumn("rule", F.explode(F.array(*[F.lit(r.version) for r in rules])))
     if ledger is not None:
         pairs = pairs.join(ledger.select("blob", "rule").distinct(), ["blob", "rule"], "left_anti")
-    todo = written(pairs.groupBy("blob").agg(F.first("doc_id").alias("_id"), F.collect_set("rule").alias("todo")).withColumnRenamed("blob", "_blob"), "ledger-todo")
-    # one row of each unseen blob brings its text; the ids, not the texts, are built into a hash table
-    unseen = versions.join(todo.hint("shuffle_hash"), versions["doc_id"].eqNullSafe(todo["_id"]) & (versions["blob"] == todo["_blob"]))
+    todo = written(pairs.groupBy("blob").agg(F.first("row").alias("_row"), F.collect_set("rule").alias("todo")).withColumnRenamed("blob", "_blob"), "ledger-todo")
+    # the rows of one path of each unseen blob bring its text; the hashes, not the texts, are built into a hash table
+    unseen = versions.join(todo.hint("shuffle_hash"), (versions["row"] == todo["_row"]) & (versions["blob"] == todo["_blob"]))
+    # rows that repeat a path and its text are one version; they're in the same partition already
+    unseen = unseen.dropDuplicates(["row", "blob"])
     found = scan(unseen.select("blob", "text", "todo"), rules).groupBy("blob", "rule").agg(F.array_sort(F.collect_set(F.struct("start", "k", "stop"))).alias("findings"))
     every = todo.select(F.col("_blob").alias("blob"), F.explode("todo").alias("rule"))
     return written(every.join(found, ["blob", "rule"], "left").select("blob", "rule", F.coalesce("findings", F.array().cast("array<struct<start:bigint,k:int,stop:bigint>>")).alias("findings")), "ledger-new")
@@ -84,7 +87,8 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     """Findings of every row of docs, and the ledger rows that were added.
 
     Findings: doc_id, blob, spans (array of start, k, stop in code points, by start, then rule). A null text is the empty
-    text; a text without matches has an empty array. Rows that repeat a doc_id or a text each get their blob's findings.
+    text; a text without matches has an empty array. Rows that repeat a doc_id or a text, or both, each get their blob's
+    findings.
     An empty table gives no rows and adds none.
     """
     versions = texts(docs).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
@@ -96,6 +100,19 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     return thin.join(spans, thin["blob"] == spans["_blob"], "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<start:bigint,k:int,stop:bigint>>")).alias("spans")), new
 
 
+def find_secrets_stored(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of every row of docs by the ledger stored at path (made if absent), to which what was scanned is added.
+
+    A run over texts that the ledger has for all rule versions scans nothing. Findings are complete only once this returns.
+    """
+    spark = docs.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
+    findings, new = find_secrets(docs, spark.read.schema(LEDGER).parquet(path), rules)
+    findings = written(findings, "ledger-findings")
+    new.write.mode("append").parquet(path)
+    return findings
+
+
 def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans as text of each row of findings."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
