@@ -309,3 +309,79 @@ def test_agglomeration_cuts_the_tree(spark):
     assert got == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2}
     with pytest.raises(NotImplementedError):
         cluster.fit(spark.createDataFrame(rows, "site long, v array<double>"), "other")
+
+
+def blobs(spark, n=30, seed=7):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.2, (n // 3, 3)) for c in ((0, 0, 0), (5, 0, 1), (0, 6, 2))])
+    return x, spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "site long, v array<double>")
+
+
+def test_partitions_of_blobs(spark):
+    """k-means and the spectral method find three groups; inertia is the sum of squares to the means."""
+    from rillspark.operators import cluster
+
+    x, table = blobs(spark)
+    want = {frozenset(range(k, k + 10)) for k in (0, 10, 20)}
+    groups = lambda df: {frozenset(r[0] for r in rows) for rows in _by_cluster(df).values()}
+    assert groups(cluster.kmeans(table, 3)) == want == groups(cluster.spectral(table, 3))
+    assert cluster.inertia(table, 3) == pytest.approx(sum(((x[k : k + 10] - x[k : k + 10].mean(0)) ** 2).sum() for k in (0, 10, 20)))
+    gaps = {r["k"]: r["gap"] for r in cluster.gap_statistic(table, range(2, 5), 3).collect()}
+    assert max(gaps, key=gaps.get) == 3
+
+
+def _by_cluster(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["cluster"], []).append((r["site"],))
+    return out
+
+
+def test_components_against_the_singular_values(spark):
+    from rillspark.operators import cluster
+
+    x, table = blobs(spark)
+    centred = x - x.mean(0)
+    _, size, axes = np.linalg.svd(centred, full_matrices=False)
+    scores, share = cluster.pca(table, 2)
+    got = np.array([[r["PC1"], r["PC2"]] for r in scores.orderBy("site").collect()])
+    assert np.allclose(np.abs(got), np.abs(centred @ axes[:2].T)) and share == pytest.approx((size**2 / (size**2).sum())[:2])
+    assert len(cluster.pca(table, 0.5)[1]) == int(np.searchsorted(np.cumsum(size**2 / (size**2).sum()), 0.5) + 1)
+
+
+def test_forest_fill_keeps_what_is_known(spark):
+    t = np.arange(120)
+    q = list(20 + 5 * np.sin(t / 9))
+    truth = q[50:54]
+    q[50:54] = [None] * 4
+    rows = impute.forest_fill(series(spark, q), iterations=2, trees=5).orderBy("d").collect()
+    assert [r["filled"] for r in rows] == [v is None for v in q] and all(r["q"] == v for r, v in zip(rows, q, strict=True) if v is not None)
+    assert all(r["q"] == pytest.approx(v, abs=4) for r, v in zip(rows[50:54], truth, strict=True))
+
+
+def test_discovery_names_what_is_missing(spark):
+    from rillspark.functions import in_clause
+
+    table = edges(spark, [(1, None), (2, 1)])
+    got = {(r["source"], r["field"], r["n"]) for r in basin.discovered({"net": table}, {"net": ["COMID", "tocomid"]}).collect()}
+    assert got == {("net", "COMID", 2), ("net", "tocomid", 1)}
+    with pytest.raises(RuntimeError, match="hucs, net.width"):
+        basin.discovered({"net": table}, {"net": ["width"], "hucs": ["huc12"]})
+    assert in_clause("a", []) is None and in_clause("a", None) is None and in_clause("a", [1, 2.5]) == "a IN (1, 2.5)"
+    names = spark.createDataFrame([("O'Neill",), ("back\\slash",), ("x",)], "name string")
+    assert names.filter(in_clause("name", ["O'Neill", "back\\slash"])).count() == 2
+    shapes = spark.createDataFrame([(1, 3, 5070, 2.0), (2, 6, 5070, 3.0)], "zone int, kind int, crs int, v double")
+    assert basin.direct_transfer(shapes.drop("v"), shapes, "zone", "v").count() == 2
+    assert basin.direct_transfer(shapes.drop("v"), shapes.limit(1), "zone", "v") is None
+    with pytest.raises(ValueError, match="geometry"):
+        graph.export_route(spark.createDataFrame([], "kind string, id long"), table, table, "/nowhere")
+
+
+def test_clip_meets_envelopes_in_a_grid(spark):
+    rng = np.random.default_rng(9)
+    box = lambda n, size: [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(zip(*(rng.uniform(0, m, n) for m in (50, 50, size, size))))]
+    lines, bounds = box(80, 4), box(6, 12)
+    make = lambda rows: spark.createDataFrame(rows, "comid long, minx double, miny double, maxx double, maxy double")
+    want = {a[0] for a in lines if any(a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4] for b in bounds)}
+    for cell in (0.7, 5.0, 100.0):
+        assert {r["comid"] for r in routing.clip(make(lines), make(bounds), cell).collect()} == want
