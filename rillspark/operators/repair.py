@@ -63,6 +63,14 @@ def interpolate(df: DataFrame, spring_gap: int = 7, other_gap: int = 22, scope:
     return near.select("site", "d", value.alias("q"), (missing & value.isNotNull()).alias("filled"))
 
 
+def gap_overlay(df: DataFrame, spring_gap: int = 7, other_gap: int = 22, scope: str = "series") -> DataFrame:
+    """site, d, observed, overlay: what a plot of filled gaps draws; overlay runs from the day before a gap to the day after."""
+    filled = interpolate(df, spring_gap, other_gap, scope)
+    missing = F.col("filled") | F.col("q").isNull()
+    beside = lambda f: F.coalesce(f(missing).over(_order()), F.lit(False))
+    return filled.select("site", "d", F.when(~missing, F.col("q")).alias("observed"), F.when(missing | beside(F.lag) | beside(F.lead), F.col("q")).alias("overlay"))
+
+
 def resampled(df: DataFrame) -> DataFrame:
     """site, ts, v at the most frequent step of each site (the smallest of several), from its first to its last time."""
     seconds = F.unix_timestamp("ts")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import basin, prepare, repair
+from ..operators import basin, repair
 from . import proxies as px
 from .registry import query
 
@@ -88,9 +88,6 @@ query("ba16_field_names", f"SELECT o_orderkey, CASE WHEN regexp_matches({_SAFE},
 _PUSH = f"WITH {_VALUES}, pu AS (SELECT ma.comid, ma.huc12, ma.v AS old, CASE WHEN ismainstem = 1 THEN ups.v ELSE lo.v END AS new FROM ma LEFT JOIN ups USING (comid) LEFT JOIN lo ON lo.huc12 = ma.huc12)"
 query("ba15_push", f"{_PUSH} SELECT comid, huc12, old, new + 0.0 AS new FROM pu WHERE old IS DISTINCT FROM new")(lambda s, d: rounded(basin.pushed(*_values(s, d), "v")))
 query("ba15_dry_run", f"{_PUSH} SELECT huc12, count(*) AS n FROM pu WHERE old IS DISTINCT FROM new GROUP BY 1")(lambda s, d: basin.dry_run(basin.pushed(*_values(s, d), "v")))
-query("io18_gap_overlay", f"WITH {px.SQL_DAILY} SELECT site, min(d)::VARCHAR AS first, max(d)::VARCHAR AS last, count(*) AS n FROM daily WHERE q > 300 GROUP BY 1")(
-    lambda s, d: prepare.load_daily(px.daily(s, d)).filter("q > 300").groupBy("site").agg(F.min("d").cast("string").alias("first"), F.max("d").cast("string").alias("last"), F.count("*").alias("n"))
-)
 _MONTH_CTE = "m AS (SELECT site, date_trunc('month', d)::DATE AS m, min_by(q, d) AS v FROM gappy WHERE q IS NOT NULL GROUP BY 1, 2)"
 query("j13_month_lookup", f"WITH {px.SQL_GAPPY}, {_MONTH_CTE} SELECT g.site, g.d, m.v AS end_of_month FROM gappy g LEFT JOIN m ON m.site = g.site AND m.m = date_trunc('month', g.d)")(lambda s, d: repair.month_value(px.gappy(s, d), "q").select("site", "d", "end_of_month"))
 query("j14_last_month_lookup", f"WITH {px.SQL_GAPPY}, {_MONTH_CTE} SELECT g.site, g.d, m.v AS end_of_last_month FROM gappy g LEFT JOIN m ON m.site = g.site AND m.m + INTERVAL 1 MONTH = date_trunc('month', g.d)")(

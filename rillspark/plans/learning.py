@@ -67,7 +67,7 @@ def tree(spark: SparkSession, sf_dir: str) -> cart.Tree:
 
 
 query("ct1_tree_predictions")(lambda s, d: tree(s, d).predictions)
-query("io19_tree_text")(lambda s, d: s.createDataFrame([*enumerate(tree(s, d).text().splitlines())], "line int, text string"))
+query("io19_tree_text")(lambda s, d: s.createDataFrame([*enumerate(tree(s, d).text().splitlines())], "line int, text string").withColumn("text", F.regexp_replace("text", "uid=[^,]*, ", "")))
 query("ct3_importances")(lambda s, d: rounded(tree(s, d).importances))
 _GUESS = "g AS (SELECT CASE WHEN c_acctbal > 4000 THEN 'high' ELSE 'low' END AS label, CASE WHEN c_custkey % 5 = 0 THEN 'low' WHEN c_acctbal > 3000 THEN 'high' ELSE 'low' END AS predicted FROM customer)"
 

@@ -27,6 +27,11 @@ for _scope, _want in (("gap", "fits"), ("series", "bool_or(fits) OVER (PARTITION
         f"ts3_interpolate_{_scope}",
         f"WITH {_FD}, {_NEAR}, n5 AS (SELECT site, d, missing, CASE WHEN missing AND {_want} THEN line ELSE q END AS v FROM n4) SELECT site, d, round(v, 6) + 0.0 AS q, missing AND v IS NOT NULL AS filled FROM n5",
     )(lambda s, d, scope=_scope: rounded(repair.interpolate(px.gappy(s, d), 7, 22, scope)))
+query(
+    "io18_gap_overlay",
+    f"WITH {_FD}, {_NEAR}, n5 AS (SELECT site, d, q, missing, CASE WHEN missing AND bool_or(fits) OVER (PARTITION BY site) THEN line ELSE q END AS v FROM n4), n6 AS (SELECT *, lag(missing, 1, false) OVER w OR lead(missing, 1, false) OVER w AS beside FROM n5 WINDOW w AS (PARTITION BY site ORDER BY d)) "
+    "SELECT site, d, round(q, 6) + 0.0 AS observed, round(CASE WHEN missing OR beside THEN v END, 6) + 0.0 AS overlay FROM n6",
+)(lambda s, d: rounded(repair.gap_overlay(px.gappy(s, d))))
 query("ts11_straight_lines", f"WITH {_FD}, {_NEAR} SELECT site, d, round(coalesce(q, line), 6) + 0.0 AS q FROM n4")(
     lambda s, d: rounded(repair.with_neighbours(repair.fill_dates(px.gappy(s, d))).select("site", "d", repair.straight(F.col("q")).alias("q")))
 )
