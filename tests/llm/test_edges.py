@@ -296,6 +296,20 @@ def test_pieces_of_all_code_points():
         assert b"".join(bpe.decoded(v, packed, 1000)) == text.encode()
 
 
+def test_every_row_twice(docs, spark):
+    """Each row of a table in which all rows are there twice gets what it gets alone; shards hold both."""
+    few = docs.select("doc_id", "text").filter("doc_id <> 12")
+    twice = few.unionByName(few)
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "Kelvin k")], "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for f in (simhash.near_dedup, lambda d: bpe.encode_documents(d, path), lambda d: decontaminate.decontaminate(d, bench)):
+        once = Counter(map(tuple, f(few).collect()))
+        assert Counter(map(tuple, f(twice).collect())) == once + once
+    got = sharding.shard(twice, 4000).collect()
+    assert len(got) == 2 * few.count() and all(sum(x["n_bytes"] for x in got if x["shard"] == r["shard"]) == r["shard_bytes"] for r in got)
+    assert simhash.drop_near(twice).count() == 2 * simhash.drop_near(few).count()
+
+
 def test_quality(docs, empty, spark):
     rng = random.Random(4)
     good = [(i, " ".join(rng.choice(["river", "flow", "stream", "gauge"]) for _ in range(40)), 1) for i in range(200)]
