@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, mixing, periodic, quality, repeats, secrets, sharding, simhash, tool_calls, whitening
+from . import bpe, decontaminate, exact_dedup, mixing, periodic, quality, repeats, secrets, sharding, simhash, templates, tool_calls, whitening
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_patricia_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.judge(table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -58,8 +62,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.collapse_runs(table(spark, sf_dir, "documents"), periodic.planted)
 
 
-QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_blob_ledger, op3_tool_calls, op4_quality, op5_context_mixing, op6_maximal_repeats, op7_positional_index, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup, op12_whitening, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_extendible_sharding, op2_blob_ledger, op3_tool_calls, op4_quality, op5_context_mixing, op6_maximal_repeats, op7_positional_index, op8_gray_simhash, op9_prefix_bpe, op10_patricia_dedup, op11_path_templates, op12_whitening, op13_periodic_runs)}
 ORACLES = {
     "op1_extendible_sharding": sharding.ORACLE, "op2_blob_ledger": secrets.ORACLE, "op3_tool_calls": tool_calls.ORACLE, "op7_positional_index": decontaminate.ORACLE,
-    "op10_patricia_dedup": exact_dedup.ORACLE,
+    "op10_patricia_dedup": exact_dedup.ORACLE, "op11_path_templates": templates.ORACLE,
 }
