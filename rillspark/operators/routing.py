@@ -15,11 +15,11 @@ def unique_filler(df: DataFrame, column: str, key: str) -> DataFrame:
     """
     top = df.agg(F.max(column)).first()[0] or 0
     ranged = cut(df.filter(F.col(column).isNull()).repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
-    part, start = F.shiftright("_at", 33), F.lit(0)
-    total = 0
+    part, starts, total = F.shiftright("_at", 33), [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
     for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each range
-        start = F.when(part == r["part"], total).otherwise(start)
+        starts += [F.lit(r["part"]), F.lit(total).cast("long")]
         total += r["count"]
+    start = F.create_map(*starts)[part]  # one literal, however many ranges there are
     number = F.lit(top) + start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
     filled = ranged.withColumn(column, number.cast(dict(df.dtypes)[column])).drop("_at")
     return df.filter(F.col(column).isNotNull()).unionByName(filled)

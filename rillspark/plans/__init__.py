@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import basins, flow, learning, network, relational, repair
+from . import basins, flow, geometries, learning, network, relational, repair
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basins", "flow", "learning", "network", "relational", "repair"]
+__all__ = ["ORACLES", "QUERIES", "basins", "flow", "geometries", "learning", "network", "relational", "repair"]

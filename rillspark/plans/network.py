@@ -84,16 +84,21 @@ _DENDRITIC = f"WITH RECURSIVE {_PAIRED}, {_BACKBONE}, {_DIVERGENT}, de AS (SELEC
 query("nr8_dendritic", f"{_DENDRITIC} SELECT comid, tocomid, divergent, tocomid IS NULL AS terminal FROM de")(lambda s, d: routing.dendritic(paired(s, d)))
 query("nr8_terminal_list", f"{_DENDRITIC} SELECT comid FROM de WHERE tocomid IS NULL")(lambda s, d: routing.dendritic(paired(s, d)).filter("terminal").select("comid"))
 
-_CATCH = f"""WITH RECURSIVE {_NET}, {px.SQL_ADJACENCY}, cat AS (SELECT comid AS id FROM net WHERE comid % 3 <> 0 UNION ALL SELECT -comid FROM net WHERE comid % 11 = 0),
+def catchment_sql(more: str, catchments: str, near: str) -> str:
+    """CTEs up to rt, the routed catchments: more holds what the sets of id and of a, b, shared_len read."""
+    return f"""WITH RECURSIVE {_NET}, {more}, cat AS ({catchments}),
 en AS (SELECT comid AS id FROM net WHERE comid % 97 = 0), {_walk("SELECT id FROM cat", "SELECT id FROM cat", 15)},
 b0 AS (SELECT c.id, n.comid IS NOT NULL AS known, n.tocomid, en.id IS NOT NULL AS ended, w.target, w.hops FROM cat c LEFT JOIN net n ON n.comid = c.id LEFT JOIN en ON en.id = c.id JOIN walk w ON w.id = c.id),
 b1 AS (SELECT *, CASE WHEN ended OR (known AND tocomid IS NULL) THEN 'terminal' WHEN target IS NOT NULL THEN 'routed' WHEN known THEN 'unresolved' END AS status FROM b0),
 b2 AS (SELECT id, CASE WHEN status = 'terminal' THEN 0 ELSE coalesce(target, -1) END AS target, CASE WHEN ended THEN -1 WHEN status = 'terminal' THEN 0 WHEN known THEN hops END AS hops, status FROM b1),
-a0 AS (SELECT -a AS a, b, shared_len FROM adj WHERE a % 11 = 0 AND a % 2 = 0), a2 AS (SELECT * FROM a0 UNION ALL SELECT b, a, shared_len FROM a0),
+a0 AS ({near}), a2 AS (SELECT * FROM a0 UNION ALL SELECT b, a, shared_len FROM a0),
 nr AS (SELECT a.a AS id, max(shared_len) AS longest, arg_max(d.target, {{'a': shared_len, 'b': -a.b}}) AS given FROM a2 a JOIN b2 d ON d.id = a.b AND d.status IN ('routed', 'terminal') GROUP BY 1),
 rt AS (SELECT b2.id AS featureid, CASE WHEN status IS NULL AND longest > 0 THEN given ELSE target END AS target, hops, coalesce(status, CASE WHEN longest IS NULL THEN 'no_candidates' WHEN longest <= 0 THEN 'no_shared_boundary' ELSE 'resolved' END) AS status FROM b2 LEFT JOIN nr USING (id))"""
 
 
+_CATCH = catchment_sql(px.SQL_ADJACENCY, "SELECT comid AS id FROM net WHERE comid % 3 <> 0 UNION ALL SELECT -comid FROM net WHERE comid % 11 = 0", "SELECT -a AS a, b, shared_len FROM adj WHERE a % 11 = 0 AND a % 2 = 0")
+
+
 @query("nr10_nr11_catchments", f"{_CATCH} SELECT featureid, target, hops::INTEGER AS hops, status FROM rt")
 def catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = px.network(spark, sf_dir)

@@ -149,18 +149,6 @@ query("pf10_in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mkts
 query("pf11_sentinels", f"WITH {px.SQL_NETWORK} SELECT a.comid, b.comid AS tocomid FROM net a LEFT JOIN (SELECT comid FROM net WHERE comid % 10 <> 0) b ON a.tocomid = b.comid")(
     lambda s, d: (lambda n: n.select("comid", "tocomid").join(n.filter("comid % 10 <> 0").select(F.col("comid").alias("in")), F.col("tocomid") == F.col("in"), "left").select("comid", F.col("in").alias("tocomid")))(px.network(s, d))
 )
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as little-endian geometries: lines of two points, or points."""
-    line = F.concat(F.lit("010200000002000000"), F.lit("00" * 32))
-    return px.table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.when(F.col("p_partkey") % 3 == 0, "0101000000" + "00" * 16).otherwise(line)).alias("wkb"))
-
-
-query("pf12_lines", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0")(lambda s, d: _lines(s, d).filter(sources.geometry_type(F.col("wkb")).isin(sources.LINE, sources.MULTI_LINE)).select("p_partkey"))
-query("pf13_multi", "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 5 ELSE 1 END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN 50 ELSE 21 END AS size FROM part")(
-    lambda s, d: _lines(s, d).select("p_partkey", sources.promoted(F.col("wkb")).alias("w")).select("p_partkey", sources.geometry_type(F.col("w")).alias("kind"), F.length("w").alias("size"))
-)
 query("pf14_head", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10")(lambda s, d: px.table(s, d, _C).orderBy("c_custkey").limit(10).select("c_custkey", "c_name"))
 for _sm in (10, 1):
     query(f"pf15_water_year_{_sm}", f"SELECT o_orderkey, (year(o_orderdate) + (month(o_orderdate) >= {_sm})::INT)::INTEGER AS wy FROM orders")(lambda s, d, sm=_sm: px.table(s, d, "orders").select("o_orderkey", water_year(F.col("o_orderdate"), sm).alias("wy")))

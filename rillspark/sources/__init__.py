@@ -75,12 +75,22 @@ def write_sites(stats: DataFrame, path: str) -> DataFrame:
 LINE, POLYGON, MULTI_LINE = 2, 3, 5
 
 
+def _code(wkb: Column) -> Column:
+    """The type's four bytes in hex, high byte first, whatever the byte order."""
+    h = F.hex(F.substring(wkb, 2, 4))
+    return F.when(F.hex(F.substring(wkb, 1, 1)) == "00", h).otherwise(F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)]))
+
+
 def geometry_type(wkb: Column) -> Column:
-    """The type of little-endian well-known binary (its first byte; all types are under 256)."""
-    return F.conv(F.hex(F.substring(wkb, 2, 1)), 16, 10).cast("int")
+    """The type of well-known binary of either byte order, without what it tells about dimensions; null for null and empty bytes."""
+    code = F.conv(F.nullif(_code(wkb), F.lit("")), 16, 10).cast("long")
+    return (code.bitwiseAND(0x0FFFFFFF) % 1000).cast("int")
 
 
 def promoted(wkb: Column) -> Column:
-    """A little-endian line as a multi-line of one; other geometries as they are."""
-    head = F.unhex(F.lit("010500000001000000"))
-    return F.when(geometry_type(wkb) == LINE, F.concat(head, wkb)).otherwise(wkb)
+    """A line as a multi-line of one, in its own byte order and dimensions; other geometries as they are."""
+    little = F.hex(F.substring(wkb, 1, 1)) == "01"
+    code = F.lpad(F.hex(F.conv(_code(wkb), 16, 10).cast("long").bitwiseAND(0xDFFFFFFF) + 3), 8, "0")  # the reference system stays with the line
+    turned = F.concat(*[F.substring(code, i, 2) for i in (7, 5, 3, 1)])
+    head = F.when(little, F.concat(F.lit("01"), turned, F.lit("01000000"))).otherwise(F.concat(F.lit("00"), code, F.lit("00000001")))
+    return F.when(geometry_type(wkb) == LINE, F.concat(F.unhex(head), wkb)).otherwise(wkb)

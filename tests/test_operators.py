@@ -163,6 +163,17 @@ def test_unique_filler_numbers_in_order(spark):
     assert got == {k: k for k in range(1, 50) if k % 3 == 0} | {k: 48 + 1 + i for i, k in enumerate(empty)}
 
 
+def test_unique_filler_with_many_ranges(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        got = routing.unique_filler(spark.range(3000).selectExpr("id", "if(id % 3 = 0, id, null) as h"), "h", "id").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    nulls = [i for i in range(3000) if i % 3]
+    assert [r["h"] for r in got if r["id"] % 3] == [2997 + 1 + i for i in range(len(nulls))] and all(r["h"] == r["id"] for r in got if r["id"] % 3 == 0)
+
+
 def test_first_key_wins(spark):
     rows, values = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "k string, v double"), spark.createDataFrame([("a", 5.0, 2), ("a", 3.0, 9), ("a", None, 1)], "k string, v double, o int")
     got = {(r["k"], r["v"], r["updated"]) for r in basin.transferred(rows, values, "k", "v", "o").collect()}
