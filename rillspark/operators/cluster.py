@@ -1,24 +1,23 @@
 """Clustering of sites and scores of clusterings.
 
-Feature tables are (site, v array<double>). Distances between all pairs are what scores, agglomeration and warping
-distances are made of; the pairs are rows dealt out by Spark, and the number of sites is their only growth.
+Feature tables are (site, v array<double>). What takes all pairs of sites (silhouettes, warping distances) runs in tiles that
+send on sums; only a distance matrix that is asked for has a row for each pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut, depth_to_outlet
+from . import lloyd, spectral, tiles, ward, warping
+from .graph import cut, stored
 
 METHODS = ("kmeans", "agglomerative", "spectral")
 
@@ -27,16 +26,6 @@ def squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def pairs(features: DataFrame) -> DataFrame:
-    """a, b, va, vb for all pairs a < b."""
-    left, right = features.select(F.col("site").alias("a"), F.col("v").alias("va")), features.select(F.col("site").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, F.col("a") < F.col("b"))
-
-
-#: Fits that are run side by side.
-AT_ONCE = 8
-
-
 def kmeans(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """site, cluster."""
     return fitted(features, k, seed)[0]
@@ -54,51 +43,15 @@ def inertia(features: DataFrame, k: int, seed: int = 42) -> float:
 
 
 def agglomerative(features: DataFrame, k: int) -> DataFrame:
-    """site, cluster by Ward's criterion.
-
-    Clusters that are each other's nearest join, all such pairs of a round at once, until one is left; this makes the same
-    tree as joining the nearest pair each time. The tree is then cut after its n - k lowest joins.
-    """
-    nodes = cut(features.select("site", F.col("site").alias("c"), "v"))
-    n = left = nodes.count()
-    state = nodes.select("c", "v", F.lit(1.0).alias("n"))
-    joins = None
-    while left > 1:
-        a = state.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
-        b = state.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-        apart = a.join(b, F.col("a") != F.col("b")).select("a", "b", (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * squared(F.col("va"), F.col("vb"))).alias("h"))
-        order = F.struct("h", F.least("a", "b"), F.greatest("a", "b"))
-        near = cut(apart.groupBy("a").agg(F.min_by(F.struct("b", "h"), order).alias("m")).select("a", "m.b", "m.h"))
-        both = near.filter("a < b").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).select("a", "b", "h")
-        left -= both.count()
-        joins = both if joins is None else joins.unionByName(both)
-        renamed = state.join(both.select(F.col("b").alias("c"), "a"), "c", "left").select(F.coalesce("a", "c").alias("c"), "v", "n")
-        items = renamed.select("c", "n", F.posexplode("v").alias("i", "x"))
-        means = items.groupBy("c", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
-        state = cut(means.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"), F.max("n").alias("n")))
-    label = nodes.select("site", "c")
-    if joins is not None and n > k:
-        # a join's lower name is its cluster's; following the lowest n - k joins leads to each cluster's name
-        low = joins.orderBy("h", "a", "b").limit(n - k).select(F.col("b").alias("comid"), F.col("a").alias("tocomid"))
-        ends = depth_to_outlet(cut(label.select(F.col("c").alias("comid")).join(low, "comid", "left")))
-        label = label.join(ends, F.col("c") == F.col("comid")).select("site", F.col("outlet").alias("c"))
-    names = label.groupBy("c").agg(F.min("site").alias("first"))
-    ranks = names.join(names.select(F.col("first").alias("other")), F.col("other") < F.col("first"), "left").groupBy("c").agg(F.count("other").cast("int").alias("cluster"))
-    return label.join(ranks, "c").select("site", "cluster")
-
-
-def spectral(features: DataFrame, k: int) -> DataFrame:
-    """site, cluster by power iteration on a Gaussian affinity of mean width (an approximation of the spectral method)."""
-    apart = pairs(features).select("a", "b", squared(F.col("va"), F.col("vb")).alias("d"))
-    width = apart.agg(F.avg("d")).first()[0] or 1.0
-    affinity = apart.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.exp(-F.col("d") / width).alias("weight"))
-    return PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(affinity).select(F.col("id").alias("site"), "cluster")
+    """site, cluster by Ward's criterion: the tree cut after its n - k lowest joins."""
+    features = stored(features.select("site", "v"), "features")
+    return ward.labels(features, ward.tree(features), k)
 
 
 def fit(features: DataFrame, method: str = "kmeans", k: int = 4) -> DataFrame:
     if method not in METHODS:
         raise NotImplementedError(method)
-    return {"kmeans": kmeans, "agglomerative": agglomerative, "spectral": spectral}[method](features, k)
+    return {"kmeans": kmeans, "agglomerative": agglomerative, "spectral": spectral.clustered}[method](features, k)
 
 
 def pca(features: DataFrame, components: int | float | None = 0.95) -> tuple[DataFrame, list[float]]:
@@ -114,20 +67,27 @@ def pca(features: DataFrame, components: int | float | None = 0.95) -> tuple[Dat
 
 
 def gap_statistic(features: DataFrame, ks: range = range(2, 13), references: int = 10, seed: int = 42) -> DataFrame:
-    """k, gap: mean log inertia of uniform references in the features' box, less the log inertia of the features."""
-    features = cut(features)
-    width = len(features.first()["v"])
-    box = features.agg(*[f(F.col("v")[i]) for i in range(width) for f in (F.min, F.max)]).first()
-    tables = [features]
-    for r in range(references):
-        tables.append(cut(features.select(F.array(*[F.lit(box[2 * i]) + F.rand(seed + 1000 * r + i) * (box[2 * i + 1] - box[2 * i]) for i in range(width)]).alias("v"))))
-    jobs = [(k, t) for k in ks for t in tables]
-    with ThreadPool(AT_ONCE) as pool:
-        logs = np.log(np.maximum(pool.starmap(lambda k, t: inertia(t, k, seed), jobs), 1e-300)).reshape(len(ks), -1)
-    rows = [(k, float(x[1:].mean() - x[0])) for k, x in zip(ks, logs, strict=True)]
+    """k, gap: mean log inertia of uniform references in the features' box, less the log inertia of the features.
+
+    All numbers of clusters and all references are fitted together, a job a round.
+    """
+    data = stored(tables(features, references, seed), "gap")
+    _, costs = lloyd.fits(data, lloyd.starts(data, ks, seed))
+    logs = {key: np.log(max(c, 1e-300)) for key, c in costs.items()}
+    rows = [(k, float(np.mean([logs[t, k] for t in range(1, references + 1)]) - logs[0, k])) for k in ks] if logs else []
     return features.sparkSession.createDataFrame(rows, "k int, gap double")
 
 
+def tables(features: DataFrame, references: int, seed: int) -> DataFrame:
+    """t, site, v: the features as table 0, and for each a uniform point of their box in tables 1 to references."""
+    features = features.select("site", "v")
+    first = features.first()
+    box = features.agg(*[f(F.col("v")[i]) for i in range(len(first["v"]) if first else 0) for f in (F.min, F.max)] or [F.lit(0)]).first()
+    point = F.array(*[F.lit(low) + lloyd.uniform(F.col("t"), F.col("site"), seed, i, 7) * (high - low) for i, (low, high) in enumerate(zip(box[::2], box[1::2], strict=False))])
+    made = features.select(F.explode(F.sequence(F.lit(1), F.lit(references))).alias("t"), "site").select("t", "site", point.cast("array<double>").alias("v"))
+    return features.select(F.lit(0).alias("t"), "site", "v").unionByName(made)
+
+
 def centroids(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, cluster, n, m (mean array) of site, cluster, v; by names columns that tell clusterings apart."""
     items = labelled.select(*by, "cluster", F.posexplode("v").alias("i", "x")).groupBy(*by, "cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
@@ -157,7 +117,7 @@ def calinski_harabasz(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFram
 
 def distances(features: DataFrame) -> DataFrame:
     """a, b, distance for all pairs of sites a < b."""
-    return pairs(features).select("a", "b", F.sqrt(squared(F.col("va"), F.col("vb"))).alias("distance"))
+    return tiles.all_distances(features)
 
 
 def silhouette(labels: DataFrame, apart: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -175,118 +135,119 @@ def silhouette(labels: DataFrame, apart: DataFrame, by: tuple[str, ...] = ()) ->
 
 
 def sweep(features: DataFrame, ks: range = range(2, 13), seed: int = 42) -> DataFrame:
-    """k, inertia, silhouette, davies_bouldin of k-means for each k, scored on the features."""
-    features = cut(features)
-    with ThreadPool(AT_ONCE) as pool:
-        fits = pool.map(lambda k: fitted(features, k, seed), ks)
-    labels, costs = None, []
-    for k, (label, cost) in zip(ks, fits, strict=True):
-        label = label.withColumn("k", F.lit(k))
-        labels = label if labels is None else labels.unionByName(label)
-        costs.append((k, float(cost)))
-    labels = cut(labels)
-    costs = features.sparkSession.createDataFrame(costs, "k int, inertia double")
-    return costs.join(silhouette(labels, cut(distances(features)), ("k",)), "k").join(davies_bouldin(labels.join(features, "site"), ("k",)), "k")
-
-
-def warp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Accumulated squared costs of warping row by row of two batches of series: (n, length a + 1, length b + 1)."""
-    n, p, q = len(a), a.shape[1], b.shape[1]
-    cost = np.full((n, p + 1, q + 1), np.inf)
-    cost[:, 0, 0] = 0
-    for i in range(1, p + 1):
-        for j in range(1, q + 1):
-            cost[:, i, j] = (a[:, i - 1] - b[:, j - 1]) ** 2 + np.minimum(np.minimum(cost[:, i - 1, j], cost[:, i, j - 1]), cost[:, i - 1, j - 1])
-    return cost
+    """k, inertia, silhouette, davies_bouldin of k-means for each k, scored on the features; all k are fitted together."""
+    features = stored(features.select("site", "v"), "sweep")
+    data = features.select(F.lit(0).alias("t"), "site", "v")
+    runs, costs = lloyd.fits(data, lloyd.starts(data, ks, seed))
+    labels = stored(lloyd.assigned(features, runs), "sweep-labels")
+    costs = features.sparkSession.createDataFrame([(k, c) for (_, k), c in costs.items()], "k int, inertia double")
+    return costs.join(tiles.silhouettes(labels, features, "k"), "k").join(davies_bouldin(labels.join(features, "site"), ("k",)), "k")
 
 
 def dtw_matrix(features: DataFrame) -> DataFrame:
     """a, b, distance for all pairs a < b: the root of the summed squared cost along the best warping path."""
+    return tiles.all_distances(features, "warping")
+
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(np.sqrt(warp(np.stack(x.to_list()), np.stack(y.to_list()))[:, -1, -1])) if len(x) else pd.Series([], dtype=float)
+#: Series that starting centres are drawn from, an expected number; all series take part in every round.
+SAMPLE = 256
 
-    return pairs(features).select("a", "b", distance("va", "vb").alias("distance"))
+Runs = dict[tuple[str, int, int], np.ndarray]
 
 
-def _aligned(series: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the series, points of the centre and of the series that the best path of each pair joins, and the path's cost."""
-    cost = warp(series, centres)
-    n = len(series)
-    i, j = np.full(n, series.shape[1]), np.full(n, centres.shape[1])
-    row, out = np.arange(n), []
-    while len(row):
-        out.append((row, j - 1, i - 1))
-        steps = np.stack([cost[row, i - 1, j - 1], cost[row, i - 1, j], cost[row, i, j - 1]])
-        way = steps.argmin(0)
-        i, j = i - (way < 2), j - (way != 1)
-        going = (i > 0) & (j > 0)
-        row, i, j = row[going], i[going], j[going]
-    return (*(np.concatenate(x) for x in zip(*out, strict=True)), cost[:, -1, -1])
+def _spread(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k series, each drawn in proportion to its cost of warping to those drawn before."""
+    chosen = [int(rng.integers(len(sample)))]
+    every = np.arange(len(sample))
+    cost = np.full(len(sample), np.inf)
+    while len(chosen) < k:
+        cost = np.minimum(cost, warping.warped(sample, sample, every, np.full(len(sample), chosen[-1])))
+        chosen.append(int(rng.choice(len(sample), p=cost / cost.sum())) if cost.sum() > 0 else int(rng.integers(len(sample))))
+    return sample[chosen]
 
 
-def _assign(series: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
-    """For each run its nearest centre of every series."""
-    return [np.stack([warp(series, np.repeat(x[None], len(series), 0))[:, -1, -1] for x in c], 1).argmin(1) for c in centres]
+def _starts(keyed: DataFrame, ks: range, starts: int, seed: int) -> Runs:
+    sizes = {r["key"]: r["count"] for r in keyed.groupBy("key").count().collect()}  # a row for each variant
+    share = F.element_at(F.create_map(*[x for key, n in sizes.items() for x in (F.lit(key), F.lit(SAMPLE / n))]), F.col("key")) if sizes else F.lit(0.0)
+    out: Runs = {}
+    for s in range(starts):
+        chance = lloyd.uniform(F.col("key"), F.col("site"), seed, s)
+        # about SAMPLE rows of each variant, and the one with the least chance of all in any case
+        drawn = keyed.filter(chance < share).select("key", "site", "v").union(keyed.groupBy("key").agg(F.min_by(F.struct("site", "v"), F.struct(chance, "site")).alias("r")).select("key", "r.site", "r.v"))
+        rows = sorted(set((r["key"], r["site"], tuple(r["v"])) for r in drawn.collect()))
+        for key in sorted(sizes):
+            order = _spread(np.array([v for x, _, v in rows if x == key], float), max(ks), np.random.default_rng(seed + s))
+            out |= {(key, k, s): order[:k].copy() for k in ks}
+    return out
+
 
+def _series(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame, np.ndarray]]:
+    for part in parts:
+        for key, own in part.groupby("key", sort=True):
+            yield key, own, np.stack(own["v"].to_list())
 
-def _round(centres: list[np.ndarray]):
+
+def _round(runs: Runs):
     """Sums over a batch of what aligns with each point of each run's centres, and the runs' costs (at point -1)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            series = np.stack(part["v"].to_list())
-            for r, best in enumerate(_assign(series, centres)):
-                width = centres[r].shape[1]
-                row, point, at, cost = _aligned(series, centres[r][best])
-                key = best[row] * width + point
-                total, n = np.bincount(key, series[row, at], centres[r].size), np.bincount(key, minlength=centres[r].size)
+        for key, _, series in _series(parts):
+            for (of, k, s), centres in runs.items():
+                if of != key:
+                    continue
+                best, cost = warping.nearest(series, centres)
+                width, total, n = centres.shape[1], np.zeros(centres.size), np.zeros(centres.size, np.int64)
+                for row, at, point, _, _ in warping.paths(series, centres[best]):
+                    cell = best[row] * width + point
+                    total += np.bincount(cell, series[row, at], centres.size)
+                    n += np.bincount(cell, minlength=centres.size)
                 some = np.flatnonzero(n)
-                yield pd.DataFrame({"run": r, "cluster": np.append(some // width, 0), "i": np.append(some % width, -1), "x": np.append(total[some], cost.sum()), "n": np.append(n[some], len(series))})
+                yield pd.DataFrame({"key": key, "k": k, "s": s, "cluster": np.append(some // width, 0), "i": np.append(some % width, -1), "x": np.append(total[some], cost.sum()), "n": np.append(n[some], len(series))})
 
     return run
 
 
-def _labels(centres: list[np.ndarray], ks: list[int]):
+def _labels(runs: Runs):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                for k, best in zip(ks, _assign(np.stack(part["v"].to_list()), centres), strict=True):
-                    yield pd.DataFrame({"k": k, "site": part["site"], "cluster": best})
+        for key, own, series in _series(parts):
+            for (of, k, _), centres in runs.items():
+                if of == key:
+                    yield pd.DataFrame({"key": key, "k": k, "site": own["site"], "cluster": warping.nearest(series, centres)[0]})
 
     return run
 
 
-def dtw_clusterings(features: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42) -> DataFrame:
-    """k, site, cluster by warping distance, for each k the best of several starts; centres are barycentres of what aligns.
+def dtw_clusterings(features: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42, by: str | None = None) -> DataFrame:
+    """by, k, site, cluster by warping distance, for each k the best of several starts; by names a column of variants that are
+    clustered apart (none: one variant). Centres are barycentres of what aligns.
 
-    A round aligns every series with the centres of all runs in one pass, summed before the shuffle; the driver holds the
-    centres alone. A cluster that loses all its series keeps its centre.
+    A round aligns every series with its nearest centre of all runs of all variants in one pass, summed before the shuffle;
+    the driver holds the centres alone. A cluster that loses all its series keeps its centre.
     """
-    features = cut(features.select("site", "v"))
-    runs = [(k, s) for k in ks for s in range(starts)]
-    centres = []
-    for s in range(starts):
-        first = [r["v"] for r in features.orderBy(F.xxhash64(F.lit(seed + s), "site"), "site").limit(max(ks)).collect()]
-        centres += [(k, s, np.array(first[:k], float)) for k in ks]
-    centres = [next(c for k_, s_, c in centres if (k_, s_) == run) for run in runs]
-    costs = [math.inf] * len(runs)
+    key = F.col(by).cast("string") if by else F.lit("")
+    keyed = stored(features.select(key.alias("key"), F.col("site").cast("long").alias("site"), "v"), "warping")
+    runs = _starts(keyed, ks, starts, seed)
+    costs = dict.fromkeys(runs, np.inf)
     for left in range(rounds, -1, -1):
-        made = features.mapInPandas(_round(centres), "run int, cluster int, i int, x double, n long").groupBy("run", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-        new = [c.copy() for c in centres]
+        if not runs:
+            break
+        made = keyed.mapInPandas(_round(runs), "key string, k int, s int, cluster int, i int, x double, n long").groupBy("key", "k", "s", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # a row for each point of each centre
+        new = {run: c.copy() for run, c in runs.items()}
         for r in made:
+            run = r["key"], r["k"], r["s"]
             if r["i"] < 0:
-                costs[r["run"]] = r["x"]
+                costs[run] = r["x"]
             else:
-                new[r["run"]][r["cluster"], r["i"]] = r["x"] / r["n"]
-        if left == 0 or all(np.allclose(a, b) for a, b in zip(new, centres, strict=True)):
+                new[run][r["cluster"], r["i"]] = r["x"] / r["n"]
+        if left == 0 or all(np.allclose(new[run], runs[run]) for run in runs):
             break  # costs are those of the centres
-        centres = new
-    best = [min((i for i, (k_, _) in enumerate(runs) if k_ == k), key=lambda i: (costs[i], i)) for k in ks]
-    return features.mapInPandas(_labels([centres[i] for i in best], [*ks]), "k int, site long, cluster int")
+        runs = new
+    best: Runs = {}
+    for run in sorted(runs, key=lambda r: (costs[r], r[2])):
+        if not any(run[:2] == other[:2] for other in best):
+            best[run] = runs[run]
+    found = keyed.mapInPandas(_labels(best), "key string, k int, site long, cluster int")
+    return found.withColumn("key", F.col("key").cast(dict(features.dtypes)[by])).withColumnRenamed("key", by) if by else found.drop("key")
 
 
 def dtw_kmeans(features: DataFrame, k: int, rounds: int = 10, starts: int = 2, seed: int = 42) -> DataFrame:
@@ -294,29 +255,17 @@ def dtw_kmeans(features: DataFrame, k: int, rounds: int = 10, starts: int = 2, s
     return dtw_clusterings(features, range(k, k + 1), rounds, starts, seed).select("site", "cluster")
 
 
-def time_warp(variants: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def time_warp(variants: DataFrame, ks: range = range(2, 13), rounds: int = 10, starts: int = 2, seed: int = 42, include_index: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Warping clusterings of several normalizations (variant, site, v) of the same series for each k.
 
     Scores: variant, k, silhouette (on warping distances), davies_bouldin, calinski_harabasz. Assignments: variant, k,
-    site, cluster. Means: variant, k, cluster, n, m (mean series). Each variant is a run of its own; an empty table has none.
+    site, cluster. Means: variant, k, cluster, n, m (mean series). All variants are fitted and scored together; an empty table
+    gives none. include_index puts each point's number, from 1, before it, as readers that flatten two columns do.
     """
-    variants = cut(variants.select("variant", "site", "v"))
-    labels = apart = None
-    for name in sorted(r[0] for r in variants.select("variant").distinct().collect()):
-        own = variants.filter(F.col("variant") == name)
-        label = dtw_clusterings(own, ks, rounds, starts, seed).withColumn("variant", F.lit(name))
-        far = dtw_matrix(own).withColumn("variant", F.lit(name))
-        labels = label if labels is None else labels.unionByName(label)
-        apart = far if apart is None else apart.unionByName(far)
-    if labels is None:
-        spark = variants.sparkSession
-        kind = dict(variants.dtypes)["variant"]
-        shapes = ("silhouette double, davies_bouldin double, calinski_harabasz double", "site long, cluster int", "cluster int, n long, m array<double>")
-        return tuple(spark.createDataFrame([], f"variant {kind}, k int, {x}") for x in shapes)
+    v = F.flatten(F.transform("v", lambda x, i: F.array((i + 1).cast("double"), x))) if include_index else F.col("v")
+    variants = stored(variants.select("variant", F.col("site").cast("long").alias("site"), v.alias("v")), "time-warp")
     by = ("variant", "k")
-    labels = cut(labels.select(*by, "site", "cluster"))
-    far = cut(apart.select("variant", "a", "b", "distance"))
-    keyed = F.struct("variant", F.col("a").alias("s")), F.struct("variant", F.col("b").alias("s"))
-    sil = silhouette(labels.select(*by, F.struct("variant", F.col("site").alias("s")).alias("site"), "cluster"), far.select(keyed[0].alias("a"), keyed[1].alias("b"), "distance"), by)
+    labels = stored(dtw_clusterings(variants, ks, rounds, starts, seed, "variant").select(*by, "site", "cluster"), "time-warp-labels")
     labelled = labels.join(variants, ["variant", "site"])
+    sil = tiles.silhouettes(labels, variants, "k", ("variant",), "warping")
     return sil.join(davies_bouldin(labelled, by), [*by]).join(calinski_harabasz(labelled, by), [*by]), labels, centroids(labelled, by)

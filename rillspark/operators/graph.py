@@ -36,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and not again when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hop_walk(starts: DataFrame, edges: DataFrame, valid: DataFrame, max_hops: int = 15, unresolved: int | None = UNRESOLVED) -> DataFrame:
     """id, target, hops: from each id along tocomid to the first id in valid, hops 0 to max_hops - 1.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rounded
-from ..operators import cart, cluster
+from ..operators import cart, cluster, tiles
 from . import proxies as px
 from .registry import query
 
@@ -27,19 +27,26 @@ _SQL = """f AS (SELECT s.site, m, coalesce(x, 0) AS x, s.site % 4 AS c FROM (SEL
 mid AS (SELECT c, m, avg(x) AS g, count(*) AS n FROM f GROUP BY 1, 2)"""
 
 query("cl1_kmeans")(lambda s, d: cluster.fit(features(s, d), "kmeans", 4))
+query("cl2_agglomerative")(lambda s, d: cluster.fit(features(s, d), "agglomerative", 4))
 query("cl3_spectral")(lambda s, d: cluster.fit(features(s, d), "spectral", 3))
 query("cl5_pca")(lambda s, d: rounded(cluster.pca(features(s, d))[0], 4))
 query("cl6_gap_statistic")(lambda s, d: cluster.gap_statistic(features(s, d)))
 query("cl7_sweep")(lambda s, d: rounded(cluster.sweep(features(s, d))))
 query("cl8_silhouette", f"""WITH {_SQL}, dd AS (SELECT a.site AS a, b.site AS b, a.c AS ca, b.c AS cb, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM f a JOIN f b ON a.m = b.m AND a.site <> b.site GROUP BY ALL),
 mm AS (SELECT a, ca, cb, avg(d) AS d FROM dd GROUP BY ALL), pp AS (SELECT a, max(d) FILTER (ca = cb) AS own, min(d) FILTER (ca <> cb) AS other FROM mm GROUP BY 1)
-SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END), 6) + 0.0 AS silhouette FROM pp""")(lambda s, d: rounded(cluster.silhouette(labelled(s, d), cluster.distances(features(s, d)))))
+SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE coalesce((other - own) / nullif(greatest(own, other), 0), 0) END), 6) + 0.0 AS silhouette FROM pp""")(lambda s, d: rounded(tiles.silhouettes(labelled(s, d).select("site", "cluster"), features(s, d))))
 query("cl8_davies_bouldin", f"""WITH {_SQL}, sp AS (SELECT c, avg(e) AS s FROM (SELECT f.c, site, sqrt(sum((x - g) * (x - g))) AS e FROM f JOIN mid ON f.c = mid.c AND f.m = mid.m GROUP BY 1, 2) GROUP BY 1),
 cd AS (SELECT a.c AS ca, b.c AS cb, sqrt(sum((a.g - b.g) * (a.g - b.g))) AS d FROM mid a JOIN mid b ON a.m = b.m AND a.c <> b.c GROUP BY 1, 2)
 SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT ca, max((x.s + y.s) / d) AS r FROM cd JOIN sp x ON x.c = ca JOIN sp y ON y.c = cb GROUP BY 1)""")(lambda s, d: rounded(cluster.davies_bouldin(labelled(s, d))))
 query("cl8_calinski_harabasz", f"""WITH {_SQL}, g AS (SELECT m, avg(x) AS z FROM f GROUP BY 1), b AS (SELECT sum(n * (mid.g - z) * (mid.g - z)) AS b, count(DISTINCT c) AS k FROM mid JOIN g USING (m)),
 w AS (SELECT sum((x - g) * (x - g)) AS w, count(DISTINCT site) AS n FROM f JOIN mid ON f.c = mid.c AND f.m = mid.m) SELECT round(b * (n - k) / (w * (k - 1)), 6) AS calinski_harabasz FROM b, w""")(lambda s, d: rounded(cluster.calinski_harabasz(labelled(s, d))))
-query("cl9_dtw_matrix")(lambda s, d: rounded(cluster.dtw_matrix(features(s, d))))
+query("cl9_dtw_matrix", """WITH RECURSIVE f AS (SELECT s.site, list(coalesce(x, 0) ORDER BY m) AS v FROM (SELECT DISTINCT l_suppkey AS site FROM lineitem) s CROSS JOIN range(1, 13) t(m)
+  LEFT JOIN (SELECT l_suppkey AS site, month(l_shipdate) AS m, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2) USING (site, m) GROUP BY 1),
+p AS (SELECT a.site AS a, b.site AS b, a.v AS x, b.v AS y FROM f a JOIN f b ON a.site < b.site),
+w AS (SELECT a, b, x, y, 0 AS k, list_transform(range(12), lambda i: CASE WHEN i = 0 THEN (x[1] - y[1]) * (x[1] - y[1]) ELSE 'inf'::DOUBLE END) AS one, list_transform(range(12), lambda i: 'inf'::DOUBLE) AS two FROM p
+  UNION ALL SELECT a, b, x, y, k + 1, list_transform(range(12), lambda i: CASE WHEN k + 1 - i BETWEEN 0 AND 11
+    THEN (x[i + 1] - y[k + 2 - i]) * (x[i + 1] - y[k + 2 - i]) + least(one[i + 1], CASE WHEN i > 0 THEN one[i] ELSE 'inf'::DOUBLE END, CASE WHEN i > 0 THEN two[i] ELSE 'inf'::DOUBLE END) ELSE 'inf'::DOUBLE END), one FROM w WHERE k < 22)
+SELECT a, b, round(sqrt(one[12]), 6) + 0.0 AS distance FROM w WHERE k = 22""")(lambda s, d: rounded(cluster.dtw_matrix(features(s, d))))
 query("cl10_dtw_kmeans")(lambda s, d: cluster.dtw_clusterings(features(s, d)))
 
 
@@ -55,6 +62,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("cl11_time_warp")(lambda s, d: rounded(cluster.time_warp(variants(s, d).filter("variant = 'raw'"))[0]))
+query("cl11_assignments")(lambda s, d: cluster.time_warp(variants(s, d).filter("variant = 'raw'"))[1])
+query("cl11_means")(lambda s, d: (lambda m: m.select("variant", "k", "cluster", "n", F.posexplode("m").alias("i", "x")))(cluster.time_warp(variants(s, d).filter("variant = 'raw'"))[2]).withColumn("x", F.round("x", 6)))
 query("cl12_time_warp_variants")(lambda s, d: rounded(cluster.time_warp(variants(s, d))[0]))
 
 

@@ -226,22 +226,6 @@ def test_warping_clusterings(spark):
     assert cluster.time_warp(table.limit(0))[0].count() == 0
 
 
-def test_one_round_of_warping_barycentres():
-    """Sums of what aligns with each point of a centre, against paths traced one at a time."""
-    from rillspark.operators import cluster
-
-    rng = np.random.default_rng(6)
-    x, y = rng.normal(size=(9, 6)), rng.normal(size=(9, 6))
-    row, point, at, cost = cluster._aligned(x, y)
-    got = {k: sorted(zip(point[row == k], at[row == k])) for k in range(9)}
-    for k in range(9):
-        table, i, j, path = plain_dtw(x[k], y[k]), 6, 6, []
-        while i and j:
-            path.append((j - 1, i - 1))
-            i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda s: table[s])
-        assert got[k] == sorted(path) and cost[k] == pytest.approx(table[-1, -1])
-
-
 def edges(spark, rows):
     return spark.createDataFrame(rows, "comid long, tocomid long")
 
@@ -335,7 +319,7 @@ def test_partitions_of_blobs(spark):
     x, table = blobs(spark)
     want = {frozenset(range(k, k + 10)) for k in (0, 10, 20)}
     groups = lambda df: {frozenset(r[0] for r in rows) for rows in _by_cluster(df).values()}
-    assert groups(cluster.kmeans(table, 3)) == want == groups(cluster.spectral(table, 3))
+    assert groups(cluster.kmeans(table, 3)) == want == groups(cluster.fit(table, "spectral", 3)) == groups(cluster.fit(table, "agglomerative", 3))
     assert cluster.inertia(table, 3) == pytest.approx(sum(((x[k : k + 10] - x[k : k + 10].mean(0)) ** 2).sum() for k in (0, 10, 20)))
     gaps = {r["k"]: r["gap"] for r in cluster.gap_statistic(table, range(2, 5), 3).collect()}
     assert max(gaps, key=gaps.get) == 3
