@@ -1,13 +1,16 @@
 """Autoregressive and forest imputation of single series.
 
 The autoregressive fill goes from gap to gap, each fit using earlier fills, so a site is one group: its series bounds the
-memory. Sites are independent and are dealt out by Spark. The forest fill trains Spark ML forests over all sites.
+memory. Sites are independent and are dealt out by Spark. The forest fills train Spark ML forests over all sites; chained
+equations draw what they fill in from the values of days with similar predictions.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import stored
+from .lloyd import uniform
 from .repair import fill_dates
 
 
@@ -215,3 +220,74 @@ def forest_fill(df: DataFrame, iterations: int = 2, datasets: int = 1, trees: in
         part = now.select("site", "d", "missing", "v")
         total = part if total is None else total.unionByName(part)
     return total.groupBy("site", "d", F.col("missing").alias("filled")).agg(F.avg("v").alias("q")).select("site", "d", "q", "filled")
+
+
+#: Known values that a missing one may be drawn from.
+DONORS = 5
+
+
+def ranked(scored: DataFrame, *order: str) -> DataFrame:
+    """scored (chain, site, missing, ...) with rank: of a known row its number by order in its chain and site, from 1; of a
+    missing row the number of known rows before it."""
+    w = Window.partitionBy("chain", "site").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return scored.withColumn("rank", F.sum(F.when(F.col("missing"), 0).otherwise(1)).over(w))
+
+
+def matched(scored: DataFrame, donors: int = DONORS, salt: int = 0) -> DataFrame:
+    """chain, site, d, v for the missing rows of scored (chain, site, d, q, missing, prediction): predictive mean matching.
+
+    Predictions of known and missing rows are ranked together, so the nearest known ones have the ranks around a missing
+    row's, and an equality join by rank finds them. Of those nearest (ties: the lower rank) one's value is drawn. A site
+    without known values gives null.
+    """
+    rows = stored(ranked(scored, "prediction", "missing", "d"), "matching")
+    known = rows.filter("not missing").select("chain", "site", "rank", F.col("q").alias("given"), F.col("prediction").alias("p"))
+    asked = rows.filter("missing").select("chain", "site", "d", "prediction", F.explode(F.sequence(F.col("rank") - donors + 1, F.col("rank") + donors)).alias("rank"))
+    near = asked.join(known, ["chain", "site", "rank"]).groupBy("chain", "site", "d").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.abs(F.col("p") - F.col("prediction")).alias("far"), "rank", "given"))), 1, donors).alias("near"))
+    drawn = F.floor(uniform(F.col("chain"), F.col("site"), F.col("d"), salt) * F.size("near")).cast("int")
+    found = near.select("chain", "site", "d", F.get("near", drawn)["given"].alias("v"))
+    return rows.filter("missing").select("chain", "site", "d").join(found, ["chain", "site", "d"], "left")
+
+
+def chained_fill(df: DataFrame, datasets: int = 5, iterations: int = 5, donors: int = DONORS, trees: int = 10, depth: int = 5, seed: int = 42) -> DataFrame:
+    """site, d, dataset, q, filled: several completed datasets by chained equations with predictive mean matching.
+
+    Missing values start as drawn known ones of their site. In each iteration every dataset predicts its days from the season
+    and the neighbouring days as they stand, with a forest of its own fitted to known days, and draws each missing value from
+    the known values with the nearest predictions. All datasets are one table, told apart by a column; their forests are
+    fitted side by side. A site without known values keeps nulls.
+    """
+    filled = fill_dates(df).withColumn("missing", F.col("q").isNull())
+    base = filled.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(datasets - 1)))).withColumn("code", F.pmod(F.crc32(F.col("site").cast("string").cast("binary")), F.lit(1000)).cast("double"))
+    # a start is the known value whose number by date is drawn
+    numbered = stored(ranked(base, "d"), "chains")
+    known = numbered.filter("not missing").select("chain", "site", "rank", F.col("q").alias("v"))
+    most = known.groupBy("chain", "site").agg(F.max("rank").alias("most"))
+    draw = (F.floor(uniform(F.col("chain"), F.col("site"), F.col("d"), seed) * F.col("most")) + 1).alias("rank")
+    starts = numbered.filter("missing").join(most, ["chain", "site"]).select("chain", "site", "d", draw).join(known, ["chain", "site", "rank"]).select("chain", "site", "d", "v")
+    plain = numbered.select("chain", "site", "d", "q", "missing", "code")
+    now = _with_values(plain, starts)
+    w = Window.partitionBy("chain", "site").orderBy("d")
+    for i in range(iterations):
+        near = stored(now, "chains").filter("v is not null").withColumn("doy", F.dayofyear("d").cast("double")).withColumn("month", F.month("d").cast("double"))
+        for name, f, n in (("lag1", F.lag, 1), ("lag2", F.lag, 2), ("lead1", F.lead, 1), ("lead2", F.lead, 2)):
+            near = near.withColumn(name, F.coalesce(f("v", n).over(w), F.col("v")))
+        ready = stored(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(near).select("chain", "site", "d", "q", "missing", "features"), "chains-ready")
+
+        def predicted(k: int, ready: DataFrame = ready, i: int = i) -> DataFrame:
+            own = ready.filter(F.col("chain") == k)
+            train = own.filter("not missing")
+            if train.isEmpty():
+                return own.select("chain", "site", "d", "q", "missing", F.lit(0.0).alias("prediction"))
+            model = RandomForestRegressor(labelCol="q", numTrees=trees, maxDepth=depth, seed=seed + 100 * k + i).fit(train)
+            return model.transform(own).select("chain", "site", "d", "q", "missing", "prediction")
+
+        with ThreadPool(datasets) as pool:
+            scored = reduce(DataFrame.unionByName, pool.map(predicted, range(datasets)))
+        now = _with_values(plain, stored(matched(scored, donors, seed + i), "chains-drawn"))
+    return now.select("site", "d", F.col("chain").alias("dataset"), F.col("v").alias("q"), F.col("missing").alias("filled"))
+
+
+def _with_values(plain: DataFrame, drawn: DataFrame) -> DataFrame:
+    """plain with v: the known value, or the one drawn."""
+    return plain.join(drawn, ["chain", "site", "d"], "left").withColumn("v", F.when(F.col("missing"), F.col("v")).otherwise(F.col("q")))

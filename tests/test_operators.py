@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillspark.operators import basin, flowstats, graph, impute, normalize, prepare, repair, routing
+from rillspark.operators.lloyd import uniform
 
 DAY = dt.date(2000, 10, 1)
 
@@ -354,6 +355,44 @@ def test_forest_fill_keeps_what_is_known(spark):
     assert all(r["q"] == pytest.approx(v, abs=4) for r, v in zip(rows[50:54], truth, strict=True))
 
 
+def test_donors_against_a_plain_search(spark):
+    """Given the same predictions and draws, values come from the nearest known predictions of the same site and chain."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for chain in (0, 1):
+        for site, n in (("a", 40), ("b", 7), ("c", 3), ("d", 4)):
+            for i in range(n):
+                missing = site == "d" or bool(rng.random() < 0.4)
+                rows.append((chain, site, DAY + dt.timedelta(i), None if missing else float(rng.integers(1000)), missing, float(rng.integers(12))))
+    table = spark.createDataFrame(rows, "chain int, site string, d date, q double, missing boolean, prediction double").repartition(3)
+    draws = {(r["chain"], r["site"], r["d"]): r["u"] for r in table.select("chain", "site", "d", uniform(F.col("chain"), F.col("site"), F.col("d"), 9).alias("u")).collect()}
+    want = {}
+    for chain, site, d, _, missing, p in rows:
+        if missing:
+            known = sorted((r[5], r[2], r[3]) for r in rows if r[:2] == (chain, site) and not r[4])
+            order = sorted(range(len(known)), key=lambda i: (abs(known[i][0] - p), i))
+            below = sum(k[0] <= p for k in known)
+            near = [i for i in order if below - 5 <= i < below + 5][:5]  # ranks on both sides
+            want[chain, site, d] = known[near[int(draws[chain, site, d] * len(near))]][2] if near else None
+    got = {(r["chain"], r["site"], r["d"]): r["v"] for r in impute.matched(table, 5, 9).collect()}
+    assert got == want
+
+
+def test_chained_equations_fill_with_observed_values(spark):
+    t = np.arange(150)
+    q = [float(v) for v in np.round(20 + 5 * np.sin(t / 9), 3)]
+    truth, known = q[50:56], set(q[:50] + q[56:])
+    q[50:56] = [None] * 6
+    both = series(spark, q, "a").unionByName(series(spark, [None, None, None], "none"))
+    rows = impute.chained_fill(both, datasets=2, iterations=2, trees=5).collect()
+    own = {(r["dataset"], r["d"]): r for r in rows if r["site"] == "a"}
+    assert len(own) == 300 and all(r["q"] in known and r["filled"] == (q[(d - DAY).days] is None) for (_, d), r in own.items())
+    assert all(r["q"] == q[(d - DAY).days] for (_, d), r in own.items() if not r["filled"])
+    assert np.mean([abs(own[k, DAY + dt.timedelta(50 + i)]["q"] - truth[i]) for k in (0, 1) for i in range(6)]) < 3
+    assert all(r["q"] is None for r in rows if r["site"] == "none")
+    assert impute.chained_fill(both.limit(0), 2, 1).count() == 0
+
+
 def test_discovery_names_what_is_missing(spark):
     from rillspark.functions import in_clause
 
