@@ -68,65 +68,85 @@ def hop_walk(starts: DataFrame, edges: DataFrame, valid: DataFrame, max_hops: in
     return starts.select("id").join(done, "id", "left").select("id", target, F.coalesce("hops", F.lit(max_hops)).alias("hops"))
 
 
+#: Rows that jumps between forks may grow to, as a multiple of what they started with, before walks go step by step.
+GROWTH = 16
+
+
 def upstream(edges: DataFrame, targets: DataFrame, include_self: bool = False) -> DataFrame:
     """target, up: every id from which target is reached, each once, circles included; target itself if asked for.
 
-    edges: comid, tocomid. targets: id. Where each id has one way down and there are no circles, jumps double: about log2
-    of the longest chain in rounds, each joining the pairs found so far once. Else a round is a step up from what the round
-    before found new, until nothing is; each round's pairs are one more part of a table.
+    edges: comid, tocomid. targets: id. Each id's least way down makes a forest, once every circle is cut behind its least
+    id; ways that are left over are few where networks are rivers. In the forest jumps double: about log2 of the longest
+    chain in rounds. Only targets and the ends of ways left over are then walked between, doubling again.
     """
-    edges = cut(edges.select("comid", "tocomid").distinct())
-    targets = cut(targets.select("id").distinct())
-    if edges.groupBy("comid").agg(F.count("tocomid").alias("n")).filter("n > 1").isEmpty():
-        ways = edges.groupBy("comid").agg(F.max("tocomid").alias("tocomid"))
-        ends = edges.select("tocomid").filter("tocomid is not null").union(targets).toDF("comid").distinct().join(ways, "comid", "left_anti")
-        ways = cut(ways.unionByName(ends.withColumn("tocomid", F.lit(None).cast("long"))))
-        deepest = depth_to_outlet(ways).agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("circling")).first()
-        if not deepest["circling"]:
-            pairs = _doubled(ways, targets, deepest["d"] or 0)
-            return pairs if include_self else pairs.filter("target <> up")
-    back = edges.filter("tocomid is not null").select(F.col("tocomid").alias("_at"), F.col("comid").alias("_up"))
-    spark, rounds = edges.sparkSession, 0
-    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    front, shape = targets.select(F.col("id").alias("target"), F.col("id").alias("up")), "target long, up long"
+    edges = stored(edges.select("comid", "tocomid").filter("comid is not null and tocomid is not null").distinct(), "edges")
+    targets = stored(targets.select("id").distinct(), "targets")
+    nodes = edges.select("comid").union(edges.select("tocomid")).union(targets.select("id")).distinct()
+    ways = stored(nodes.join(edges.groupBy("comid").agg(F.min("tocomid").alias("tocomid")), "comid", "left"), "ways")
+    cuts = stored(circle_ends(ways), "cuts")
+    trees = ways.join(cuts.select(F.col("comid").alias("_c")), F.col("comid") == F.col("_c"), "left").select("comid", F.when(F.col("_c").isNull(), F.col("tocomid")).alias("tocomid"))
+    trees = stored(trees, "trees")
+    extra = stored(edges.join(trees, ["comid", "tocomid"], "left_anti").select("comid", "tocomid"), "extra")
+    goals = stored(targets.select("id").union(extra.select("comid")).union(extra.select("tocomid")).distinct(), "goals")
+    reach = _nearest_goals(trees, goals)
+    below = reach.select(F.col("comid").alias("_c"), F.col("near").alias("to"))
+    down = trees.join(goals, F.col("comid") == F.col("id")).join(below, F.col("tocomid") == F.col("_c")).select(F.col("comid").alias("from"), "to")
+    inner = _closure(down.union(extra.toDF("from", "to")).distinct(), targets)
+    pairs = reach.join(inner.select(F.col("up").alias("_up"), "target"), F.col("near") == F.col("_up")).select("target", F.col("comid").alias("up"))
+    return pairs if include_self else pairs.filter("target <> up")
+
+
+def circle_ends(ways: DataFrame) -> DataFrame:
+    """comid, tocomid: of every circle of ways (comid, tocomid; one way down each) the least id and its way."""
+    circling = stored(depth_to_outlet(ways).filter("depth is null").select("comid"), "circling")
+    n = circling.count()
+    state = ways.join(circling, "comid", "left_semi").select("comid", F.col("tocomid").alias("at"), F.col("comid").alias("low"))
+    for _ in range(n.bit_length()):  # at is so many steps on, low the least id on the way there
+        state = stored(state, "circling")
+        over = state.select(F.col("comid").alias("_c"), F.col("at").alias("_a"), F.col("low").alias("_l"))
+        state = state.join(over, F.col("at") == F.col("_c")).select("comid", F.col("_a").alias("at"), F.least("low", "_l").alias("low"))
+    state = stored(state, "circling")
+    on = state.select(F.col("at").alias("_on")).distinct()  # after as many steps as there are ids all are on circles
+    least = state.filter("comid = low").join(on, F.col("comid") == F.col("_on"), "left_semi").select("comid")
+    return ways.join(least, "comid", "left_semi")
+
+
+def _nearest_goals(trees: DataFrame, goals: DataFrame) -> DataFrame:
+    """comid, near: the first goal (id) at or below each id of a forest; ids without one are left out."""
+    goal = goals.select(F.col("id").alias("_goal"))
+    reach = trees.join(goal, F.col("comid") == F.col("_goal"), "left").select("comid", F.col("_goal").alias("near"), F.when(F.col("_goal").isNull(), F.col("tocomid")).alias("at"))
     while True:
-        front.write.parquet(f"{folder}/{rounds}")
-        front = spark.read.schema(shape).parquet(f"{folder}/{rounds}")
-        if front.isEmpty():
-            break
-        seen = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(folder)
-        front = front.join(back, F.col("up") == F.col("_at")).select("target", F.col("_up").alias("up")).distinct().join(seen, ["target", "up"], "left_anti")
-        rounds += 1
-    seen = spark.read.schema(shape).option("recursiveFileLookup", True).parquet(folder)
-    return seen if include_self else seen.filter("target <> up")
+        reach = stored(reach, "reach")
+        if reach.filter("at is not null").isEmpty():
+            return reach.filter("near is not null").select("comid", "near")
+        over = reach.select(F.col("comid").alias("_c"), F.col("near").alias("_n"), F.col("at").alias("_a"))
+        reach = reach.join(over, F.col("at") == F.col("_c"), "left").select("comid", F.coalesce("near", "_n").alias("near"), F.col("_a").alias("at"))
 
 
-def _doubled(ways: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
-    """target, up of a forest with chains of at most so many steps, whose ids hold all targets.
+def _closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """up, target: every id from which a target (id) is reached along edges (from, to), targets themselves included.
 
-    First each id's nearest target at or below it is found, which leaves a forest of targets alone; then pairs of targets.
+    pairs has the walks of fewer than 2**k steps, jump those of 2**k; when a round finds no new pair none is left. Where many
+    ways fork, jumps grow; walks then go on a step at a time from the pairs found last.
     """
-    goal = targets.select(F.col("id").alias("_goal"))
-    reach = ways.join(goal, F.col("comid") == F.col("_goal"), "left").select("comid", F.col("_goal").alias("near"), F.when(F.col("_goal").isNull(), F.col("tocomid")).alias("at"))
-    for _ in range(longest.bit_length()):
-        reach = cut(reach)
-        if reach.filter("at is not null").isEmpty():
-            break
-        over = reach.select(F.col("comid").alias("_c"), F.col("near").alias("_n"), F.col("at").alias("_a"))
-        reach = reach.join(over, F.col("at") == F.col("_c"), "left").select("comid", F.coalesce("near", "_n").alias("near"), F.col("_a").alias("at"))
-    reach = cut(reach.filter("near is not null").select("comid", "near"))
-    below = reach.select(F.col("comid").alias("_c"), F.col("near").alias("to"))
-    jump = ways.join(goal, F.col("comid") == F.col("_goal")).join(below, F.col("tocomid") == F.col("_c")).select(F.col("comid").alias("_from"), "to")
-    pairs = goal.select(F.col("_goal").alias("up"), F.col("_goal").alias("target"))
-    while True:  # pairs less than 2**k targets apart, and jumps over 2**k
-        jump, pairs = cut(jump), cut(pairs)
-        if jump.isEmpty():
-            break
-        pairs = pairs.unionByName(pairs.join(jump, F.col("target") == F.col("_from")).select("up", F.col("to").alias("target")))
-        over = jump.select(F.col("_from").alias("_mid"), F.col("to").alias("_to"))
-        jump = jump.join(over, F.col("to") == F.col("_mid")).select("_from", F.col("_to").alias("to"))
-    inner = pairs.select(F.col("up").alias("_up"), "target")
-    return reach.join(inner, F.col("near") == F.col("_up")).select("target", F.col("comid").alias("up"))
+    jump = edges = stored(edges, "jump")
+    most = GROWTH * (edges.count() + 1000)
+    pairs = stored(targets.select(F.col("id").alias("up"), F.col("id").alias("target")), "pairs")
+    found = fresh = pairs.count()
+    new = pairs
+    while fresh and (jumps := jump.count()):
+        squaring = jumps <= most
+        by, start = (jump, pairs) if squaring else (edges, new)
+        step = by.join(start.select(F.col("up").alias("_up"), "target"), F.col("to") == F.col("_up")).select(F.col("from").alias("up"), "target").distinct()
+        new = stored(step.join(pairs, ["up", "target"], "left_anti"), "new-pairs")
+        pairs = stored(pairs.unionByName(new), "pairs")
+        fresh, found = pairs.count() - found, pairs.count()
+        if squaring:
+            over = jump.select(F.col("from").alias("_mid"), F.col("to").alias("_to"))
+            jump = stored(jump.join(over, F.col("to") == F.col("_mid")).select("from", F.col("_to").alias("to")).distinct(), "jump")
+            if jump.count() > most:
+                new = pairs  # from here on single steps, first from all pairs
+    return pairs
 
 
 def depth_to_outlet(edges: DataFrame) -> DataFrame:

@@ -279,6 +279,38 @@ def test_upstream_of_long_chains_and_forks(spark):
     assert up == {(4, 1), (4, 2), (4, 3), (4, 5), (3, 1), (3, 5)}
 
 
+def plain_upstream(pairs, targets):
+    back = {}
+    for a, b in pairs:
+        back.setdefault(b, set()).add(a)
+    out = set()
+    for t in targets:
+        seen, todo = {t}, [t]
+        while todo:
+            new = back.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        out |= {(t, u) for u in seen}
+    return out
+
+
+@pytest.mark.parametrize(("nodes", "ways", "growth"), [(60, 1, 16), (60, 2, 16), (40, 3, 0), (200, 1, 16)])
+def test_upstream_of_networks_that_fork_and_circle(spark, monkeypatch, nodes, ways, growth):
+    """Against a plain search: forks, circles, circles that meet forks, repeated edges, targets off the network."""
+    monkeypatch.setattr(graph, "GROWTH", growth)
+    rng = np.random.default_rng(nodes + ways)
+    pairs = [(int(a), int(b)) for a in range(nodes) for b in rng.choice([*range(nodes), None], ways if rng.random() < 0.5 else 1) if b is not None]
+    pairs += pairs[:3] + [(500, 501), (501, 502), (502, 500), (503, 502), (600, 600), (601, 600)]
+    targets = [*range(0, nodes, 5), 500, 503, 600, 999]
+    got = [(r["target"], r["up"]) for r in graph.upstream(edges(spark, pairs + [(700, None)]), spark.createDataFrame([(t,) for t in targets + targets[:2]], "id long"), True).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_upstream(pairs, targets)
+
+
+def test_circles_are_cut_behind_their_least_id(spark):
+    ways = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (9, 8), (8, 9), (7, 7), (20, 21), (21, None), (6, 8)])
+    assert {tuple(r) for r in graph.circle_ends(ways).collect()} == {(1, 2), (8, 9), (7, 7)}
+
+
 def test_orphan_catchments_take_the_longest_neighbour(spark):
     net = edges(spark, [(1, 2), (2, None), (3, 1)])
     cats = spark.createDataFrame([(1,), (2,), (3,), (90,), (91,)], "featureid long")
