@@ -48,24 +48,27 @@ def hop_walk(starts: DataFrame, edges: DataFrame, valid: DataFrame, max_hops: in
 
     starts: id. edges: comid, tocomid (one per comid). valid: id, without repeats. hops counts the steps after the direct
     target, so 0 says that this was valid. A walk that isn't resolved tells in hops where it left the graph (-1: it has no
-    direct target), or max_hops if it is too long or runs in a circle.
+    direct target), or max_hops if it is too long or runs in a circle. Jumps double: about log2(max_hops) joins of the graph with
+    itself, and as many of the starts with it.
     """
-    edges = edges.select(F.col("comid").alias("_from"), F.col("tocomid").alias("_to"))
-    valid = valid.select(F.col("id").alias("_valid"))
-    step = lambda df: df.join(edges, df["at"] == F.col("_from"), "left").select("id", F.col("_to").alias("at"))
-    front, done = step(starts.select("id", F.col("id").alias("at"))), None
-    for hops in range(max_hops):
-        front = cut(front.join(valid, F.col("at") == F.col("_valid"), "left"))
-        over = F.col("_valid").isNotNull() | F.col("at").isNull()
-        number = F.when(F.col("at").isNull() & F.lit(hops == 0), -1).otherwise(hops).alias("hops")
-        found = front.filter(over).select("id", F.col("_valid").alias("target"), number)
-        done = found if done is None else done.unionByName(found)
-        front = front.filter(~over).select("id", "at")
-        if hops == max_hops - 1 or front.isEmpty():
-            break
-        front = step(front)
+    ways = edges.select("comid", "tocomid")
+    nodes = ways.unionByName(ways.select(F.col("tocomid").alias("comid")).filter("comid is not null").distinct().join(ways.select("comid"), "comid", "left_anti").withColumn("tocomid", F.lit(None).cast("long")))
+    # of the 2**k ids from comid on: the first valid one and its place, or the place where the walk left the graph, or the id after them
+    isin = F.col("_valid").isNotNull()
+    look = nodes.join(valid.select(F.col("id").alias("_valid")), F.col("comid") == F.col("_valid"), "left").select(
+        F.col("comid").alias("_c"), F.col("_valid").alias("_t"), F.when(isin, 0).when(F.col("tocomid").isNull(), 1).alias("_n"), F.when(~isin, F.col("tocomid")).alias("_a"))
+    walk = starts.select("id").join(ways.toDF("_from", "_to"), F.col("id") == F.col("_from"), "left")
+    walk = walk.select("id", F.col("_to").alias("at"), F.lit(None).cast("long").alias("target"), F.when(F.col("_to").isNull(), -1).alias("hops"), F.lit(0).alias("seen"))
+    for k in range(max_hops.bit_length()):
+        look = stored(look, "hops")
+        if max_hops >> k & 1:
+            onward = walk.join(look, F.col("at") == F.col("_c"), "left")
+            walk = stored(onward.select("id", F.col("_a").alias("at"), F.coalesce("target", "_t").alias("target"), F.coalesce("hops", F.col("seen") + F.col("_n")).alias("hops"), (F.col("seen") + (1 << k)).alias("seen")), "hops")
+        if k + 1 < max_hops.bit_length():
+            after = look.select(F.col("_c").alias("_d"), F.col("_t").alias("_t2"), F.col("_n").alias("_n2"), F.col("_a").alias("_a2"))
+            look = look.join(after, F.col("_a") == F.col("_d"), "left").select("_c", F.coalesce("_t", "_t2").alias("_t"), F.coalesce("_n", F.col("_n2") + (1 << k)).alias("_n"), F.col("_a2").alias("_a"))
     target = F.coalesce("target", F.lit(unresolved).cast("long")).alias("target")
-    return starts.select("id").join(done, "id", "left").select("id", target, F.coalesce("hops", F.lit(max_hops)).alias("hops"))
+    return walk.select("id", target, F.coalesce("hops", F.lit(max_hops)).alias("hops"))
 
 
 #: Rows that jumps between forks may grow to, as a multiple of what they started with, before walks go step by step.
@@ -83,15 +86,20 @@ def upstream(edges: DataFrame, targets: DataFrame, include_self: bool = False) -
     targets = stored(targets.select("id").distinct(), "targets")
     nodes = edges.select("comid").union(edges.select("tocomid")).union(targets.select("id")).distinct()
     ways = stored(nodes.join(edges.groupBy("comid").agg(F.min("tocomid").alias("tocomid")), "comid", "left"), "ways")
-    cuts = stored(circle_ends(ways), "cuts")
-    trees = ways.join(cuts.select(F.col("comid").alias("_c")), F.col("comid") == F.col("_c"), "left").select("comid", F.when(F.col("_c").isNull(), F.col("tocomid")).alias("tocomid"))
-    trees = stored(trees, "trees")
-    extra = stored(edges.join(trees, ["comid", "tocomid"], "left_anti").select("comid", "tocomid"), "extra")
-    goals = stored(targets.select("id").union(extra.select("comid")).union(extra.select("tocomid")).distinct(), "goals")
+    cuts = circle_ends(ways)
+    circles, forks = not cuts.isEmpty(), edges.count() > ways.filter("tocomid is not null").count()
+    trees, goals, extra = ways, targets, None
+    if circles:
+        trees = stored(ways.join(cuts.select(F.col("comid").alias("_c")), F.col("comid") == F.col("_c"), "left").select("comid", F.when(F.col("_c").isNull(), F.col("tocomid")).alias("tocomid")), "trees")
+    if circles or forks:
+        extra = stored(edges.join(trees, ["comid", "tocomid"], "left_anti").select("comid", "tocomid"), "extra")
+        goals = stored(targets.select("id").union(extra.select("comid")).union(extra.select("tocomid")).distinct(), "goals")
     reach = _nearest_goals(trees, goals)
     below = reach.select(F.col("comid").alias("_c"), F.col("near").alias("to"))
     down = trees.join(goals, F.col("comid") == F.col("id")).join(below, F.col("tocomid") == F.col("_c")).select(F.col("comid").alias("from"), "to")
-    inner = _closure(down.union(extra.toDF("from", "to")).distinct(), targets)
+    if extra is not None:
+        down = down.union(extra.toDF("from", "to")).distinct()
+    inner = _closure(down, targets, forest=extra is None)
     pairs = reach.join(inner.select(F.col("up").alias("_up"), "target"), F.col("near") == F.col("_up")).select("target", F.col("comid").alias("up"))
     return pairs if include_self else pairs.filter("target <> up")
 
@@ -100,6 +108,8 @@ def circle_ends(ways: DataFrame) -> DataFrame:
     """comid, tocomid: of every circle of ways (comid, tocomid; one way down each) the least id and its way."""
     circling = stored(depth_to_outlet(ways).filter("depth is null").select("comid"), "circling")
     n = circling.count()
+    if not n:
+        return circling.select("comid", F.lit(None).cast("long").alias("tocomid"))
     state = ways.join(circling, "comid", "left_semi").select("comid", F.col("tocomid").alias("at"), F.col("comid").alias("low"))
     for _ in range(n.bit_length()):  # at is so many steps on, low the least id on the way there
         state = stored(state, "circling")
@@ -123,30 +133,33 @@ def _nearest_goals(trees: DataFrame, goals: DataFrame) -> DataFrame:
         reach = reach.join(over, F.col("at") == F.col("_c"), "left").select("comid", F.coalesce("near", "_n").alias("near"), F.col("_a").alias("at"))
 
 
-def _closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
+def _closure(edges: DataFrame, targets: DataFrame, forest: bool) -> DataFrame:
     """up, target: every id from which a target (id) is reached along edges (from, to), targets themselves included.
 
-    pairs has the walks of fewer than 2**k steps, jump those of 2**k; when a round finds no new pair none is left. Where many
-    ways fork, jumps grow; walks then go on a step at a time from the pairs found last.
+    What is known after k rounds are the walks of fewer than 2**k steps, jump has those of 2**k; when a round finds no new pair
+    none is left. Where many ways fork, jumps grow; walks then go on a step at a time from the pairs found last. In a forest
+    each pair has one walk, so none is found twice.
     """
+    spark = edges.sparkSession
     jump = edges = stored(edges, "jump")
-    most = GROWTH * (edges.count() + 1000)
-    pairs = stored(targets.select(F.col("id").alias("up"), F.col("id").alias("target")), "pairs")
-    found = fresh = pairs.count()
-    new = pairs
-    while fresh and (jumps := jump.count()):
-        squaring = jumps <= most
-        by, start = (jump, pairs) if squaring else (edges, new)
-        step = by.join(start.select(F.col("up").alias("_up"), "target"), F.col("to") == F.col("_up")).select(F.col("from").alias("up"), "target").distinct()
-        new = stored(step.join(pairs, ["up", "target"], "left_anti"), "new-pairs")
-        pairs = stored(pairs.unionByName(new), "pairs")
-        fresh, found = pairs.count() - found, pairs.count()
+    most, folder, shape = GROWTH * (edges.count() + 1000), f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}", "up long, target long"
+    all_ = lambda: spark.read.schema(shape).option("recursiveFileLookup", True).parquet(folder)
+    new, rounds, squaring = targets.select(F.col("id").alias("up"), F.col("id").alias("target")), 0, True
+    while True:
+        new.write.parquet(f"{folder}/{rounds}")
+        new = spark.read.schema(shape).parquet(f"{folder}/{rounds}")
+        if new.isEmpty() or jump.isEmpty():
+            return all_()
+        by, start = (jump, all_()) if squaring else (edges, new)
+        step = by.join(start.select(F.col("up").alias("_up"), "target"), F.col("to") == F.col("_up")).select(F.col("from").alias("up"), "target")
         if squaring:
             over = jump.select(F.col("from").alias("_mid"), F.col("to").alias("_to"))
-            jump = stored(jump.join(over, F.col("to") == F.col("_mid")).select("from", F.col("_to").alias("to")).distinct(), "jump")
+            more = jump.join(over, F.col("to") == F.col("_mid")).select("from", F.col("_to").alias("to"))
+            jump = stored(more if forest else more.distinct(), "jump")
             if jump.count() > most:
-                new = pairs  # from here on single steps, first from all pairs
-    return pairs
+                squaring, step = False, edges.join(all_().select(F.col("up").alias("_up"), "target"), F.col("to") == F.col("_up")).select(F.col("from").alias("up"), "target")
+        new = step if forest else step.distinct().join(all_(), ["up", "target"], "left_anti")
+        rounds += 1
 
 
 def depth_to_outlet(edges: DataFrame) -> DataFrame:
@@ -158,13 +171,13 @@ def depth_to_outlet(edges: DataFrame) -> DataFrame:
     state = edges.join(known, F.col("tocomid") == F.col("_c"), "left").select("comid", F.coalesce("_c", "comid").alias("at"), F.col("_c").isNotNull().cast("long").alias("depth"))
     n = edges.count()
     for _ in range(math.ceil(math.log2(max(2, n))) + 1):
-        state = cut(state)
+        state = stored(state, "depth")
         over = state.select(F.col("comid").alias("_c"), F.col("at").alias("_at"), F.col("depth").alias("_d"))
         moved = state.join(over, F.col("at") == F.col("_c"))
         if moved.filter("_d > 0").isEmpty():
             return state.select("comid", F.col("at").alias("outlet"), "depth")
         state = moved.select("comid", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"))
-    state = cut(state)
+    state = stored(state, "depth")
     ends = state.filter("depth = 0").select(F.col("comid").alias("_end"))
     ok = F.col("_end").isNotNull()
     return state.join(ends, F.col("at") == F.col("_end"), "left").select("comid", F.when(ok, F.col("at")).alias("outlet"), F.when(ok, F.col("depth")).alias("depth"))
