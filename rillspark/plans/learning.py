@@ -71,13 +71,48 @@ def tree(spark: SparkSession, sf_dir: str) -> cart.Tree:
     c = px.table(spark, sf_dir, "customer")
     spent = px.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("n_orders"))
     rows = c.join(spent, "c_custkey", "left").na.fill(0.0, ["spent"]).na.fill(0, ["n_orders"])
-    rows = rows.withColumn("class", F.when(F.col("c_acctbal") > 4000, "high").when(F.col("n_orders") > 10, "busy").otherwise("low"))
+    rows = rows.withColumn("class", F.when(F.col("c_custkey") % 9 == 0, "busy").when(F.col("c_acctbal") > 4000, "high").when(F.col("n_orders") > 10, "busy").otherwise("low"))
     return cart.cart(rows, "class", ["c_acctbal", "spent", "n_orders", "c_nationkey"], F.col("c_custkey") % 10 >= 7)
 
 
-query("ct1_tree_predictions")(lambda s, d: tree(s, d).predictions)
-query("io19_tree_text")(lambda s, d: s.createDataFrame([*enumerate(tree(s, d).text().splitlines())], "line int, text string").withColumn("text", F.regexp_replace("text", "uid=[^,]*, ", "")))
-query("ct3_importances")(lambda s, d: rounded(tree(s, d).importances))
+_CLASSES, _FEATURES = ("busy", "high", "low"), ("c_acctbal", "spent", "n_orders", "c_nationkey")
+
+
+def _sql_split(i: int) -> str:
+    """CTEs that find the best split of every node of level i of q{i} and lead its rows on to q{i + 1}."""
+    k = range(len(_CLASSES))
+    left, right = " + ".join(f"l{c}" for c in k), " + ".join(f"(t{c} - l{c})" for c in k)
+    score = f"({' + '.join(f'l{c} * l{c}' for c in k)})::DOUBLE / ({left}) + ({' + '.join(f'(t{c} - l{c}) * (t{c} - l{c})' for c in k)})::DOUBLE / ({right})"
+    return f"""
+n{i} AS (SELECT node, {", ".join(f"count(*) FILTER (y = {c}) AS t{c}" for c in k)} FROM q{i} WHERE NOT test AND node >= {2**i} GROUP BY 1 HAVING count(DISTINCT y) > 1),
+i{i} AS (SELECT node, f, v, {", ".join(f"count(*) FILTER (y = {c}) AS c{c}" for c in k)} FROM (SELECT node, y, unnest([{", ".join(str(f) for f in range(len(_FEATURES)))}]) AS f, unnest([{", ".join(_FEATURES)}]) AS v FROM q{i} WHERE NOT test) GROUP BY ALL),
+p{i} AS (SELECT node, f, v, lead(v) OVER w AS after, {", ".join(f"sum(c{c}) OVER w AS l{c}" for c in k)} FROM i{i} WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+b{i} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {score} DESC, f, v) AS place FROM p{i} JOIN n{i} USING (node) WHERE after IS NOT NULL AND {left} >= 5 AND {right} >= 5) WHERE place = 1),
+q{i + 1} AS MATERIALIZED (SELECT q.* REPLACE (CASE WHEN b.node IS NULL THEN q.node WHEN [{", ".join(f"q.{f}" for f in _FEATURES)}][b.f + 1] <= b.v / 2 + b.after / 2 THEN 2 * q.node ELSE 2 * q.node + 1 END AS node) FROM q{i} q LEFT JOIN b{i} b ON b.node = q.node)"""
+
+
+_TREE = f"""WITH o AS (SELECT o_custkey AS c_custkey, sum(o_totalprice)::DOUBLE AS spent, count(*)::DOUBLE AS n_orders FROM orders GROUP BY 1),
+c AS (SELECT c_custkey, c_acctbal::DOUBLE AS c_acctbal, coalesce(spent, 0)::DOUBLE AS spent, coalesce(n_orders, 0)::DOUBLE AS n_orders, c_nationkey::DOUBLE AS c_nationkey FROM customer LEFT JOIN o USING (c_custkey)),
+q0 AS MATERIALIZED (SELECT 1 AS node, c_custkey % 10 >= 7 AS test, CASE WHEN c_custkey % 9 = 0 THEN 0 WHEN c_acctbal > 4000 THEN 1 WHEN n_orders > 10 THEN 0 ELSE 2 END AS y, {", ".join(_FEATURES)} FROM c),{",".join(_sql_split(i) for i in range(5))}"""
+_NAMES = f"[{', '.join(repr(c) for c in _CLASSES)}]"
+_COUNTS = ", ".join(f"count(*) FILTER (y = {c}) AS c{c}" for c in range(len(_CLASSES)))
+query("ct1_tree_predictions", f"""{_TREE}, lf AS (SELECT node, {_COUNTS} FROM q5 WHERE NOT test GROUP BY 1)
+SELECT {_NAMES}[y + 1] AS label, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 'busy' WHEN c1 >= c2 THEN 'high' ELSE 'low' END AS predicted FROM q5 JOIN lf USING (node) WHERE test""")(lambda s, d: tree(s, d).predictions)
+query("ct1_first_split", f"{_TREE} SELECT {list(_FEATURES)!r}[f + 1] AS feature, round(v / 2 + after / 2, 6) + 0.0 AS threshold FROM b0")(lambda s, d: first_split(s, d))
+query("io19_tree_text")(lambda s, d: s.createDataFrame([*enumerate(tree(s, d).text().splitlines())], "line int, text string"))
+_GAIN = "(t0 + t1 + t2) * (1 - (t0 * t0 + t1 * t1 + t2 * t2)::DOUBLE / ((t0 + t1 + t2) * (t0 + t1 + t2))) - (l0 + l1 + l2) * (1 - (l0 * l0 + l1 * l1 + l2 * l2)::DOUBLE / ((l0 + l1 + l2) * (l0 + l1 + l2)))"
+_GAIN += " - (r0 + r1 + r2) * (1 - (r0 * r0 + r1 * r1 + r2 * r2)::DOUBLE / ((r0 + r1 + r2) * (r0 + r1 + r2)))"
+query("ct3_importances", f"""{_TREE}, a AS (SELECT f, l0, l1, l2, t0, t1, t2, t0 - l0 AS r0, t1 - l1 AS r1, t2 - l2 AS r2 FROM ({" UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(5))})),
+g AS (SELECT f, sum({_GAIN}) AS g FROM a GROUP BY 1) SELECT name AS feature, round(coalesce(g, 0) / (SELECT sum(g) FROM g), 6) + 0.0 AS importance FROM (SELECT unnest(range(4)) AS i, unnest({list(_FEATURES)!r}) AS name) LEFT JOIN g ON g.f = i""")(lambda s, d: rounded(tree(s, d).importances))
+
+
+def first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, threshold of the root."""
+    found = tree(spark, sf_dir)
+    root = found.nodes[1]
+    return rounded(spark.createDataFrame([(found.features[root.feature], root.threshold)], "feature string, threshold double"))
+
+
 _GUESS = "g AS (SELECT CASE WHEN c_acctbal > 4000 THEN 'high' ELSE 'low' END AS label, CASE WHEN c_custkey % 5 = 0 THEN 'low' WHEN c_acctbal > 3000 THEN 'high' ELSE 'low' END AS predicted FROM customer)"
 
 
