@@ -82,6 +82,25 @@ def field_name(text: str) -> str:
     return name if name[:1].isalpha() else f"f_{name}"
 
 
+#: Names under which tools give the zone back (fixed values), and the types that a zone may have.
+ZONE_NAMES, ZONE_TYPES = ("ZONE", "VALUE", "ZONE_CODE"), ("string", "int", "smallint", "bigint", "tinyint")
+
+
+def zone_field(table: DataFrame, candidate: str) -> str:
+    """The column that holds a zonal table's zones: the candidate whatever its case, else a usual name, else the first column of
+    text or whole numbers. A table without one is an error."""
+    for name in table.columns:
+        if name.upper() == candidate.upper():
+            return name
+    for name in ZONE_NAMES:
+        if name in table.columns:
+            return name
+    for name, kind in table.dtypes:
+        if kind in ZONE_TYPES:
+            return name
+    raise RuntimeError(f"no usable zone field: {', '.join(table.columns)}")
+
+
 def pushed(master: DataFrame, up: DataFrame, local: DataFrame, column: str) -> DataFrame:
     """comid, huc12, old, new of rows whose value changes: mainstems from up by comid, the rest from local by huc12."""
     joined = master.join(up.select("comid", F.col(column).alias("_up")), "comid", "left").join(local.select("huc12", F.col(column).alias("_local")), "huc12", "left")

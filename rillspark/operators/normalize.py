@@ -55,3 +55,9 @@ def cluster_hydrograph(climatology: DataFrame, clusters: DataFrame) -> DataFrame
 def cluster_monthly(hydrograph: DataFrame) -> DataFrame:
     """cluster, month, q: means of the hydrograph's days by label month."""
     return hydrograph.groupBy("cluster", F.month("label").alias("month")).agg(F.avg("q").alias("q"))
+
+
+def cluster_months(df: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster, month, q, n_sites of daily series (site, d, q): the mean over a cluster's sites of each site's mean by month."""
+    monthly = df.join(clusters.select("site", "cluster"), "site").groupBy("cluster", "site", F.month("d").alias("month")).agg(F.avg("q").alias("q"))
+    return monthly.groupBy("cluster", "month").agg(F.avg("q").alias("q"), F.count("q").alias("n_sites"))

@@ -93,3 +93,16 @@ query("j13_month_lookup", f"WITH {px.SQL_GAPPY}, {_MONTH_CTE} SELECT g.site, g.d
 query("j14_last_month_lookup", f"WITH {px.SQL_GAPPY}, {_MONTH_CTE} SELECT g.site, g.d, m.v AS end_of_last_month FROM gappy g LEFT JOIN m ON m.site = g.site AND m.m + INTERVAL 1 MONTH = date_trunc('month', g.d)")(
     lambda s, d: repair.month_value(px.gappy(s, d), "q").select("site", "d", "end_of_last_month")
 )
+
+
+@query("ba16_zone_field", """SELECT 'candidate' AS source, 'P_Brand' AS field, p_brand AS zone, round(avg(p_retailprice), 6) + 0.0 AS value FROM part GROUP BY p_brand UNION ALL SELECT 'usual', 'VALUE', p_brand, round(avg(p_retailprice), 6) + 0.0 FROM part GROUP BY p_brand
+UNION ALL SELECT 'first', 'of_brand', p_brand, round(avg(p_retailprice), 6) + 0.0 FROM part GROUP BY p_brand""")
+def zone_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zonal tables whose zones come back under another case, a usual name, and neither."""
+    zonal, out = basin.zonal(px.pixels(spark, sf_dir)), None
+    for source, columns in (("candidate", ("value as mean", "zone as P_Brand")), ("usual", ("n as COUNT", "value as mean", "zone as VALUE")), ("first", ("value as mean", "zone as of_brand", "n as cells"))):
+        given = zonal.selectExpr(*columns)
+        field = basin.zone_field(given, "p_brand")
+        part = given.select(F.lit(source).alias("source"), F.lit(field).alias("field"), F.col(field).alias("zone"), F.col("mean").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)

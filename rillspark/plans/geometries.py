@@ -153,3 +153,10 @@ ins AS (SELECT id, part, s FROM lp JOIN w ON i = 0 AND (y1 > y) <> (y2 > y) AND
 def clip_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that meet a shape, exactly: not those that only meet its envelope or lie in its hole."""
     return geometry.meeting_shapes(lines(spark, sf_dir), sheds(spark, sf_dir))
+
+
+@query("io18_terminal_map", f"WITH {px.SQL_NETWORK}, {_LINES} SELECT id, part, i, x::DOUBLE AS x, y::DOUBLE AS y, tocomid IS NULL OR comid % 10 = 3 AS terminal FROM lp JOIN net ON comid = id")
+def terminal_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn network: points of each reach's line, and whether the reach is terminal."""
+    reaches = px.network(spark, sf_dir).select(F.col("comid").alias("id"), F.when(F.col("comid") % 10 != 3, F.col("tocomid")).alias("to"))
+    return _exploded(lines(spark, sf_dir).filter(sources.geometry_type(F.col("geometry")).isin(sources.LINE, sources.MULTI_LINE))).join(reaches.select("id", F.col("to").isNull().alias("terminal")), "id")

@@ -59,6 +59,15 @@ query("io10_site_files", f"WITH {px.SQL_DAILY} SELECT site, d, q FROM daily")(la
 query("io2_date_index", f"WITH {px.SQL_DAILY} SELECT 'interpolated_' || site AS site, d, q FROM daily")(lambda s, d: sources.read_sites(s, _site_files(s, d)))
 query("io3_separator", f"WITH {px.SQL_DAILY} SELECT site, d, q FROM daily")(lambda s, d: sources.read_sites(s, _site_files(s, d, ";"), sep=";", prefix="interpolated_"))
 query("io16_stems", "SELECT DISTINCT l_returnflag AS name FROM lineitem")(lambda s, d: sources.stems(s, _site_files(s, d), "interpolated_"))
+@query("io4_workbooks", "SELECT n_nationkey::DOUBLE AS n_nationkey, n_name, n_regionkey::DOUBLE AS n_regionkey, CASE WHEN n_nationkey % 4 <> 0 THEN n_name || ' & <' || n_nationkey || '>' END AS note FROM nation")
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each region, written and read back."""
+    note = F.when(F.col("n_nationkey") % 4 != 0, F.concat("n_name", F.lit(" & <"), "n_nationkey", F.lit(">")))
+    folder = _folder(spark) + "/books"
+    sources.write_workbooks(px.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", note.alias("note")), folder, "n_regionkey").count()
+    return sources.read_workbooks(spark, folder)
+
+
 query("io5_parquet", "SELECT * FROM nation")(lambda s, d: sources.read_table(s, f"{d}/nation.parquet"))
 query("io8_large_scan", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 45")(lambda s, d: px.table(s, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_partkey"))
 

@@ -164,3 +164,12 @@ def hydrograph(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("nm10_cluster_hydrograph", f"WITH {_SUPP} SELECT cluster, day, round(q, 6) + 0.0 AS q, n_sites, DATE '1999-10-01' + (day - 1) AS label FROM hy")(lambda s, d: rounded(hydrograph(s, d)))
 query("nm10_cluster_monthly", f"WITH {_SUPP} SELECT cluster, month(DATE '1999-10-01' + (day - 1))::INTEGER AS month, round(avg(q), 6) + 0.0 AS q FROM hy GROUP BY 1, 2")(lambda s, d: rounded(normalize.cluster_monthly(hydrograph(s, d))))
 query("ts8_stationarity")(lambda s, d: rounded(impute.stationarity(px.gappy(s, d))))
+
+
+@query("io18_cluster_months", """WITH r AS (SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), m AS (SELECT site % 4 AS cluster, site, month(d) AS month, avg(q) AS q FROM r JOIN supplier ON s_suppkey = site WHERE site % 4 < 3 GROUP BY ALL)
+SELECT cluster, month::INTEGER AS month, round(avg(q), 6) + 0.0 AS q, count(q) AS n_sites FROM m GROUP BY 1, 2""")
+def cluster_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly means by cluster of raw series, as plotted."""
+    daily = px.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("q"))
+    clusters = px.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), (F.col("s_suppkey") % 4).alias("cluster")).filter("cluster < 3")
+    return rounded(normalize.cluster_months(daily, clusters))

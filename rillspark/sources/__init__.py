@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import io
+import os
+import re
+import zipfile
+from collections.abc import Iterable, Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import stored
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """CSV with a header and a given schema; nothing is inferred, so the files are read once."""
@@ -30,11 +38,101 @@ def read_sites(spark: SparkSession, folder: str, value: str = "q", sep: str = ",
     return df.select(file_stem(prefix).alias("site"), day.alias("d"), F.col(f"`{value}`").try_cast("double").alias("q")).filter("d is not null")
 
 
+#: Names of a workbook's parts (fixed values of the format).
+SHEET, STRINGS, MAIN = "xl/worksheets/sheet1.xml", "xl/sharedStrings.xml", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet(data: bytes) -> list[list[tuple[str | None, bool]]]:
+    """Rows of a workbook's first sheet: each cell's text and whether it is a number; cells left out are empty."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        text = lambda node: "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
+        shared = [text(s) for s in ElementTree.fromstring(book.read(STRINGS)).iter(f"{MAIN}si")] if STRINGS in book.namelist() else []
+        rows = []
+        for row in ElementTree.fromstring(book.read(SHEET)).iter(f"{MAIN}row"):
+            cells: list[tuple[str | None, bool]] = []
+            for cell in row.iter(f"{MAIN}c"):
+                at = 0
+                for c in re.match("[A-Z]*", cell.get("r", "")).group():
+                    at = at * 26 + ord(c) - 64
+                cells += [(None, False)] * (at - 1 - len(cells))
+                kind, value = cell.get("t", "n"), cell.find(f"{MAIN}v")
+                if kind == "inlineStr":
+                    cells.append((text(cell), False))
+                elif value is None or value.text is None:
+                    cells.append((None, False))
+                else:
+                    cells.append((shared[int(value.text)] if kind == "s" else value.text, kind == "n"))
+            rows.append(cells)
+    return rows
+
+
+def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of a workbook, or of all in a folder, by the names in their first rows.
+
+    Each workbook is read by a task. A column in which all values are numbers is double, any other is text; one that some
+    workbooks lack is null there. Rows without values are left out.
+    """
+
+    def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for file, data in zip(part["path"], part["content"], strict=True):
+                names, *rows = _sheet(data) or [[]]
+                out = [(file, i, k, names[k][0], text, number) for i, row in enumerate(rows) for k, (text, number) in enumerate(row) if text is not None and k < len(names) and names[k][0]]
+                yield pd.DataFrame(out, columns=["file", "row", "at", "name", "text", "number"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    flat = stored(found.mapInPandas(cells, "file string, row long, at long, name string, text string, number boolean"), "workbook")
+    columns = flat.groupBy("name").agg(F.min("at").alias("at"), F.every("number").alias("number")).orderBy("at", "name").collect()  # a row for each column
+    value = lambda c: F.max(F.when(F.col("name") == c["name"], F.col("text"))).cast("double" if c["number"] else "string").alias(c["name"])
+    return flat.groupBy("file", "row").agg(*[value(c) for c in columns]).drop("file", "row") if columns else spark.createDataFrame([], "empty string")
+
+
+def write_workbooks(df: DataFrame, path: str, by: str) -> DataFrame:
+    """A workbook for each value of a column, in a local or shared folder that tasks can write to; the paths written.
+
+    A value's rows are one sheet, written by one task; a sheet holds about a million rows at most.
+    """
+    names = df.columns
+    letters = lambda k: (letters(k // 26 - 1) if k > 25 else "") + chr(65 + k % 26)
+
+    def cell(at: str, v: object) -> str:
+        if v is None or v != v:
+            return ""
+        return f'<c r="{at}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [names, *part[names].astype(object).to_numpy().tolist()]
+        sheet = "".join(f'<row r="{i}">' + "".join(cell(f"{letters(k)}{i}", v) for k, v in enumerate(row)) + "</row>" for i, row in enumerate(rows, 1))
+        space, made = MAIN[1:-1], io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as book:
+            for name, body in _BOOK.items():
+                book.writestr(name, body)
+            book.writestr(SHEET, f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{space}"><sheetData>{sheet}</sheetData></worksheet>')
+        file = f"{path.removeprefix('file://')}/{part[by].iloc[0]}.xlsx"
+        os.makedirs(os.path.dirname(file), exist_ok=True)
+        with open(file, "wb") as out:
+            out.write(made.getvalue())
+        return pd.DataFrame({"path": [file]})
+
+    return df.groupBy(by).applyInPandas(write, "path string")
+
+
+#: The parts of a workbook with one sheet (fixed values of the format).
+_BOOK = {
+    "[Content_Types].xml": '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """CSV, Excel or Parquet by suffix. A workbook is small and is read on the driver; other suffixes are an error."""
+    """CSV, Excel workbooks or Parquet by suffix; other suffixes are an error."""
     if path.endswith(".csv"):
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    if path.endswith((".xlsx", ".xls")):
+    if path.endswith(".xlsx"):
+        return read_workbooks(spark, path)
+    if path.endswith(".xls"):  # the older binary format: read on the driver, where pandas finds a library for it
         return spark.createDataFrame(pd.read_excel(path))
     if path.endswith(".parquet"):
         return spark.read.parquet(path)

@@ -10,7 +10,8 @@ import pytest
 from rillspark import plans
 
 SF = "/root/testdata/sf0.01"
-CHOICE = ["fs5_missing_ranges", "fs19_colwell", "fs22_magnificent_seven", "fs12_pulses", "ts3_interpolate_gap", "ts17_month_values", "nm8_annualize_median", "nr5_backbone", "nr8_dendritic", "up3_route_mainstem", "ba8_mainstem", "ba15_push", "w8_run_ids", "cl8_davies_bouldin", "ct2_report"]
+CHOICE = ["fs5_missing_ranges", "fs19_colwell", "fs22_magnificent_seven", "fs12_pulses", "ts3_interpolate_gap", "ts17_month_values", "nm8_annualize_median", "nr5_backbone", "nr8_dendritic", "up3_route_mainstem", "ba8_mainstem", "ba15_push", "w8_run_ids", "cl8_davies_bouldin", "ct2_report",
+          "cl8_silhouette", "cl9_dtw_matrix", "ct1_tree_predictions", "ct3_importances", "ba2_ring_shape", "j10_longest_by_geometry", "nr2_clip_shapes", "nr11_orphans_by_geometry", "pf13_multi", "io4_workbooks", "up9_upstream_with_self"]
 
 
 @pytest.fixture(scope="module")
