@@ -38,6 +38,8 @@ GRAM = 32
 HOT = 1 << 15
 #: Every so many'th slice of SLICE bytes is looked at for hot pieces.
 SAMPLE, SLICE = 16, 1 << 16
+#: Hot pieces that may be broadcast (8 bytes each); beyond it anchors meet them in a join, dealt out to so many salts.
+HOT_BROADCAST, SALTS = 100_000, 64
 #: Different contexts of one piece, or blocks with the same common bytes, that are compared by a suffix array.
 GROUP = 4096
 #: Strings of a block, by level of the descent.
@@ -326,6 +328,23 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted.hint("shuffle_hash"), near["doc_id"] == wanted["_id"]).select("doc_id", "text", "x")
 
 
+def _by_heat(docs: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Anchors of pieces that aren't hot, and those of hot pieces (none: there are no hot pieces).
+
+    Up to HOT_BROADCAST hot pieces, by count, are broadcast, and anchors made for each side alone. More stay a table: anchors are
+    written once and meet it in a join on the piece and a salt, so that a hot piece's anchors meet in no one task.
+    """
+    spark, n = docs.sparkSession, hot.limit(HOT_BROADCAST + 1).count()
+    if n <= HOT_BROADCAST:
+        known = np.sort(hot.toPandas()["piece"].to_numpy(np.int64)).view(np.uint64)  # HOT_BROADCAST rows at most
+        shared = spark.sparkContext.broadcast(known)
+        return docs.mapInArrow(_anchors(shared, False), _ANCHOR), docs.mapInArrow(_anchors(shared, True), _ANCHOR) if n else None
+    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    every = written(docs.mapInArrow(_anchors(none, False), _ANCHOR), "repeats-anchors").withColumn("salt", F.pmod(F.xxhash64("doc_id", "low"), F.lit(SALTS)).cast("int"))
+    salted = hot.select("piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return tuple(every.join(salted, ["piece", "salt"], how).select("piece", "context", "doc_id", "low", "shape") for how in ("left_anti", "left_semi"))
+
+
 def occurrences(docs: DataFrame, merged: bool = False) -> DataFrame:
     """repeat_id, length, doc_id, start, first: occurrences of repeats of at least LENGTH bytes, for docs with different texts.
 
@@ -335,16 +354,15 @@ def occurrences(docs: DataFrame, merged: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     counts = docs.mapInArrow(_heavy(SAMPLE), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    hot = np.sort(counts.filter(F.col("n") * SAMPLE >= HOT).select("piece").toPandas()["piece"].to_numpy(np.int64)).view(np.uint64)
-    shared = spark.sparkContext.broadcast(hot)
-    rows = docs.mapInArrow(_anchors(shared, False), _ANCHOR)
+    hot = written(counts.filter(F.col("n") * SAMPLE >= HOT).select("piece"), "repeats-hot-pieces")
+    rows, warm = _by_heat(docs, hot)
     grouped = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_grouped(GROUP), "kind int, repeat_id long, length long, doc_id long, start long, first boolean, shape int")
     grouped = written(grouped, "repeats-grouped")
     fields = ["repeat_id", "length", "doc_id", "start", "first"]
     found = [grouped.filter(F.col("kind") == WHOLE).select(fields)]
     compared = [grouped.filter(F.col("kind") != WHOLE)]
-    if len(hot):
-        whole, more = _settled(written(docs.mapInArrow(_anchors(shared, True), _ANCHOR), "repeats-hot"))
+    if warm is not None:
+        whole, more = _settled(written(warm, "repeats-hot"))
         found.append(whole)
         compared.append(more)
     for width in WIDTHS:
