@@ -25,7 +25,7 @@ SCHEMAS: Schemas = {
     "summarize": {"text": ("string", True), "max_words": ("integer", True), "style": ("string", False)},
     "translate": {"text": ("string", True), "target": ("string", True)},
 }
-_TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
+_TYPES = {"string": "^STRING", "integer": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "array": "^ARRAY", "object": "^OBJECT"}
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -85,6 +85,9 @@ def _wrong(text: Column, fields: Fields, path: str = "") -> Column:
             fits = F.try_variant_get(value, "$", "string").isin([str(x) for x in kind]) & type_.rlike(_TYPES["string" if isinstance(kind[0], str) else "number"])
         else:
             fits = type_.rlike(_TYPES[kind])
+            if kind == "integer":  # by value: 1.0 and 1e2 are integers
+                number = F.try_variant_get(value, "$", "double")
+                fits &= F.coalesce(number == F.floor(number), F.lit(False)) | type_.rlike("^BIGINT")
         checks.append(F.when(~there, F.lit(f"missing:{name}") if required else F.lit(None)).when(~F.coalesce(fits, F.lit(False)), f"type:{name}"))
     more = F.transform(F.array_except(keys, F.array(*[F.lit(f) for f in fields]).cast("array<string>")), lambda k: F.concat(F.lit(f"unknown:{path}"), k))
     return F.concat(F.array_compact(F.array(*checks)).cast("array<string>"), more, *deeper)
@@ -103,6 +106,13 @@ def errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return out
 
 
+def canonical(text: Column) -> Column:
+    """JSON text with sorted keys, without white space, and whole numbers without a fraction; null for what isn't JSON.
+
+    Equal numbers from 0.001 to 10,000,000 have one form (1, 1.0 and 1e0 are 1); others keep an exponent they are written with."""
+    return F.regexp_replace(F.to_json(F.try_parse_json(text)), r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?[0-9]+)\.0(?![0-9Ee])', "$1$2")
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas = SCHEMAS) -> DataFrame:
     """One row per call id and per result id without a call: id, conv_id, turn, depth, errors, n_results, status, json.
 
@@ -124,7 +134,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas = SCH
         F.when(F.col("id").isNull(), "orphan").when(F.col("depth").isNull(), "cycle").when(F.size("errors") > 0, "invalid").when(F.col("rid").isNull(), "unanswered").otherwise("linked")
     )
     # keys in alphabetical order; parsed arguments come out with sorted keys and without white space
-    arguments = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.array("arguments")))
+    arguments = F.coalesce(canonical(F.col("arguments")), F.to_json(F.array("arguments")))
     line = F.concat(F.lit('{"arguments":'), arguments, F.lit(","), F.expr("substring(to_json(named_struct('depth', depth, 'id', id, 'name', name, 'parent', parent, 'result', r.content, 'status', status)), 2)"))
     return both.withColumn("status", status).select(
         F.coalesce("id", "rid").alias("id"), "conv_id", F.coalesce("turn", "r.turn").alias("turn"), "depth", F.array_join("errors", ",").alias("errors"),

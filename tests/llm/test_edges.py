@@ -100,9 +100,10 @@ def test_large_buckets_lose_no_link(spark):
     assert groups({signed(x): comp.get(signed(x), signed(x)) for x in codes}) == groups(want)
 
 
-@pytest.mark.parametrize(("group", "hot"), [(4096, 1 << 15), (1, 1 << 15), (1, 1)])
-def test_repeats(docs, empty, group, hot, monkeypatch):
-    """With anchors gathered by piece or not, and different contexts compared at once or in blocks and single strings."""
+@pytest.mark.parametrize(("group", "hot", "few"), [(4096, 1 << 15, 9), (1, 1 << 15, 9), (1, 1, 100_000), (1, 1, 0), (4096, 3, 0)])
+def test_repeats(docs, empty, group, hot, few, monkeypatch):
+    """With anchors gathered by piece or not, hot pieces broadcast or joined, and different contexts compared at once or in blocks and single strings."""
+    monkeypatch.setattr(repeats, "HOT_BROADCAST", few)
     monkeypatch.setattr(repeats, "GROUP", group)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SAMPLE", 1)
@@ -433,6 +434,17 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0)).count() == 0
 
 
+def test_numbers_have_one_form_and_integers_go_by_value(spark):
+    told = {"1": "", "1.0": "", "1e2": "", "100": "", "-3.00": "", "1.5": "type:limit", '"1"': "type:limit", "1e-3": "type:limit", "12345678901234567": ""}
+    rows = [(k, None, 1, i, "search", f'{{"query": "1.0, \\"2.0\\" 3.0", "limit": {k}}}') for i, k in enumerate(told)]
+    calls = spark.createDataFrame(rows, "id string, parent string, conv_id long, turn long, name string, arguments string")
+    got = {r["id"]: r for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "id string, turn long, content string")).collect()}
+    assert {k: r["errors"] for k, r in got.items()} == told
+    text = '{"arguments":{"limit":%s,"query":"1.0, \\"2.0\\" 3.0"},'
+    for k, form in {"1": "1", "1.0": "1", "1e2": "100", "100": "100", "-3.00": "-3", "1.5": "1.5", '"1"': '"1"', "12345678901234567": "12345678901234567"}.items():
+        assert got[k]["json"].startswith(text % form)
+
+
 def phrases(rng):
     """Texts of phrases, copies of one of them, and two held-out ones: phrases, and the same words shuffled."""
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
