@@ -665,7 +665,7 @@ def maximized(ratio: np.ndarray, n: np.ndarray, start: float = 0.5, rounds: int
     """The weight of the second of two predictors, of places that it gives so many times the first's probability."""
     w = start
     for _ in range(rounds):
-        w = float((n * (w * ratio / (1 - w + w * ratio))).sum() / max(1e-300, n.sum()))
+        w = min(1 - 1e-12, float((n * (w * ratio / (1 - w + w * ratio))).sum() / max(1e-300, n.sum())))  # at 1, a ratio of 0 would leave nothing
     return w
 
 
@@ -804,10 +804,10 @@ def _log10_sum(a: Column, b: Column) -> Column:
 
 
 def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
-    """One row per doc_id: held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Null and empty texts have the end as their only token; bits_per_byte is null for them. Rows that repeat a doc_id count
-    as one document, with the mean of their sums. An empty table gives no rows; without training rows train_tokens is 0 and
+    Null and empty texts have the end as their only token; bits_per_byte is null for them. Rows that repeat a doc_id are
+    scored each by itself, a null doc_id isn't held out. An empty table gives no rows; without training rows train_tokens is 0 and
     the spelling's model is uniform. Tokens, pairs and segments are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -860,15 +860,13 @@ def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     plain = _log10_sum(F.col("log_p") + math.log10(spell), F.log10((1 - spell) * left / F.greatest(F.lit(trained) - F.col("train").cast("long"), F.lit(1)))) if spell < 1 else F.col("log_p")
     none = lambda kind: F.lit(None).cast(kind)
     value = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["v"] + math.log10(1 - copied))
-    parts = rows.select("row", "doc_id", F.lit(1).alias("one"), "n_bytes", "n_tokens", "n_known", "base", (F.col("score") + value).alias("score"))
-    parts = parts.unionByName(found.select("row", none("long").alias("doc_id"), F.lit(0).alias("one"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), none("long").alias("n_known"), none("double").alias("base"), F.col("gain").alias("score")))
+    parts = rows.select("row", "doc_id", "n_bytes", "n_tokens", "n_known", "base", (F.col("score") + value).alias("score"))
+    parts = parts.unionByName(found.select("row", none("long").alias("doc_id"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), none("long").alias("n_known"), none("double").alias("base"), F.col("gain").alias("score")))
     parts = parts.unionByName(met.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("n_known"), F.sum(F.log10(F.col("c") + 0.5)).alias("base"), F.sum(F.when(F.col("alone"), plain)).alias("score")).select(
-        "row", none("long").alias("doc_id"), F.lit(0).alias("one"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), "n_known", "base", "score"))
-    texts_ = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("one", "n_bytes", "n_tokens", "n_known", "base", "score")])
-    one_ = texts_.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("one", "n_bytes", "n_tokens", "n_known", "base", "score")])
-    per = lambda c: F.col(c) / F.col("one")
+        "row", none("long").alias("doc_id"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), "n_known", "base", "score"))
+    whole_ = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")])
     space = math.log10(trained + 0.5 * (different + 1))
-    return one_.select(
-        "doc_id", (remainder() == held_out).alias("held_out"), per("n_tokens").cast("long").alias("n_tokens"), per("n_known").cast("long").alias("n_known"), F.lit(trained).cast("long").alias("train_tokens"),
-        (per("base") - per("n_tokens") * space).alias("base_score"), per("score").alias("score"), (-per("score") * math.log2(10) / F.nullif(per("n_bytes"), F.lit(0.0))).alias("bits_per_byte"),
+    return whole_.select(
+        "doc_id", (remainder() == held_out).alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(trained).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * space).alias("base_score"), F.col("score").alias("score"), (-F.col("score") * math.log2(10) / F.nullif(F.col("n_bytes"), F.lit(0.0))).alias("bits_per_byte"),
     )

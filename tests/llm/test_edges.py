@@ -376,14 +376,17 @@ def test_weights_against_plain_updates(spark):
 
 
 def test_scores_of_long_texts_and_repeated_rows(spark):
-    """A text over several blocks scores as the sum of its parts' tokens; rows that repeat an id count once, by their mean."""
+    """A text over several blocks scores as the sum of its parts' tokens; rows that repeat an id are scored each by itself."""
     rng = random.Random(16)
     words_ = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(300)]
     long = " ".join(rng.choice(words_) for _ in range(330_000))  # some 2.3 MB
     texts = [(2, long), (3, "a b"), (3, "a b"), (4, None), (4, "b"), *[(k, " ".join(words_[k : k + 9])) for k in range(10, 60)]]
     table = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in mixing.language_scores(table).collect()}
-    assert len(got) == len(dict(texts)) and got[2]["n_tokens"] == 330_001 and got[3]["n_tokens"] == 3 and got[4]["n_tokens"] == 1
+    all_ = mixing.language_scores(table).collect()
+    got = {r["doc_id"]: r for r in all_}
+    assert len(all_) == len(texts) and got[2]["n_tokens"] == 330_001
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in all_ if r["doc_id"] in (3, 4)) == [(3, 3), (3, 3), (4, 1), (4, 2)]
+    assert len({r["score"] for r in all_ if r["doc_id"] == 3}) == 1
     assert got[2]["train_tokens"] == sum(len((t or "").split()) + 1 for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1)
     labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(table, labels).count() == len(texts)
@@ -413,6 +416,11 @@ def test_scores(docs, empty):
     assert mixing.language_scores(empty).count() == 0
 
 
+def test_a_weight_of_one_leaves_no_gap():
+    w = mixing.maximized(np.array([0.0, 1e9]), np.array([1e-9, 1e9]))
+    assert 0.999 < w < 1 and mixing.maximized(np.array([0.0]), np.array([0.0])) == 0
+
+
 def test_byte_code_is_a_prefix_code():
     start, size, path = mixing.byte_code([0] * 97 + [1000] + [5] * 158)
     codes = {tuple(map(tuple, path[a : a + n])) for a, n in zip(start, size, strict=True)}
