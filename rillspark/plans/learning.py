@@ -50,6 +50,17 @@ SELECT a, b, round(sqrt(one[12]), 6) + 0.0 AS distance FROM w WHERE k = 22""")(l
 query("cl10_dtw_kmeans")(lambda s, d: cluster.dtw_clusterings(features(s, d)))
 
 
+def year_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, v: mean quantity by day of the year of each supplier, 365 points, zero where there is none."""
+    daily = px.table(spark, sf_dir, "lineitem").withColumn("day", F.dayofyear("l_shipdate")).filter("day <= 365").groupBy(F.col("l_suppkey").alias("site"), "day").agg(F.avg("l_quantity").alias("x"))
+    known = daily.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("day", "x"))).alias("m"))
+    return known.select("site", F.transform(F.sequence(F.lit(1), F.lit(365)), lambda day: F.coalesce(F.try_element_at("m", day), F.lit(0.0))).alias("v"))
+
+
+query("cl9_dtw_year")(lambda s, d: rounded(cluster.dtw_matrix(year_features(s, d))))
+query("cl11_year")(lambda s, d: rounded(cluster.time_warp(year_features(s, d).withColumn("variant", F.lit("raw")), range(2, 5))[0]))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """variant, site, v: each supplier's months as they are, as z-scores, and as shares of their sum."""
     f = features(spark, sf_dir)
