@@ -9,6 +9,7 @@ sum of one small matrix, then refine the leading eigenvectors to double precisio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Spectra that one task combines.
-FAN_IN = 8
+#: Vectors of a task that updates a spectrum (some seconds at 64 dimensions), and spectra that one task combines.
+TASK_ROWS, FAN_IN = 4096, 8
 #: Eigenvectors refined beyond those asked for, so that the last ones converge.
 BESIDE = 16
 #: Updates between two cleanings of the eigenvectors' orthogonality.
@@ -327,7 +328,8 @@ def whiten(vectors: DataFrame, components: int = 16) -> DataFrame:
     width = len(first["x"])
     got = {r["i"]: int(r["s"]) for r in fit.mapInArrow(_sums(width), "i int, s decimal(38,0)").groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a row for each dimension
     n, sums = got.pop(-1), np.array([got[i] for i in range(width)], object)
-    found = spectrum(fit, np.array([s // n for s in sums], np.int64))
+    dealt = fit.repartition(math.ceil(n / TASK_ROWS))  # a file has many more: grid values take a byte each
+    found = spectrum(dealt, np.array([s // n for s in sums], np.int64))
     wanted = min(components, width)
     values, basis = refined(fit, n, sums, found.vectors[:, ::-1], wanted)
     trace = float(sum(_summed(fit, _squares(n, sums), (1, width))[0])) / n

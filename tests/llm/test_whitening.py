@@ -48,7 +48,9 @@ def test_secular_roots_are_roots():
 SCHEMA = "vec_id long, embedding array<float>, n string, x int"
 
 
-def test_whitened_rows(spark):
+@pytest.mark.parametrize("task_rows", [4096, 11])
+def test_whitened_rows(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(whitening, "TASK_ROWS", task_rows)
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(RNG.normal(size=(300, 20)))]
     odd = [(900, None), (901, [1.0] * 19), (902, [None] * 20), (903, [math.nan] + [0.0] * 19), (904, [math.inf] + [0.0] * 19), (905, []), (906, [3e37] + [0.0] * 19)]
     copies = [(None, rows[3][1]), (3, rows[3][1]), *((1000 + i, rows[5][1]) for i in range(200))]
