@@ -15,11 +15,12 @@ where the hash of two words says so, and a segment of SEGMENT_WORDS words or mor
 is coded as one of all segments instead of word by word. Training documents' scores leave their own occurrences out of
 tokens, pairs and segments, though not of the spelling's counts.
 
-Counts of tokens, segments and pairs are one table, gathered from every document, that grows with the input. Tokens with at
-least 1 / 2**FREQUENT of all training occurrences, and pairs with 1 / 2**PAIRS, are broadcast, so their number is bounded;
-all other tokens meet their counts in a shuffled join. Words so far are counted where all words that begin so meet: tokens
-are dealt out by the shortest beginning that fewer than about 1 / 2**HEAVY of all different tokens share, and more common
-beginnings are counted in all tasks and summed. The driver holds tables of bounded size only.
+Counts of tokens and segments are one table, gathered from every document, that grows with the input; so is that of pairs,
+which has every pair behind a word with at least 1 / 2**HEAD of all training tokens, however rare the pair is. Tokens with
+1 / 2**FREQUENT of all training occurrences, and pairs with 1 / 2**PAIRS, are broadcast, so their number is bounded; all other
+tokens and pairs meet what they are worth in one shuffled join. Words so far are counted where all words that begin so meet:
+tokens are dealt out by the shortest beginning that fewer than about 1 / 2**HEAVY of all different tokens share, and more
+common beginnings are counted in all tasks and summed. The driver holds tables of bounded size only.
 """
 
 from __future__ import annotations
@@ -53,16 +54,16 @@ STEP = 1 << 15
 GATES, BINS, INPUTS = 16, 33, 5
 #: What each predictor's counts of zeros and of ones start from; the curvature added to each gate's.
 PRIOR, DAMPING = 0.4, 30.0
-#: Shares, as powers of two, of tokens that are broadcast, of words that pairs are counted of, and of pairs that are broadcast.
+#: Shares, as powers of two, of tokens that are broadcast, of words that are a context for the next, and of pairs that are broadcast.
 FREQUENT, HEAD, PAIRS = 21, 15, 20
-#: The words that pairs are counted of are chosen by every so many'th document.
-HEAD_SAMPLE = 8
 #: Words of a segment on average, and at least.
 SEGMENT, SEGMENT_WORDS = 32, 8
 #: Keys of the end and of what stands before a text.
 END, START = 0, 1
-#: First bytes that tell segments and pairs from tokens, which hold no white space.
-OF_SEGMENT, OF_PAIR = b" ", b"\t"
+#: In place of a context: a token by itself, the sum of a text's pairs.
+NO_CONTEXT, OF_SUMS = -1, -2
+#: First byte that tells segments from tokens, which hold no white space.
+OF_SEGMENT = b" "
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -177,55 +178,36 @@ def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
 _COUNTS = "token binary, train long, n long"
 
 
-def _head(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        found = [_sums(t.key, np.ones(len(t.key)))[::2] for _, data, offsets in chunks(part[0]) for t in [Tokens(data, offsets)]]
-        if found:
-            key, _, n = _sums(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-
+def _count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and segments of each batch, with their occurrences in training documents and in all."""
+    names = ["token", "train", "n"]
 
-def _count(shared) -> Callable:
-    """Tokens, segments and pairs of each batch, with their occurrences in training documents and in all."""
-
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, names = Table(shared.value), ["token", "train", "n"]
-
-        def out(words: list, segments: list, pairs: list) -> Iterator[pa.RecordBatch]:
-            key, size, data, k, n = (np.concatenate([w[i] for w in words]) for i in range(5))
-            begin = np.cumsum(size) - size
-            _, at, k, n = _sums(key, k, n)
-            yield pa.RecordBatch.from_arrays([_binary(_bytes_of(data, begin[at], size[at]), size[at]), pa.array(k), pa.array(n)], names=names)
-            key, train = (np.concatenate([s[i] for s in segments]) for i in range(2))
-            key, _, k, n = _sums(key, train, np.ones(len(train)))
-            yield pa.RecordBatch.from_arrays([_named(OF_SEGMENT, key.astype(">u8")), pa.array(k), pa.array(n)], names=names)
-            key, k, n = (np.concatenate([p[i] for p in pairs]) for i in range(3))
-            key, _, k, n = _sums(key, k, n)
-            yield pa.RecordBatch.from_arrays([_named(OF_PAIR, key.astype(">u4")), pa.array(k), pa.array(n)], names=names)
-
-        words, segments, pairs = [], [], []
-        for part in parts:
-            trains = part[1].to_numpy(zero_copy_only=False).astype(float)
-            for first, data, offsets in chunks(part[0]):
-                t = Tokens(data, offsets)
-                train = trains[first + t.row]
-                key, at, k, n = _sums(t.key, train, np.ones(len(train)))
-                size = (t.end - t.begin)[at]
-                words.append((key, size, _bytes_of(t.data, t.begin[at], size), k, n))
-                start, length, key = t.segments()
-                long = length >= SEGMENT_WORDS
-                segments.append((key[long], train[start[long]]))
-                here, before = head.find(t.key), head.find(t.before)
-                both = (here >= 0) & (before >= 0)
-                key, _, k, n = _sums(before[both] << 16 | here[both], train[both], np.ones(int(both.sum())))
-                pairs.append((key, k, n))
-                if len(words) >= HELD:
-                    yield from out(words, segments, pairs)
-                    words, segments, pairs = [], [], []
-        if words:
-            yield from out(words, segments, pairs)
+    def out(words: list, segments: list) -> Iterator[pa.RecordBatch]:
+        key, size, data, k, n = (np.concatenate([w[i] for w in words]) for i in range(5))
+        begin = np.cumsum(size) - size
+        _, at, k, n = _sums(key, k, n)
+        yield pa.RecordBatch.from_arrays([_binary(_bytes_of(data, begin[at], size[at]), size[at]), pa.array(k), pa.array(n)], names=names)
+        key, train = (np.concatenate([s[i] for s in segments]) for i in range(2))
+        key, _, k, n = _sums(key, train, np.ones(len(train)))
+        yield pa.RecordBatch.from_arrays([_named(OF_SEGMENT, key.astype(">u8")), pa.array(k), pa.array(n)], names=names)
 
-    return run
+    words, segments = [], []
+    for part in parts:
+        trains = part[1].to_numpy(zero_copy_only=False).astype(float)
+        for first, data, offsets in chunks(part[0]):
+            t = Tokens(data, offsets)
+            train = trains[first + t.row]
+            key, at, k, n = _sums(t.key, train, np.ones(len(train)))
+            size = (t.end - t.begin)[at]
+            words.append((key, size, _bytes_of(t.data, t.begin[at], size), k, n))
+            start, length, key = t.segments()
+            long = length >= SEGMENT_WORDS
+            segments.append((key[long], train[start[long]]))
+            if len(words) >= HELD:
+                yield from out(words, segments)
+                words, segments = [], []
+    if words:
+        yield from out(words, segments)
 
 
 def _named(kind: bytes, key: np.ndarray) -> pa.Array:
@@ -675,71 +657,41 @@ def log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """What is broadcast of tokens and pairs: log10 of probabilities in training documents (own 1) and in others (own 0)."""
+    """What is broadcast of tokens: log10 of probabilities in training documents (own 1) and in others (own 0), and the contexts."""
 
-    def __init__(self, key: np.ndarray, count: np.ndarray, spelled: np.ndarray, trained: int, spell: float, head: np.ndarray, starts: int, pairs: np.ndarray, of_pairs: np.ndarray) -> None:
-        order = np.argsort(key)
-        self.key, count = key[order], count[order].astype(float)
+    def __init__(self, key: np.ndarray, count: np.ndarray, spelled: np.ndarray, trained: int, spell: float, head: np.ndarray) -> None:
+        self.key, self.head = key, head
         self.base = np.log10(count + 0.5)
-        self.plain = [told_apart(count, spelled[order], trained, spell, own) for own in (0, 1)]
-        self.head, self.starts = head, starts
-        # places of words before: those of head among the keys, and one for the start
-        self.count = np.append(count, starts)
-        at = np.searchsorted(self.key, head)
-        there = self.key[np.minimum(at, len(self.key) - 1)] == head if len(self.key) else np.zeros(len(head), bool)
-        place = np.where(head == START, len(count), np.where(there, at, -1))
-        before, here = place[pairs >> 16], place[pairs & 0xFFFF]
-        good = (before >= 0) & (here >= 0)
-        self.before, self.here, self.of_pairs = before[good], here[good], of_pairs[good].astype(float)
-        self.is_head = np.zeros(len(self.count), bool)
-        self.is_head[place[(place >= 0) & (head != END)]] = True
-        self.gate = np.clip(np.log2(max(1, trained) / np.maximum(self.count, 1)), 0, GATES - 1).astype(np.int64)
-        self.learn()
-
-    def learn(self) -> None:
-        """Weights of pairs by the gate of the word before, own occurrences left out."""
-        after = (self.of_pairs - 1) / np.maximum(self.count[self.before] - 1, 1)
-        ratio = after / 10.0 ** self.plain[1][self.here]
-        gate = self.gate[self.before]
-        places = np.bincount(self.gate[self.is_head], self.count[self.is_head], GATES)
-        weight = np.zeros(GATES)
-        for g in range(GATES):
-            mine = gate == g
-            n = self.of_pairs[mine]
-            if n.sum() > 0 and places[g] > 0:
-                weight[g] = min(0.99, maximized(np.append(ratio[mine], 0.0), np.append(n, max(0.0, places[g] - n.sum()))))
-        self.weight = np.where(self.is_head, weight[self.gate], 0.0)
+        self.plain = [told_apart(count, spelled, trained, spell, own) for own in (0, 1)]
 
     def ready(self) -> Words:
-        """With tables to look tokens and pairs up; a worker makes them once."""
-        if hasattr(self, "table"):
-            return self
-        self.table, self.pair = Table(self.key), Table(np.sort(_paired(self.before, self.here)))
-        order = np.argsort(_paired(self.before, self.here))
-        self.of_pair = np.append(self.of_pairs[order], 0.0)
+        """With tables to look tokens and contexts up; a worker makes them once."""
+        if not hasattr(self, "table"):
+            self.table, self.context = Table(self.key), Table(self.head)
         return self
 
     def scored(self, t: Tokens, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's place (-1: not broadcast) and log10 of its probability in its place; for others, of what is left for them."""
+        """Each token's place (-1: not broadcast) and log10 of its probability without context (0 for others)."""
         at = self.table.find(t.key)
-        before = np.concatenate(([-1], at[:-1]))[: len(at)]
-        before[t.first] = len(self.key)
-        weight = np.where(before >= 0, self.weight[before], 0.0)
-        out = np.where(at >= 0, np.where(own > 0, self.plain[1][at], self.plain[0][at]), 0.0) if len(self.key) else np.zeros(len(at))
-        aside = np.flatnonzero(weight > 0)
-        out[aside] += np.log10(1 - weight[aside])
-        aside = aside[at[aside] >= 0]
-        pair = self.pair.find(_paired(before[aside], at[aside]))
-        aside, pair = aside[pair >= 0], pair[pair >= 0]
-        left = np.maximum(self.of_pair[pair] - own[aside], 0)
-        some = left > 0
-        aside, left = aside[some], left[some]
-        out[aside] = log10_sum(out[aside], np.log10(weight[aside] * left / np.maximum(self.count[before[aside]] - own[aside], 1)))
-        return at, out
-
-
-def _paired(before: np.ndarray, here: np.ndarray) -> np.ndarray:
-    return mix(before.astype(np.uint64) << np.uint64(32) | here.astype(np.uint64))
+        if not len(self.key):
+            return at, np.zeros(len(at))
+        return at, np.where(at >= 0, np.where(own > 0, self.plain[1][at], self.plain[0][at]), 0.0)
+
+
+class Pairs:
+    """What is broadcast of pairs: the log10 that a pair adds to its token's, in other documents (own 0) and in training ones (own 1)."""
+
+    def __init__(self, context: np.ndarray, key: np.ndarray, other: np.ndarray, training: np.ndarray) -> None:
+        self.key, self.gain = _paired(context, key), np.stack([other, training])
+
+    def ready(self) -> Pairs:
+        if not hasattr(self, "table"):
+            self.table = Table(self.key)
+        return self
+
+
+def _paired(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return mix(key.view(np.uint64) ^ mix(context.astype(np.uint64) + np.uint64(1)))
 
 
 def told_apart(count: np.ndarray, spelled: np.ndarray, trained: int, spell: float, own: int) -> np.ndarray:
@@ -748,11 +700,15 @@ def told_apart(count: np.ndarray, spelled: np.ndarray, trained: int, spell: floa
         return log10_sum(spelled + np.log10(spell), np.log10((1 - spell) * np.maximum(count - own, 0) / max(1, trained - own)))
 
 
-_ROWS = "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, base double, score double, segments array<struct<k:long,v:double>>, rare array<struct<s:int,k:long>>"
+_ROWS = "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, base double, score double, segments array<struct<k:long,v:double>>, rare array<struct<s:int,b:int,k:long>>"
 
 
 def _places(shared) -> Callable:
-    """A row for each text: sums over the tokens that are broadcast, its segments with theirs, and the other tokens' keys."""
+    """A row for each text: sums over the tokens that are broadcast, its segments with theirs, and what else its tokens add.
+
+    rare holds the other tokens (b: NO_CONTEXT) and every token that comes after a context (b: the context's place), with the
+    segment that it is in (-1: none of SEGMENT_WORDS).
+    """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.ready()
@@ -769,12 +725,16 @@ def _places(shared) -> Callable:
                 row = t.row[start]
                 in_row = np.bincount(row[long], minlength=rows)
                 value = np.add.reduceat(p, start)
-                rare = np.flatnonzero(at < 0)
+                before = words.context.find(t.before)
+                alone, after = np.flatnonzero(at < 0), np.flatnonzero(before >= 0)
+                rare = np.concatenate((alone, after))
+                order = np.argsort(rare, kind="stable")
+                rare, context = rare[order], np.concatenate((np.full(len(alone), NO_CONTEXT), before[after]))[order]
                 segment = np.searchsorted(start, rare, "right") - 1
                 within = np.where(long[segment], number[segment] - (np.cumsum(in_row) - in_row)[t.row[rare]], -1)
                 lists = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
                 segments = pa.ListArray.from_arrays(lists(in_row), pa.StructArray.from_arrays([pa.array(key[long].view(np.int64)), pa.array(value[long])], ["k", "v"]))
-                others = pa.ListArray.from_arrays(lists(np.bincount(t.row[rare], minlength=rows)), pa.StructArray.from_arrays([pa.array(within, pa.int32()), pa.array(t.key[rare].view(np.int64))], ["s", "k"]))
+                others = pa.ListArray.from_arrays(lists(np.bincount(t.row[rare], minlength=rows)), pa.StructArray.from_arrays([pa.array(within, pa.int32()), pa.array(context, pa.int32()), pa.array(t.key[rare].view(np.int64))], ["s", "b", "k"]))
                 known = np.bincount(t.row, at >= 0, rows).astype(np.int64)
                 sums = [np.bincount(t.row, base[at], rows), np.bincount(row, np.where(long, 0.0, value), rows)]
                 yield pa.RecordBatch.from_arrays(
@@ -785,17 +745,34 @@ def _places(shared) -> Callable:
     return run
 
 
-def _others(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that aren't broadcast, one a row, and whether they're outside the segments of their text that are coded as one."""
-    for part in parts:
-        size, hit = (part[i].value_lengths().fill_null(0).to_numpy() for i in (2, 3))
-        at, rare = np.repeat(np.arange(len(size)), size), part[2].flatten()
-        segment, taken = rare.field("s").to_numpy(), part[3].flatten().to_numpy()
-        alone = (segment < 0) | ~np.isin(at << 32 | segment, np.repeat(np.arange(len(hit)), hit) << 32 | taken)
-        for to in range(0, len(at), 100_000):
-            some = slice(to, to + 100_000)
-            where = pa.array(at[some])
-            yield pa.RecordBatch.from_arrays([part[0].take(where), part[1].take(where), rare.field("k")[some], pa.array(alone[some])], names=["row", "train", "k", "alone"])
+def _others(shared) -> Callable:
+    """Tokens and pairs that aren't broadcast, one a row (own: -1 in segments that are coded as one); the sum of the other pairs, one a text."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, names = shared.value.ready(), ["row", "own", "b", "k", "v"]
+        for part in parts:
+            size, hit = (part[i].value_lengths().fill_null(0).to_numpy() for i in (2, 3))
+            at, rare = np.repeat(np.arange(len(size)), size), part[2].flatten()
+            segment, taken = rare.field("s").to_numpy(), part[3].flatten().to_numpy()
+            alone = (segment < 0) | ~np.isin(at << 32 | segment, np.repeat(np.arange(len(hit)), hit) << 32 | taken)
+            context, key = rare.field("b").to_numpy(), rare.field("k").to_numpy()
+            train, row = part[1].to_numpy(zero_copy_only=False), part[0].to_numpy()
+            own = np.where(alone, train[at], -1)
+            keep = (context == NO_CONTEXT) | alone
+            after = np.flatnonzero((context != NO_CONTEXT) & alone)
+            place = pairs.table.find(_paired(context[after], key[after]))
+            after, place = after[place >= 0], place[place >= 0]
+            keep[after] = False
+            if len(after):
+                some = np.unique(at[after])
+                value = np.bincount(at[after], pairs.gain[own[after], place], len(row))[some]
+                yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(np.zeros(len(some), np.int32)), pa.array(np.full(len(some), OF_SUMS, np.int32)), pa.array(row[some]), pa.array(value)], names=names)
+            left = np.flatnonzero(keep)
+            for to in range(0, len(left), 100_000):
+                some = left[to : to + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(row[at[some]]), pa.array(own[some].astype(np.int32)), pa.array(context[some]), pa.array(key[some]), pa.nulls(len(some), pa.float64())], names=names)
+
+    return run
 
 
 def _log10_sum(a: Column, b: Column) -> Column:
@@ -803,6 +780,29 @@ def _log10_sum(a: Column, b: Column) -> Column:
     return F.when(b.isNull(), a).otherwise(F.greatest(a, b) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(a - b))))
 
 
+def pair_gains(rows: DataFrame, meant: DataFrame, head: np.ndarray, size: np.ndarray, trained: int) -> DataFrame:
+    """Every pair behind a context: b, k, train, other, training (log10 that it adds to its token's, by own occurrences).
+
+    A token after context b is a mixture of what it is without it and its share of what comes after b. The mixture's weights are
+    those of the context's gate, from all pairs. meant: k, and log10 of each token's probability without context.
+    """
+    spark = rows.sparkSession
+    gate = np.clip(np.log2(max(1, trained) / np.maximum(size, 1)), 0, GATES - 1).astype(np.int64)
+    contexts = spark.createDataFrame(pa.table({"b": pa.array(np.arange(len(head)), pa.int32()), "size": size, "gate": gate}))  # 2**HEAD rows and one at most
+    found = rows.select("train", F.explode("rare").alias("x")).filter(F.col("x.b") != NO_CONTEXT).groupBy("x.b", "x.k").agg(F.count_if("train").alias("train"))
+    found = written(found.join(meant.select("k", "other", "training"), "k").join(F.broadcast(contexts), "b"), "mixing-pairs")
+    after = lambda n: F.greatest(F.col("train") - n, F.lit(0)) / F.greatest(F.col("size") - n, F.lit(1))
+    ratio = F.when(F.col("train") > 1, F.round(F.greatest(F.least(F.log10(after(1)) - F.col("training"), F.lit(99.0)), F.lit(-99.0)), 2))
+    cells = found.filter("train > 0").groupBy("gate", ratio.alias("r")).agg(F.sum("train").alias("n")).collect()
+    weight = [0.0] * GATES
+    for g in {r["gate"] for r in cells}:
+        mine = [r for r in cells if r["gate"] == g]
+        weight[g] = min(0.99, maximized(np.array([0.0 if r["r"] is None else 10.0 ** r["r"] for r in mine]), np.array([float(r["n"]) for r in mine])))
+    w = F.element_at(F.array(*map(F.lit, weight)), (F.col("gate") + 1).cast("int"))
+    gain = lambda n, plain: _log10_sum(F.log10(1 - w), F.log10(w * after(n)) - F.col(plain))
+    return found.select("b", "k", "train", gain(0, "other").alias("other"), gain(1, "training").alias("training"))
+
+
 def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -813,16 +813,10 @@ def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     spark = docs.sparkSession
     base = texts(docs)
     is_train = (remainder() != held_out).alias("train")
-    sample = base.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HEAD_SAMPLE)) == 0).select("text").mapInArrow(_head, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    sample = written(sample, "mixing-head")
-    seen = sample.agg(F.sum("n")).first()[0] or 0
-    head = np.unique(np.append(_array(sample.filter(F.col("n") * (1 << HEAD) >= seen), "key").view(np.uint64), np.uint64(START)))
-    shared = spark.sparkContext.broadcast(head)
-    counts = base.select("text", is_train).mapInArrow(_count(shared), _COUNTS).groupBy("token").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
+    counts = base.select("text", is_train).mapInArrow(_count, _COUNTS).groupBy("token").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
     counts = written(counts, "mixing-counts")
-    shared.destroy()
     kind = F.substring("token", 1, 1)
-    words = counts.filter(~kind.isin(OF_SEGMENT, OF_PAIR))
+    words = counts.filter(kind != F.lit(OF_SEGMENT))
     different, trained, starts = words.agg(F.count_if(F.col("train") > 0), F.sum("train"), F.sum(F.when(F.col("token") == F.lit(b""), F.col("train")))).first()
     trained, starts = trained or 0, starts or 0
     shared = spark.sparkContext.broadcast(model := fit(words, different))
@@ -838,8 +832,9 @@ def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     # what is broadcast
     often = (F.col("c") > 0) & (F.col("c") * (1 << FREQUENT) >= trained)
     top = known.filter(often).toArrow()
-    pairs = counts.filter((kind == F.lit(OF_PAIR)) & (F.col("train") > 0) & (F.col("train") * (1 << PAIRS) >= trained)).select(F.conv(F.hex(F.substring("token", 2, 4)), 16, 10).cast("long").alias("p"), "train").toArrow()
-    frequent = Words(*(top.column(i).to_numpy().view(k) for i, k in ((0, np.uint64), (1, np.int64), (2, np.float64))), trained, spell, head, starts, *(pairs.column(i).to_numpy().astype(np.int64) for i in (0, 1)))
+    heads = known.filter((F.col("c") > 0) & (F.col("c") * (1 << HEAD) >= trained)).select("k", "c").toArrow()
+    head, size = (np.append(heads.column(i).to_numpy().view(kind_), kind_(x)) for i, kind_, x in ((0, np.uint64, START), (1, np.int64, starts)))
+    frequent = Words(*(top.column(i).to_numpy().view(k) for i, k in ((0, np.uint64), (1, np.int64), (2, np.float64))), trained, spell, head)
     shared = spark.sparkContext.broadcast(frequent)
     rows = written(base.select("doc_id", "text", is_train).mapInArrow(_places(shared), _ROWS).withColumn("row", F.monotonically_increasing_id()), "mixing-rows")
     shared.destroy()
@@ -853,16 +848,24 @@ def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     found = written(found.filter(elsewhere > 0).select("row", "s", (one - math.log10(1 - copied) - F.col("v")).alias("gain")), "mixing-segments")
     hits = found.groupBy(F.col("row").alias("_row")).agg(F.collect_list("s").alias("hits"))
     hits = F.broadcast(hits) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
-    # the other tokens' counts; those of a segment that is coded as one add nothing to the score
-    rare = rows.select("row", "train", "rare").join(hits, F.col("row") == F.col("_row"), "left").select("row", "train", "rare", "hits").mapInArrow(_others, "row long, train boolean, k long, alone boolean")
-    met = rare.join(known.filter(~often), "k")
-    left = F.col("c") - F.col("train").cast("long")
-    plain = _log10_sum(F.col("log_p") + math.log10(spell), F.log10((1 - spell) * left / F.greatest(F.lit(trained) - F.col("train").cast("long"), F.lit(1)))) if spell < 1 else F.col("log_p")
+    # what pairs add to their tokens, and other tokens' counts; those of a segment that is coded as one add nothing to the score
+    own = lambda n: (F.col("c") - n, F.greatest(F.lit(trained - n), F.lit(1)))
+    plain = lambda n: _log10_sum(F.col("log_p") + math.log10(spell), F.log10((1 - spell) * own(n)[0] / own(n)[1])) if spell < 1 else F.col("log_p")
+    meant = known.select("k", "c", plain(0).alias("other"), plain(1).alias("training"))
+    pairs = pair_gains(rows, meant, head, size, trained)
+    many = F.col("train") * (1 << PAIRS) >= max(1, trained)
+    shared = spark.sparkContext.broadcast(Pairs(*(x.to_numpy() for x in pairs.filter(many).select("b", "k", "other", "training").toArrow().columns)))
+    key = F.xxhash64(F.col("b").cast("int"), F.col("k")).alias("key")
+    worth = meant.filter(~often).withColumn("b", F.lit(NO_CONTEXT)).select(key, F.when(F.col("c") > 0, 1).otherwise(0).alias("known"), F.log10(F.col("c") + 0.5).alias("base"), "other", "training")
+    worth = worth.unionByName(pairs.filter(~many).select(key, F.lit(0).alias("known"), F.lit(0.0).alias("base"), "other", "training"))
+    rare = rows.select("row", "train", "rare").join(hits, F.col("row") == F.col("_row"), "left").select("row", "train", "rare", "hits").mapInArrow(_others(shared), "row long, own int, b int, k long, v double")
+    met = rare.select("row", "own", "v", key).join(worth, "key", "left")
+    value_of = F.coalesce("v", F.when(F.col("own") == 1, F.col("training")).when(F.col("own") == 0, F.col("other")))
     none = lambda kind: F.lit(None).cast(kind)
     value = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["v"] + math.log10(1 - copied))
     parts = rows.select("row", "doc_id", "n_bytes", "n_tokens", "n_known", "base", (F.col("score") + value).alias("score"))
     parts = parts.unionByName(found.select("row", none("long").alias("doc_id"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), none("long").alias("n_known"), none("double").alias("base"), F.col("gain").alias("score")))
-    parts = parts.unionByName(met.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("n_known"), F.sum(F.log10(F.col("c") + 0.5)).alias("base"), F.sum(F.when(F.col("alone"), plain)).alias("score")).select(
+    parts = parts.unionByName(met.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum(value_of).alias("score")).select(
         "row", none("long").alias("doc_id"), none("long").alias("n_bytes"), none("long").alias("n_tokens"), "n_known", "base", "score"))
     whole_ = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base", "score")])
     space = math.log10(trained + 0.5 * (different + 1))

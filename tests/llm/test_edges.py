@@ -492,8 +492,7 @@ def test_tool_calls_of_graphs_and_nested_schemas(spark):
 
 
 def test_scores_against_a_plain_mixer(spark, monkeypatch):
-    """With the whole table known to all, or met in joins (PAIRS then says that no pair is known)."""
-    monkeypatch.setattr(mixing, "HEAD_SAMPLE", 1)
+    """With all tokens and pairs known to all tasks, and with most of them, or all pairs, met in the join."""
     monkeypatch.setattr(mixing, "HEAVY_SAMPLE", 1)
     texts, held = phrases(random.Random(8))
     counts = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*(t or "").encode().lower().split(), b""])
@@ -509,6 +508,10 @@ def test_scores_against_a_plain_mixer(spark, monkeypatch):
     joined = {r["doc_id"]: r for r in mixing.language_scores(made.coalesce(1)).collect()}
     for i, r in joined.items():
         assert (r["n_known"], r["n_tokens"]) == (got[i]["n_known"], got[i]["n_tokens"]) and r["base_score"] == pytest.approx(got[i]["base_score"])
+        assert r["score"] == pytest.approx(want[i], rel=1e-4, abs=1e-3), i
+    monkeypatch.setattr(mixing, "PAIRS", 0)  # no pair is broadcast
+    for r in mixing.language_scores(made).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-4, abs=1e-3), r["doc_id"]
 
 
 def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
