@@ -700,13 +700,13 @@ def told_apart(count: np.ndarray, spelled: np.ndarray, trained: int, spell: floa
         return log10_sum(spelled + np.log10(spell), np.log10((1 - spell) * np.maximum(count - own, 0) / max(1, trained - own)))
 
 
-_ROWS = "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, base double, score double, segments array<struct<k:long,v:double>>, rare array<struct<s:int,b:int,k:long>>"
+_ROWS = "doc_id long, train boolean, n_bytes long, n_tokens long, n_known long, base double, score double, segments array<struct<k:long,v:double>>, s array<int>, b array<int>, k array<long>"
 
 
 def _places(shared) -> Callable:
     """A row for each text: sums over the tokens that are broadcast, its segments with theirs, and what else its tokens add.
 
-    rare holds the other tokens (b: NO_CONTEXT) and every token that comes after a context (b: the context's place), with the
+    Lists s, b and k hold the other tokens (b: NO_CONTEXT) and every token that comes after a context (b: the context's place), with the
     segment that it is in (-1: none of SEGMENT_WORDS).
     """
 
@@ -734,12 +734,13 @@ def _places(shared) -> Callable:
                 within = np.where(long[segment], number[segment] - (np.cumsum(in_row) - in_row)[t.row[rare]], -1)
                 lists = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
                 segments = pa.ListArray.from_arrays(lists(in_row), pa.StructArray.from_arrays([pa.array(key[long].view(np.int64)), pa.array(value[long])], ["k", "v"]))
-                others = pa.ListArray.from_arrays(lists(np.bincount(t.row[rare], minlength=rows)), pa.StructArray.from_arrays([pa.array(within, pa.int32()), pa.array(context, pa.int32()), pa.array(t.key[rare].view(np.int64))], ["s", "b", "k"]))
+                at_row = lists(np.bincount(t.row[rare], minlength=rows))
+                others = [pa.ListArray.from_arrays(at_row, x) for x in (pa.array(within, pa.int32()), pa.array(context, pa.int32()), pa.array(t.key[rare].view(np.int64)))]
                 known = np.bincount(t.row, at >= 0, rows).astype(np.int64)
                 sums = [np.bincount(t.row, base[at], rows), np.bincount(row, np.where(long, 0.0, value), rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.diff(offsets)), pa.array(t.count), pa.array(known), *map(pa.array, sums), segments, others],
-                    names=["doc_id", "train", "n_bytes", "n_tokens", "n_known", "base", "score", "segments", "rare"],
+                    [*columns, pa.array(np.diff(offsets)), pa.array(t.count), pa.array(known), *map(pa.array, sums), segments, *others],
+                    names=["doc_id", "train", "n_bytes", "n_tokens", "n_known", "base", "score", "segments", "s", "b", "k"],
                 )
 
     return run
@@ -751,11 +752,10 @@ def _others(shared) -> Callable:
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, names = shared.value.ready(), ["row", "own", "b", "k", "v"]
         for part in parts:
-            size, hit = (part[i].value_lengths().fill_null(0).to_numpy() for i in (2, 3))
-            at, rare = np.repeat(np.arange(len(size)), size), part[2].flatten()
-            segment, taken = rare.field("s").to_numpy(), part[3].flatten().to_numpy()
+            size, hit = (part[i].value_lengths().fill_null(0).to_numpy() for i in (2, 5))
+            at = np.repeat(np.arange(len(size)), size)
+            segment, context, key, taken = (part[i].flatten().to_numpy() for i in (2, 3, 4, 5))
             alone = (segment < 0) | ~np.isin(at << 32 | segment, np.repeat(np.arange(len(hit)), hit) << 32 | taken)
-            context, key = rare.field("b").to_numpy(), rare.field("k").to_numpy()
             train, row = part[1].to_numpy(zero_copy_only=False), part[0].to_numpy()
             own = np.where(alone, train[at], -1)
             keep = (context == NO_CONTEXT) | alone
@@ -789,7 +789,7 @@ def pair_gains(rows: DataFrame, meant: DataFrame, head: np.ndarray, size: np.nda
     spark = rows.sparkSession
     gate = np.clip(np.log2(max(1, trained) / np.maximum(size, 1)), 0, GATES - 1).astype(np.int64)
     contexts = spark.createDataFrame(pa.table({"b": pa.array(np.arange(len(head)), pa.int32()), "size": size, "gate": gate}))  # 2**HEAD rows and one at most
-    found = rows.select("train", F.explode("rare").alias("x")).filter(F.col("x.b") != NO_CONTEXT).groupBy("x.b", "x.k").agg(F.count_if("train").alias("train"))
+    found = rows.select("train", F.explode(F.arrays_zip("b", "k")).alias("x")).filter(F.col("x.b") != NO_CONTEXT).groupBy("x.b", "x.k").agg(F.count_if("train").alias("train"))
     found = written(found.join(meant.select("k", "other", "training"), "k").join(F.broadcast(contexts), "b"), "mixing-pairs")
     after = lambda n: F.greatest(F.col("train") - n, F.lit(0)) / F.greatest(F.col("size") - n, F.lit(1))
     ratio = F.when(F.col("train") > 1, F.round(F.greatest(F.least(F.log10(after(1)) - F.col("training"), F.lit(99.0)), F.lit(-99.0)), 2))
@@ -858,7 +858,7 @@ def language_scores(docs: DataFrame, held_out: int = 1) -> DataFrame:
     key = F.xxhash64(F.col("b").cast("int"), F.col("k")).alias("key")
     worth = meant.filter(~often).withColumn("b", F.lit(NO_CONTEXT)).select(key, F.when(F.col("c") > 0, 1).otherwise(0).alias("known"), F.log10(F.col("c") + 0.5).alias("base"), "other", "training")
     worth = worth.unionByName(pairs.filter(~many).select(key, F.lit(0).alias("known"), F.lit(0.0).alias("base"), "other", "training"))
-    rare = rows.select("row", "train", "rare").join(hits, F.col("row") == F.col("_row"), "left").select("row", "train", "rare", "hits").mapInArrow(_others(shared), "row long, own int, b int, k long, v double")
+    rare = rows.select("row", "train", "s", "b", "k").join(hits, F.col("row") == F.col("_row"), "left").select("row", "train", "s", "b", "k", "hits").mapInArrow(_others(shared), "row long, own int, b int, k long, v double")
     met = rare.select("row", "own", "v", key).join(worth, "key", "left")
     value_of = F.coalesce("v", F.when(F.col("own") == 1, F.col("training")).when(F.col("own") == 0, F.col("other")))
     none = lambda kind: F.lit(None).cast(kind)
