@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from rillspark.llm import bpe, decontaminate, exact_dedup, mixing, quality, repeats, secrets, sharding, simhash, tool_calls
+from rillspark.llm import bpe, common, decontaminate, exact_dedup, mixing, quality, repeats, secrets, sharding, simhash, tool_calls
 
 from . import brute
 
@@ -526,6 +526,34 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert apart == pytest.approx(one, rel=0.02)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    table = common.written(spark.range(1000).repartition(3, "id"), "some")
+    assert files() <= before and table.count() == 1000 and spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_pairs_that_no_other_training_document_has_are_not_stored(spark):
+    """They add the same whatever their token is."""
+    rows_ = [(i % 5 > 0, [0] * 2, [7, 100 + i]) for i in range(20)] + [(False, [0, 1], [100 + 1, 8]), (True, [mixing.NO_CONTEXT], [7])]
+    rows_ = spark.createDataFrame(rows_, "train boolean, b array<int>, k array<long>")
+    meant = spark.createDataFrame([(k, -3.0, -3.5) for k in (7, 8, *range(100, 120))], "k long, other double, training double")
+    got, unseen = mixing.pair_gains(rows_, meant, np.array([5, mixing.START], np.uint64), np.array([32, 0]), 40)
+    found = {(r["b"], r["k"]): r for r in got.collect()}
+    assert set(found) == {(0, 7), (0, 101)} and found[0, 7]["train"] == 16 and unseen[0] < 0
+    assert found[0, 7]["training"] > found[0, 7]["other"] > found[0, 101]["other"] > 0 and found[0, 101]["training"] == pytest.approx(0)
+
+
+def test_hits_meet_marked_rows(spark, monkeypatch):
+    lists = spark.createDataFrame([(r, [1]) for r in (0, 1, 8, 32768, 32769, (1 << 33) + 3, (1 << 33) + 4)], "row long, s array<int>")
+    hits = spark.createDataFrame([(r, [2, 3]) for r in (0, 8, 32768, (1 << 33) + 4)], "row long, hits array<int>")
+    got = lambda: {r["row"]: r["hits"] for r in mixing.with_hits(lists, hits).collect()}
+    want = {0: [2, 3], 1: None, 8: [2, 3], 32768: [2, 3], 32769: None, (1 << 33) + 3: None, (1 << 33) + 4: [2, 3]}
+    assert got() == want
+    monkeypatch.setattr(mixing, "MARKS", 0)
+    assert got() == want
+
+
 def test_tables_find_what_they_hold():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 64, 5000, np.uint64) & np.uint64(0xFFF0000000000FFF))  # many look first at the same place
