@@ -554,6 +554,16 @@ def test_hits_meet_marked_rows(spark, monkeypatch):
     assert got() == want
 
 
+def test_words_are_found_once_in_each_pass(spark, docs, monkeypatch):
+    """Spark would find them once more to leave out texts without any."""
+    some = spark.createDataFrame([(t,) for t in ("", "a", " A-b\x7f", "é Σ7", "--", None)], "text string")
+    assert [r[0] for r in some.select(decontaminate.words("text")).collect()] == [[], ["a"], ["a", "b"], ["é", "Σ7"], [], []]
+    passes = {}
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: passes.update({name: df._jdf.queryExecution().executedPlan().toString().count("translate(")}) or common.written(df, name))
+    decontaminate.hits(docs, spark.createDataFrame([(1, "some words of an item")], "item_id long, text string"))
+    assert (passes["decon-frequency"], passes["decon-index"]) == (1, 1)
+
+
 def test_tables_find_what_they_hold():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 64, 5000, np.uint64) & np.uint64(0xFFF0000000000FFF))  # many look first at the same place
