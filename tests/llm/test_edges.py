@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -572,6 +573,25 @@ def test_tables_find_what_they_hold():
     assert (mixing.Table(keys[:0]).find(keys) == -1).all()
 
 
+def test_spellings_are_worked_out_once_in_each_pass(monkeypatch):
+    """Counts of beginnings and what is learnt from them share one pass, and beginnings may go over blocks."""
+    words = sorted({b"", *(w[:k].encode() for w in ("mixing", "mixture", "mixed", "gate", "gated", "gat\u00e9e") for k in (3, 4, 5, 6, 7))})
+    n = np.arange(len(words)) % 4  # every fourth isn't in training documents
+    code = mixing.byte_code(np.bincount(np.frombuffer(b" ".join(words), np.uint8), minlength=256))
+    model = (code, np.zeros((int(mixing.Coder(code).first[-1]), 2), np.float32), np.zeros(0, np.uint64), (np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)), np.tile([0.1, 0.15, 0.3, 0.5, 0.0], (mixing.GATES, 1)), None)
+    shared = type("Shared", (), {"value": model})
+    rows = lambda at: [pa.RecordBatch.from_arrays([pa.array([words[i] for i in at], pa.binary()), pa.array(n[at]), pa.array(n[at]), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at), np.int32))], names=["token", "train", "n", "home", "shard"])]
+    calls, slots = [], mixing.Coder.slots
+    monkeypatch.setattr(mixing.Coder, "slots", lambda self, *x: calls.append(1) or slots(self, *x))
+    (learnt,) = mixing._learn(shared)(rows(np.flatnonzero(n)))
+    assert len(calls) == 1 and np.isfinite(np.frombuffer(learnt["weights"][0].as_py())).all()
+    (one,) = mixing._spelled(shared)(rows(np.arange(len(words))))
+    assert len(calls) == 2 and one["c"].to_pylist() == n.tolist() and max(one["log_p"].to_pylist()) < 0
+    monkeypatch.setattr(mixing._blocks, "__defaults__", (12,))
+    (many,) = mixing._spelled(shared)(rows(np.arange(len(words))))
+    assert len(calls) > 6 and many["k"] == one["k"] and many["log_p"].to_pylist() == pytest.approx(one["log_p"].to_pylist(), rel=1e-6)
+
+
 def test_tokens_of_long_texts():
     """Blocks of a long text end before white space, and words don't go on in the next text."""
     rng = random.Random(4)
