@@ -592,6 +592,19 @@ def test_spellings_are_worked_out_once_in_each_pass(monkeypatch):
     assert len(calls) > 6 and many["k"] == one["k"] and many["log_p"].to_pylist() == pytest.approx(one["log_p"].to_pylist(), rel=1e-6)
 
 
+def test_segments_are_listed_by_runs():
+    """How many listed tokens each segment has, and whether it is long, in place of a number for each token."""
+    texts = [" ".join(f"w{i * k % 97}" for i in range(300)) for k in (3, 5, 7)] + ["", " one two "]
+    data = b"".join(t.encode() for t in texts)
+    t = mixing.Tokens(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(x) for x in texts)]))
+    start, length, _ = t.segments()
+    none = np.zeros(0)
+    shared = type("Shared", (), {"value": mixing.Words(none.astype(np.uint64), none, none, 1, 0.5, none.astype(np.uint64))})
+    (got,) = mixing._places(shared)([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array([True] * 5)], names=["doc_id", "text", "train"])])
+    assert got["s"].flatten().to_pylist() == (2 * length + (length >= mixing.SEGMENT_WORDS)).tolist()  # no token is broadcast: all are listed
+    assert got["s"].value_lengths().to_pylist() == np.bincount(t.row[start], minlength=5).tolist() and got["k"].flatten().to_pylist() == t.key.view(np.int64).tolist()
+
+
 def test_tokens_of_long_texts():
     """Blocks of a long text end before white space, and words don't go on in the next text."""
     rng = random.Random(4)
