@@ -204,3 +204,30 @@ def test_time_warp_with_numbers_of_points(spark):
     x = RNG.normal(size=(6, 4))
     one = cluster.time_warp(table(spark, x, variant="raw"), range(2, 3), include_index=True)[2].collect()
     assert {len(r["m"]) for r in one} == {8} and all(r["m"][0::2] == pytest.approx([1, 2, 3, 4]) for r in one)
+
+
+def test_all_pairs_by_rows_are_the_pairs_one_by_one(monkeypatch):
+    x, y = RNG.normal(size=(23, 9)), RNG.normal(size=(17, 14))
+    i, j = np.divmod(np.arange(23 * 17), 17)
+    want = warping.warped(x, y, i, j).reshape(23, 17)
+    for wide in (5, 17, 40, 4096):  # blocks of y, and of x, with a rest
+        monkeypatch.setattr(warping, "_wide", lambda p, wide=wide: wide)
+        assert np.array_equal(warping.crossed(x, y), want)
+
+
+def test_tiles_of_few_long_series_are_dealt_to_many_tasks(spark):
+    from pyspark import TaskContext
+
+    def kernel(x, y):
+        import pyarrow as pa
+
+        yield pa.table({"task": [TaskContext.get().partitionId()], "n": [len(x) * (len(x) - 1) // 2 if y is None else len(x) * len(y)]})
+
+    made = tiles.tiles(table(spark, np.zeros((400, 365))), kernel, "task int, n long").collect()
+    assert sum(r["n"] for r in made) == 400 * 399 // 2 and len({r["task"] for r in made}) > 8
+
+
+def test_blocks_stay_as_many_when_sites_grow():
+    """What is shuffled grows with sites x blocks."""
+    assert [-(-n // tiles.block_size(n, 34, 6)) for n in (6_000, 60_000, 360_000)] == [10, 10, 10]
+    assert -(-3_600_000 // tiles.block_size(3_600_000, 34, 6)) == 59 and tiles.block_size(360_000, 12, 6, 512) == 512
