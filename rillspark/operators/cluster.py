@@ -6,6 +6,7 @@ send on sums; only a distance matrix that is asked for has a row for each pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,6 +152,8 @@ def dtw_matrix(features: DataFrame) -> DataFrame:
 
 #: Series that starting centres are drawn from, an expected number; all series take part in every round.
 SAMPLE = 256
+#: Points of series that a task of a round takes, and the most tasks.
+POINTS, TASKS = 1 << 15, 1024
 
 Runs = dict[tuple[str, int, int], np.ndarray]
 
@@ -226,6 +229,9 @@ def dtw_clusterings(features: DataFrame, ks: range = range(2, 13), rounds: int =
     """
     key = F.col(by).cast("string") if by else F.lit("")
     keyed = stored(features.select(key.alias("key"), F.col("site").cast("long").alias("site"), "v"), "warping")
+    points = keyed.agg(F.sum(F.size("v"))).first()[0] or 0
+    # dealt by what a round takes, not by bytes: a few MB of series are minutes of work
+    keyed = stored(keyed.repartition(min(TASKS, max(1, math.ceil(points / POINTS))), "key", "site"), "warping")
     runs = _starts(keyed, ks, starts, seed)
     costs = dict.fromkeys(runs, np.inf)
     for left in range(rounds, -1, -1):
