@@ -223,7 +223,7 @@ def test_tiles_of_few_long_series_are_dealt_to_many_tasks(spark):
 
         yield pa.table({"task": [TaskContext.get().partitionId()], "n": [len(x) * (len(x) - 1) // 2 if y is None else len(x) * len(y)]})
 
-    made = tiles.tiles(table(spark, np.zeros((400, 365))), kernel, "task int, n long").collect()
+    made = tiles.tiles(table(spark, np.zeros((400, 365))), kernel, "task long, n long").collect()
     assert sum(r["n"] for r in made) == 400 * 399 // 2 and len({r["task"] for r in made}) > 8
 
 
