@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import cut, shuffled
 
 #: Types of well-known binary (fixed values); multi-parts are three above their parts.
 POINT, LINE, POLYGON, COLLECTION = 1, 2, 3, 7
@@ -114,7 +114,8 @@ def encoded(df: DataFrame, key: str, kind: str, parts: str, big: str) -> DataFra
             made = [None if p is None else one(k, p, ">" if b else "<") for k, p, b in zip(batch[1].to_pylist(), batch[2].to_pylist(), batch[3].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(made, pa.binary())], names=[key, "geometry"])
 
-    return df.select(key, F.col(kind).cast("int"), parts, big).mapInArrow(run, f"`{key}` {type_}, geometry binary")
+    # dealt out, as a few MB of a compressed table are one task
+    return df.select(key, F.col(kind).cast("int").alias("_kind"), F.col(parts).alias("_parts"), F.col(big).alias("_big")).repartition(F.col(key)).mapInArrow(run, f"`{key}` {type_}, geometry binary")
 
 
 def _paired(f) -> Column:
@@ -183,8 +184,8 @@ def noded(s: DataFrame, points: DataFrame, key: str, cell: float, tolerance: flo
     aside = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) - (F.col("y2") - F.col("y1")) * (F.col("x") - F.col("x1"))
     long2 = (F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1"))
     inside = (F.abs(aside) <= tolerance * F.sqrt(long2)) & (along > tolerance * F.sqrt(long2)) & (along < long2 - tolerance * F.sqrt(long2))
-    on = _cells(own, cell).join(at, ["cx", "cy"]).filter(inside).select(*ends, F.struct(along.alias("t"), "x", "y").alias("p"))
-    stops = own.join(on.groupBy(*ends).agg(F.array_sort(F.collect_set("p")).alias("p")), ends, "left")
+    on = _cells(own, cell).join(shuffled(at), ["cx", "cy"]).filter(inside).select(*ends, F.struct(along.alias("t"), "x", "y").alias("p"))
+    stops = own.join(shuffled(on.groupBy(*ends).agg(F.array_sort(F.collect_set("p")).alias("p"))), ends, "left")
     end = lambda x, y: F.struct(F.lit(0.0).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
     way = F.concat(F.array(end("x1", "y1")), F.coalesce("p", F.array().cast("array<struct<t:double,x:double,y:double>>")), F.array(end("x2", "y2")))
     steps = F.zip_with(F.slice("way", 1, F.size("way") - 1), F.slice("way", 2, F.size("way") - 1), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
@@ -201,14 +202,18 @@ def shared_lengths(left: DataFrame, right: DataFrame, cell: float | None = None,
     aren't there. Polygons that overlap count what their boundaries share, not their common area.
     """
     of = lambda df: cut(rings(df, "id").filter(F.col("kind") == POLYGON))
-    a, b = of(left), of(right)
-    cell = cell or fitting_cell(a.unionByName(b))
+    a = of(left)
+    b = a if left is right else of(right)
+    whole = a if left is right else a.unionByName(b)
+    cell = cell or fitting_cell(whole)
     corners = lambda ring: ring.select(F.explode(F.arrays_zip("xs", "ys")).alias("p")).select(F.col("p.xs").alias("x"), F.col("p.ys").alias("y")).distinct()
-    at = cut(corners(a.unionByName(b)))  # of both tables, for both: what they share is cut alike
-    own = noded(segments(a, "id"), at, "id", cell, tolerance).withColumnRenamed("id", "a").distinct()
-    other = noded(segments(b, "id"), at, "id", cell, tolerance).withColumnRenamed("id", "b").distinct()
+    at = cut(corners(whole))  # of both tables, for both: what they share is cut alike
+    pieces = lambda ring: noded(segments(ring, "id"), at, "id", cell, tolerance).distinct()
+    own = cut(pieces(a)) if left is right else pieces(a)
+    other = (own if left is right else pieces(b)).withColumnRenamed("id", "b")
+    own = own.withColumnRenamed("id", "a")
     long = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
-    return own.join(other, ["x1", "y1", "x2", "y2"]).filter("a <> b").groupBy("a", "b").agg(F.sum(long).alias("shared_len"))
+    return own.join(shuffled(other), ["x1", "y1", "x2", "y2"]).filter("a <> b").groupBy("a", "b").agg(F.sum(long).alias("shared_len"))
 
 
 def boxes_meet(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -222,7 +227,7 @@ def boxes_meet(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     meet = F.expr("a_minx <= b_maxx and b_minx <= a_maxx and a_miny <= b_maxy and b_miny <= a_maxy")
     # of the cells that both touch, the one with the corner of what they have in common counts
     first = (F.floor(F.greatest("a_minx", "b_minx") / cell) == F.col("cx")) & (F.floor(F.greatest("a_miny", "b_miny") / cell) == F.col("cy"))
-    return dealt(left, "a").join(dealt(right, "b"), ["cx", "cy"]).filter(meet & first).select("a", "b")
+    return dealt(left, "a").join(shuffled(dealt(right, "b")), ["cx", "cy"]).filter(meet & first).select("a", "b")
 
 
 def neighbours(orphans: DataFrame, others: DataFrame, cell: float | None = None, tolerance: float = 1e-9) -> DataFrame:
@@ -233,7 +238,7 @@ def neighbours(orphans: DataFrame, others: DataFrame, cell: float | None = None,
     a, b = bounds(rings(orphans, "id"), "id").withColumnRenamed("id", "a"), bounds(rings(others, "id"), "id").withColumnRenamed("id", "b")
     wide = a.select(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
     pairs = boxes_meet(a, b, wide or 1.0).filter("a <> b")
-    return pairs.join(shared_lengths(orphans, others, cell, tolerance), ["a", "b"], "left").select("a", "b", F.coalesce("shared_len", F.lit(0.0)).alias("shared_len"))
+    return pairs.join(shuffled(shared_lengths(orphans, others, cell, tolerance)), ["a", "b"], "left").select("a", "b", F.coalesce("shared_len", F.lit(0.0)).alias("shared_len"))
 
 
 def _cross(x1: str, y1: str, x2: str, y2: str, x: str, y: str) -> Column:
@@ -256,8 +261,8 @@ def meeting_shapes(lines: DataFrame, shapes: DataFrame, cell: float | None = Non
     one = _cross("bx1", "by1", "bx2", "by2", "ax1", "ay1") * _cross("bx1", "by1", "bx2", "by2", "ax2", "ay2") <= 0
     two = _cross("ax1", "ay1", "ax2", "ay2", "bx1", "by1") * _cross("ax1", "ay1", "ax2", "ay2", "bx2", "by2") <= 0
     near = F.expr("ax1 <= bx2 and bx1 <= ax2 and least(ay1, ay2) <= greatest(by1, by2) and least(by1, by2) <= greatest(ay1, ay2)")
-    crossing = cut(a.join(b, (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & near & one & two, "left_semi").select(F.col("aid").alias("id")).distinct())
-    rest = line.join(crossing, "id", "left_anti").select("id", "part", F.get("xs", F.lit(0)).alias("x"), F.get("ys", F.lit(0)).alias("y"))
+    crossing = cut(a.join(shuffled(b), (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & near & one & two, "left_semi").select(F.col("aid").alias("id")).distinct())
+    rest = line.join(shuffled(crossing), "id", "left_anti").select("id", "part", F.get("xs", F.lit(0)).alias("x"), F.get("ys", F.lit(0)).alias("y"))
     box = bounds(shape, "id")
     wide = box.select(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0] or 1.0
     point = rest.select(F.struct("id", "part", "x", "y").alias("a"), F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
@@ -265,5 +270,5 @@ def meeting_shapes(lines: DataFrame, shapes: DataFrame, cell: float | None = Non
     rows = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
     walls = segments(shape, "id").select(F.col("id").alias("b"), "x1", "y1", "x2", "y2", F.explode(rows).alias("row"))
     beyond = F.expr("(y1 > y) <> (y2 > y) and x < x1 + (x2 - x1) * ((y - y1) / nullif(y2 - y1, 0))")
-    inside = pairs.join(walls, ["b", "row"]).groupBy("id", "part", "b").agg(F.count_if(beyond).alias("n")).filter("n % 2 = 1")
+    inside = pairs.join(shuffled(walls), ["b", "row"]).groupBy("id", "part", "b").agg(F.count_if(beyond).alias("n")).filter("n % 2 = 1")
     return crossing.union(inside.select("id")).distinct()

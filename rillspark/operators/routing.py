@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import UNRESOLVED, cut, hop_walk
+from .graph import UNRESOLVED, cut, hop_walk, shuffled
 
 
 def unique_filler(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -105,7 +105,7 @@ def route_catchments(catchments: DataFrame, network: DataFrame, terminal: DataFr
     ids = catchments.select(F.col("featureid").alias("id"))
     reach = network.select(F.col("comid").alias("id"), "tocomid", F.lit(True).alias("known"))
     ends = terminal.select(F.col("comid").alias("id")).distinct().withColumn("end", F.lit(True))
-    base = ids.join(reach, "id", "left").join(ends, "id", "left").join(hop_walk(ids, network, ids, max_hops, None), "id")
+    base = ids.join(shuffled(reach), "id", "left").join(shuffled(ends), "id", "left").join(shuffled(hop_walk(ids, network, ids, max_hops, None)), "id")
     ended = F.coalesce("end", F.lit(False))
     no_target = F.col("known") & F.col("tocomid").isNull()
     status = F.when(ended | F.coalesce(no_target, F.lit(False)), "terminal").when(F.col("target").isNotNull(), "routed").when(F.col("known"), "unresolved")
@@ -117,8 +117,8 @@ def route_catchments(catchments: DataFrame, network: DataFrame, terminal: DataFr
         return base.withColumn("status", F.coalesce("status", F.lit("unresolved")))
     both = adjacency.unionByName(adjacency.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared_len"))
     donors = base.filter("status in ('routed', 'terminal')").select(F.col("featureid").alias("b"), F.col("target").alias("given"))
-    near = both.join(donors, "b").groupBy(F.col("a").alias("featureid")).agg(F.max("shared_len").alias("longest"), F.max_by("given", F.struct("shared_len", -F.col("b"))).alias("given"))
-    out = base.join(near, "featureid", "left")
+    near = both.join(shuffled(donors), "b").groupBy(F.col("a").alias("featureid")).agg(F.max("shared_len").alias("longest"), F.max_by("given", F.struct("shared_len", -F.col("b"))).alias("given"))
+    out = base.join(shuffled(near), "featureid", "left")
     orphan = F.col("status").isNull()
     return out.select(
         "featureid", F.when(orphan & (F.col("longest") > 0), F.col("given")).otherwise(F.col("target")).alias("target"), "hops",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import rounded
 from ..operators import basin, geometry, routing
+from ..operators.graph import cut, shuffled
 from . import proxies as px
 from .network import catchment_sql
 from .registry import query
@@ -110,8 +111,8 @@ _ROUTED = catchment_sql(_SIDES, "SELECT DISTINCT id FROM bx WHERE id % 13 <> 5",
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels as catchments: those that aren't in the network take the target of the neighbour with the longest shared boundary."""
     n, p = px.network(spark, sf_dir), parcels(spark, sf_dir)
-    p = p.join(geometry.bounds(geometry.rings(p, "id"), "id").select("id"), "id", "left_semi")  # not the empty ones
-    apart = p.join(n.select(F.col("comid").alias("id")), "id", "left_anti")
+    p = cut(p.join(shuffled(geometry.bounds(geometry.rings(p, "id"), "id").select("id")), "id", "left_semi"))  # not the empty ones
+    apart = p.join(shuffled(n.select(F.col("comid").alias("id"))), "id", "left_anti")
     return routing.route_catchments(p.filter("id % 13 <> 5").select(F.col("id").alias("featureid")), n, n.filter("comid % 97 = 0"), geometry.neighbours(apart, p))
 
 

@@ -153,3 +153,20 @@ def test_lines_that_meet_shapes_against_a_double_loop(spark, cell):
     got = [r["id"] for r in geometry.meeting_shapes(table, areas, cell).collect()]
     assert sorted(got) == sorted(want) and {902, 903} <= want and len(want) > 20
     assert geometry.meeting_shapes(table.limit(0), areas).count() == geometry.meeting_shapes(table, areas.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j10_shared_boundaries", "j10_longest_by_geometry", "nr11_orphans_by_geometry"])
+def test_no_join_of_parcels_goes_through_the_driver(spark, name):
+    """Cut tables are taken for as small as the file of keys that they come from."""
+    from rillspark import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_a_table_with_itself_shares_what_two_copies_share(spark):
+    from rillspark.plans import geometries
+
+    p = geometries.parcels(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(geometry.shared_lengths(p, p)) == rows(geometry.shared_lengths(p, p.select("*")))
