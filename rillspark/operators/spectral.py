@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lloyd
-from .graph import stored
+from .graph import removed, stored
 from .neighbours import nearest
 from .tiles import BLOCK, matrix
 
@@ -62,13 +62,24 @@ def embedding(edges: DataFrame, wanted: int, seed: int = 42) -> tuple[DataFrame,
     wanted = min(wanted, n)
     r = min(n, wanted + BESIDE)
     z = degree.select("c", F.array(F.sqrt("degree"), *[lloyd.uniform(F.col("c"), seed, i) - 0.5 for i in range(1, r)]).alias("z"))
+    held = None
+
+    def kept(z: DataFrame) -> DataFrame:
+        """z as a table in place of the one that it was made of."""
+        nonlocal held
+        new = stored(z, "spectral-z")
+        if held is not None:
+            removed(held)
+        held = new
+        return new
+
     for block in range(BLOCKS):
-        z = stored(z, "spectral-z")
+        z = kept(z)
         for m in range(POWERS):
             y = _times(z, scaled, m * r, r)
             more = F.col("y") if m == 0 else F.zip_with("y", F.slice("z", (m - 1) * r + 1, r), lambda a, b: 2 * a - b)
             zero = F.array(*[F.lit(0.0)] * r)
-            z = stored(z.join(y, "c", "left").withColumn("y", F.coalesce("y", zero)).select("c", F.concat("z", more).alias("z")), "spectral-z")
+            z = kept(z.join(y, "c", "left").withColumn("y", F.coalesce("y", zero)).select("c", F.concat("z", more).alias("z")))
         width = (POWERS + 1) * r
         gram = np.zeros((width, width))
         for x in z.select("z").mapInArrow(_products, "i int, j int, p double").groupBy("i", "j").agg(F.sum("p").alias("p")).collect():  # a row for each cell of the small matrix

@@ -231,3 +231,25 @@ def test_blocks_stay_as_many_when_sites_grow():
     """What is shuffled grows with sites x blocks."""
     assert [-(-n // tiles.block_size(n, 34, 6)) for n in (6_000, 60_000, 360_000)] == [10, 10, 10]
     assert -(-3_600_000 // tiles.block_size(3_600_000, 34, 6)) == 59 and tiles.block_size(360_000, 12, 6, 512) == 512
+
+
+def test_random_points_ask_few_blocks(spark, monkeypatch):
+    """Bounds exclude little among them: what is asked grows with rows x blocks, so the number of blocks is bounded."""
+    x = RNG.normal(size=(400, 12))
+    rows = stored(table(spark, x).selectExpr("site c", "v", "1D n", "true open"), "test")
+    asked = []
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: asked.append(out := stored(df, name)) or out if name == "near-asked" else stored(df, name))
+    monkeypatch.setattr(neighbours, "BLOCKS", 4)
+    got = {(r["c"], r["b"]) for r in neighbours.nearest(rows, 3, 10).collect()}
+    far = ((x[:, None] - x[None]) ** 2).sum(-1) + np.diag(np.full(400, np.inf))
+    assert got == {(i, int(j)) for i in range(400) for j in far[i].argsort()[:3]}
+    assert asked[0].count() <= 400 * 8  # 400 rows x 40 blocks before
+
+
+def test_power_steps_leave_one_table(spark, tmp_path, monkeypatch):
+    from rillspark.operators import graph
+
+    monkeypatch.setattr(graph, "shared_folder", lambda spark: f"file://{tmp_path}")
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(8) for j in range(8) if abs(i - j) == 1], "src long, dst long, w double")
+    out, values = spectral.embedding(edges, 2)
+    assert out.count() == 8 and abs(values[0]) < 1e-6 and len(list(tmp_path.glob("spectral-z-*"))) == 1
